@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tidecast.llm.bpe import op1_bpe
+from tidecast.llm.lang_id import op3_language_id
 from tidecast.llm.near_dup import op2_near_dedup
 from tidecast.llm.sharding import op8_hilbert_sharding
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
+    "op3_language_id": op3_language_id,
     "op8_hilbert_sharding": op8_hilbert_sharding,
 }
 
