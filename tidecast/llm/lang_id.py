@@ -252,3 +252,18 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, calibrate: int = CALIBRA
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The documents, all columns, that have a letter and whose language is predicted with ``min_score`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            texts = b.column(at)
+            sure = [bool(p.max() >= min_score) for p in m.probabilities(texts)] if m else [False] * b.num_rows
+            yield b.filter(pa.array([s and any(map(str.isalpha, texts[i].as_py() or "")) for i, s in enumerate(sure)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

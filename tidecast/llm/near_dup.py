@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +179,46 @@ def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels.select("v", "c")
 
 
+def linked_groups(s: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components (v, c) of the graph whose links ``verify`` confirms among pairs that share a key; None without links to look for.
+
+    ``members`` has (key, v): a saved table that names every pair that may link by a common key. ``verify`` takes pairs (a, b) and
+    gives those that link, saved. Leaders come first, then all pairs that are still in different components."""
+    n_members = members.count()
+    if n_members == 0:
+        return None
+    links, tested, labels = None, None, None
+    state = members.withColumn("c", F.col("v"))
+    for k in range(ROUNDS + 1):
+        spread = state.groupBy("key").agg(
+            F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "c")).alias("leader")
+        ).filter("low <> high")
+        last = False
+        if k:
+            spread = s.save(spread, "spread")
+            counts = state.join(spread.select("key", "size"), "key").groupBy("key", "size", "c").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (size - n)"))).first()[0] or 0
+            if counts == 0:
+                break
+            last = k == ROUNDS or counts // 2 <= 4 * n_members
+        if last:  # few pairs in different components are left, or leaders do not help: list them all
+            other = state.join(spread.select("key"), "key", "left_semi")
+            led = state.join(other.select("key", F.col("v").alias("w"), F.col("c").alias("d")), "key").filter("c < d")
+        else:
+            led = state.join(spread.select("key", F.col("leader.v").alias("w"), F.col("leader.c").alias("d")), "key").filter("c <> d")
+        pairs = led.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = s.save(pairs, "pairs")
+        new = verify(pairs)
+        links = new if links is None else links.union(new)
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = connected(s, links)
+        if last:
+            break
+        state = s.save(members.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c")), "state")
+    return labels
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -207,42 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
         common = near.join(sa, "a").join(sb, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
         return s.save(common.filter(f"100L * common >= {threshold}L * (n_a + n_b - common)").select("a", "b"), "links")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        labels = connected(s, links)
-        return members.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c")), labels
-
-    links, tested, labels = None, None, None
-    state = members.withColumn("c", F.col("v"))
-    for k in range(ROUNDS + 1):
-        spread = state.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "c")).alias("leader")
-        ).filter("low <> high")
-        if k < ROUNDS:
-            led = state.join(spread.select("key", F.col("leader.v").alias("w"), F.col("leader.c").alias("d")), "key").filter("c <> d")
-        if k > 0:
-            # few pairs in different components are left, or no leader links any more: list them all
-            counts = state.join(spread.select("key", "size"), "key").groupBy("key", "size", "c").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (size - n)"))).first()[0] or 0
-            if counts == 0:
-                break
-            if last := (k == ROUNDS or counts // 2 <= 4 * n_members):
-                other = state.join(spread.select("key"), "key", "left_semi")
-                led = state.join(other.select("key", F.col("v").alias("w"), F.col("c").alias("d")), "key").filter("c < d")
-        else:
-            last, n_members = False, members.count()
-            if n_members == 0:
-                break
-        pairs = led.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = s.save(pairs, "pairs")
-        new = verify(pairs)
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        state, labels = labelled(links)
-        if last:
-            break
-        state = s.save(state, "state")
-
+    labels = linked_groups(s, members, verify)
     by_class = classes.select("k1", "k2", "v", "first")
     if labels is not None:
         by_class = by_class.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
@@ -255,5 +260,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def keep_first(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """The documents, all columns, of which none with a smaller doc_id is in their component; repeated rows all stay or all go.
+
+    Only the ids of those that go are joined to the texts."""
+    marks = Scratch(docs.sparkSession, "near-dup").save(near_duplicates(docs, width, threshold).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return docs.join(marks.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from tidecast.llm.bpe import op1_bpe
+from tidecast.llm.decontaminate import op4_decontaminate
+from tidecast.llm.fingerprints import op10_spot_signatures
 from tidecast.llm.lang_id import op3_language_id
 from tidecast.llm.near_dup import op2_near_dedup
+from tidecast.llm.secrets import op9_secret_scan
 from tidecast.llm.sharding import op8_hilbert_sharding
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_decontaminate": op4_decontaminate,
+    "op9_secret_scan": op9_secret_scan,
     "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op10_spot_signatures": op10_spot_signatures,
 }
 
 SQL: dict[str, str] = {}
