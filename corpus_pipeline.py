@@ -1,15 +1,55 @@
-"""The corpus pipeline: language ID, near-dedup, benchmark decontamination, secret scan, BPE digests."""
+"""The corpus pipeline: language ID, near-dedup, benchmark decontamination, secret scan, BPE digests.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
+the documents. ``run`` writes each stage's documents to the shared folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidecast.llm import bpe, decontaminate, lang_id, near_dup, secrets
+from tidecast.llm._shared import Scratch
+
+#: Documents whose language is predicted with a smaller probability go, as do those without a letter.
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that is told with a probability of ``MIN_SCORE`` or more."""
+    return lang_id.keep(docs, lang_id.fit(docs), MIN_SCORE)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group of near-duplicates, the document with the smallest doc_id."""
+    return near_dup.keep_first(docs, width=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts by a mark; no document goes."""
+    return secrets.redact(docs, secrets.fit())
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    import public_tokenizers
+
+    return bpe.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language), ("near-dedup", dedup), ("decontamination", decontamination), ("secret scan", secret_scan), ("BPE", encoding)]
+#: SQL can express neither the language model nor the network of the secret scan.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
