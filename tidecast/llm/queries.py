@@ -5,18 +5,24 @@ from __future__ import annotations
 from tidecast.llm.bpe import op1_bpe
 from tidecast.llm.decontaminate import op4_decontaminate
 from tidecast.llm.fingerprints import op10_spot_signatures
+from tidecast.llm.html_text import op7_html_extraction
 from tidecast.llm.lang_id import op3_language_id
+from tidecast.llm.licenses import op6_license_scan
 from tidecast.llm.near_dup import op2_near_dedup
 from tidecast.llm.secrets import op9_secret_scan
 from tidecast.llm.sharding import op8_hilbert_sharding
+from tidecast.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
-    "op9_secret_scan": op9_secret_scan,
+    "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
+    "op7_html_extraction": op7_html_extraction,
     "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op9_secret_scan": op9_secret_scan,
     "op10_spot_signatures": op10_spot_signatures,
 }
 
