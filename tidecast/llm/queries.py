@@ -26,4 +26,32 @@ QUERIES = {
     "op10_spot_signatures": op10_spot_signatures,
 }
 
-SQL: dict[str, str] = {}
+# The other operators rest on hashes, models, vocabularies or parsers that SQL does not have; their tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op2_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words
+), each AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)
+), sides AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a
+), component AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, sets.doc_id = component_id AS kept
+FROM sets JOIN component ON component.a = sets.doc_id
+""",
+}
