@@ -103,12 +103,10 @@ def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = s.save(keys.join(shared, "key"), "members")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("v").alias(x), F.col("spots").alias(f"s_{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").filter(F.least(F.size("s_a"), F.size("s_b")) >= threshold * F.greatest(F.size("s_a"), F.size("s_b")) - 1e-9)
-        return s.save(both.filter(likeness(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), "links")
+    def sets_of_ids(ids: DataFrame, name: str) -> DataFrame:
+        return s.save(sets.join(ids, "v", "left_semi").select("v", F.col("spots").cast("array<long>").alias("set")), name)
 
-    labels = linked_groups(s, members, verify)
+    labels = linked_groups(s, members, sets.select("v", F.size("spots").cast("long").alias("n")), sets_of_ids, round(100 * threshold), None)
     by_class = classes if labels is None else classes.join(labels, "v", "left")
     by_class = by_class.withColumn("c", F.col("v") if labels is None else F.coalesce("c", "v"))
     least = by_class.groupBy("c").agg(F.min("first").alias("group_id"))

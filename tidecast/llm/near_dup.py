@@ -8,10 +8,11 @@ link if 100 * |A and B| >= 80 * |A or B|. A document's component is the smallest
    band with probability (1 - 0.8**4)**32, about 5e-8. Documents with equal sets become one vertex.
 2. Within each band's bucket, members are compared with one leader (not with each other), so a group of any size
    costs its size. The comparison goes batch by batch over the signature: a pair is dropped as soon as the posterior
-   probability of a similarity of 0.8 or more, under a uniform prior, falls below ``MISS``. What survives is verified on the full sets.
-3. Linked vertices merge. Members that are still in another component than their bucket's leader are compared with
-   new leaders for some rounds; at last, every pair of a bucket that is still in different components and was not yet compared.
-   So no link between components is lost, whatever the order; pairs within a component are never enumerated.
+   probability of a similarity of 0.8 or more, under a uniform prior, falls below ``MISS``. What survives is verified on the full sets. Linked vertices merge.
+3. Buckets whose members are not all in one component are gathered to units (buckets that share a component; where such a unit would be
+   too large, the bucket alone). A unit's members outside its largest component are compared with all others, in blocks of bounded size:
+   batch by batch as before, then by counting the common shingles of survivors. A block gives at most one link for each two components that it joins.
+   So no link between components is lost, and pairs are never listed.
 
 Results: one row per input row. Null and blank texts have n_shingles 0 and their own component; rows with one doc_id
 count as rows of their own, their component is the smallest doc_id among the rows they reach; an empty table gives an empty table. Further columns are not kept.
@@ -36,8 +37,10 @@ BATCH = 32
 #: Posterior probability below which a candidate pair is given up.
 MISS = 1e-9
 THRESHOLD = 80
-#: Rounds of leaders before the remaining pairs are listed, at most.
-ROUNDS = 8
+#: Shingles of one side of a block, about, and sides of a unit at most.
+BLOCK, SIDES = 200_000, 48
+#: Bits of the sieve of wanted ids.
+SIEVE = 1 << 21
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -114,11 +117,19 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n long, k1 long, k2 long, sig binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, k1, k2, set (sorted shingle hashes)."""
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, k1, k2, set (sorted shingle hashes) of the documents whose doc_id is in ``ids``, and of few others.
+
+    A sieve of ``SIEVE`` bits, set for the hashes of the ids, spares most other texts the work and the shuffle; its size is the same however many ids there are."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).cast("int").alias("slot")
+    sieve = np.zeros(SIEVE, bool)
+    sieve[ids.select(slot).distinct().toArrow()["slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
         for b in batches:
+            b = b.filter(pa.array(bits[b.column(2).to_numpy()]))
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = list(sets_of(part.column(1), width))
@@ -128,7 +139,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "set"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, k1 long, k2 long, `set` array<long>")
+    return docs.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {key}, k1 long, k2 long, `set` array<long>")
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -179,44 +190,111 @@ def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels.select("v", "c")
 
 
-def linked_groups(s: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Components (v, c) of the graph whose links ``verify`` confirms among pairs that share a key; None without links to look for.
-
-    ``members`` has (key, v): a saved table that names every pair that may link by a common key. ``verify`` takes pairs (a, b) and
-    gives those that link, saved. Leaders come first, then all pairs that are still in different components."""
-    n_members = members.count()
-    if n_members == 0:
+def units(s: Scratch, members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(unit, block, v, c, side) for all that is still to be compared: side 0 and 1 of a block are compared with each other and side 0 with itself where the block's number says so.
+
+    ``sizes`` has (v, n). Vertices of a unit's largest component are only compared with the others."""
+    state = members.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+    open_keys = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key", "low")
+    rest = s.save(state.join(open_keys, "key"), "rest")
+    joined = connected(s, rest.filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct())
+    each = rest.select("v", "c").distinct().join(joined.select(F.col("v").alias("c"), F.col("c").alias("unit")), "c").join(sizes, "v")
+    each = s.save(each, "each")
+    large = each.groupBy("unit").agg(F.sum("n").alias("all")).filter(F.col("all") > SIDES * BLOCK).select("unit")
+    by_key = rest.select(F.col("key").alias("unit"), "v", "c").join(each.join(large, "unit", "left_semi").select("v", "n"), "v")
+    each = s.save(each.join(large, "unit", "left_anti").select("unit", "v", "c", "n").unionByName(by_key.select("unit", "v", "c", "n")), "each")
+    most = each.groupBy("unit", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "c")).alias("m")).select("unit", F.col("m.c").alias("main"))
+    each = each.join(most, "unit").withColumn("inner", F.col("c") == F.col("main"))
+    parts = lambda on: F.greatest(F.ceil(F.sum(F.when(on, F.col("n"))) / BLOCK), F.lit(1)).cast("int")
+    counts = each.groupBy("unit").agg(F.coalesce(parts(~F.col("inner")), F.lit(1)).alias("outs"), F.coalesce(parts(F.col("inner")), F.lit(1)).alias("ins"))
+    each = each.join(counts, "unit").withColumn("i", F.pmod(F.xxhash64("v"), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
+    block = lambda i, j, kind, side: F.struct((i.cast("long") * 4_000_000 + j * 2 + kind).alias("block"), F.lit(side).alias("side"))
+    i = F.col("i")
+    upward = F.transform(F.sequence(i, F.col("outs") - 1), lambda j: block(i, j, 0, 0))
+    downward = F.when(i > 0, F.transform(F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))), lambda j: block(j, i, 0, 1))).otherwise(F.array().cast("array<struct<block: bigint, side: int>>"))
+    across = F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda j: block(i, j, 1, 0))
+    outer = F.concat(upward, downward, across)
+    inner = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda j: block(j, i, 1, 1))
+    return each.withColumn("b", F.explode(F.when(F.col("inner"), inner).otherwise(outer))).select("unit", "b.block", "v", "c", "b.side")
+
+
+def compare_blocks(blocks: DataFrame, threshold: int, miss: float | None) -> DataFrame:
+    """Links (a, b) between components within blocks (unit, block, v, c, side, set, and sig if ``miss`` is given)."""
+    stops = [(k, least_matches(k, threshold / 100, miss)) for k in range(BATCH, BANDS * ROWS + 1, BATCH)] if miss else []
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        v, c, side = (table[x].to_numpy() for x in ("v", "c", "side"))
+        itself = int(table["block"][0].as_py()) % 2 == 0 and (side == 0).all()
+        sets = table["set"].chunk(0)
+        n = np.asarray(sets.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        _, code = np.unique(np.asarray(sets.flatten().to_numpy(zero_copy_only=False)), return_inverse=True)
+        owner = np.repeat(np.arange(len(v)), n)
+        order = np.argsort(code, kind="stable")
+        posted, at = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2 if len(code) else 1))
+        cut = np.concatenate([[0], np.cumsum(n)])
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(v), -1) if miss else None
+        parent = {x: x for x in c.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        other = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0).tolist():
+            if itself:
+                other = np.arange(i + 1, len(v))
+            alive = other[100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i])]
+            own = root(int(c[i]))
+            alive = alive[[root(x) != own for x in c[alive].tolist()]] if len(alive) else alive
+            matches = np.zeros(len(alive), np.int64)
+            for stop, least in stops:
+                part = slice(stop - BATCH, stop)
+                matches = matches + (sig[alive, part] == sig[i, part]).sum(axis=1)
+                alive, matches = alive[matches >= least], matches[matches >= least]
+            if not len(alive):
+                continue
+            mine = code[cut[i] : cut[i + 1]]
+            lengths = at[mine + 1] - at[mine]
+            places = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+            shared = np.bincount(posted[places], minlength=len(v))[alive]
+            for j in alive[100 * shared >= threshold * (n[i] + n[alive] - shared)].tolist():
+                x, y = root(int(c[i])), root(int(c[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((v[i], v[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return blocks.groupBy("unit", "block").applyInArrow(run, "a long, b long")
+
+
+def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids: Callable[[DataFrame, str], DataFrame], threshold: int, miss: float | None) -> DataFrame | None:
+    """Components (v, c) of the graph of links among vertices that share a key; None without any to look for.
+
+    ``members`` has (key, v), a saved table that names every pair that may link by a common key; ``sizes`` has (v, n) and, if ``miss`` is given, sig;
+    ``sets_of_ids`` takes ids (v) and gives (v, set), saved."""
+    if members.limit(1).count() == 0:
         return None
-    links, tested, labels = None, None, None
-    state = members.withColumn("c", F.col("v"))
-    for k in range(ROUNDS + 1):
-        spread = state.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "c")).alias("leader")
-        ).filter("low <> high")
-        last = False
-        if k:
-            spread = s.save(spread, "spread")
-            counts = state.join(spread.select("key", "size"), "key").groupBy("key", "size", "c").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (size - n)"))).first()[0] or 0
-            if counts == 0:
-                break
-            last = k == ROUNDS or counts // 2 <= 4 * n_members
-        if last:  # few pairs in different components are left, or leaders do not help: list them all
-            other = state.join(spread.select("key"), "key", "left_semi")
-            led = state.join(other.select("key", F.col("v").alias("w"), F.col("c").alias("d")), "key").filter("c < d")
-        else:
-            led = state.join(spread.select("key", F.col("leader.v").alias("w"), F.col("leader.c").alias("d")), "key").filter("c <> d")
-        pairs = led.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = s.save(pairs, "pairs")
-        new = verify(pairs)
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = connected(s, links)
-        if last:
-            break
-        state = s.save(members.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c")), "state")
-    return labels
+    more = ["sig"] if miss else []
+    leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("leader")).select("key", F.col("leader.v").alias("w"))
+    pairs = members.join(leader, "key").filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+    a = sizes.select(F.col("v").alias("a"), F.col("n").alias("n_a"), *(F.col(x).alias("sig_a") for x in more))
+    b = sizes.select(F.col("v").alias("b"), F.col("n").alias("n_b"), *(F.col(x).alias("sig_b") for x in more))
+    near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
+    near = s.save(bayes_prune(near, threshold, miss) if miss else near.select("a", "b"), "candidates")
+    sets = sets_of_ids(near.select(F.col("a").alias("v")).union(near.select("b")).distinct(), "led")
+    sa, sb = (sets.select(F.col("v").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    common = near.join(sa, "a").join(sb, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
+    links = s.save(common.filter(f"100L * common >= {threshold}L * (n_a + n_b - common)").select("a", "b"), "links")
+    labels = connected(s, links)
+    blocks = s.save(units(s, members, labels, sizes.select("v", "n")), "blocks")
+    sets = sets_of_ids(blocks.select("v").distinct(), "rest")
+    rows = blocks.join(sets, "v")
+    if miss:
+        rows = rows.join(sizes.select("v", "sig"), "v")
+    return connected(s, s.save(links.union(compare_blocks(rows, threshold, miss)), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -230,24 +308,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = s.save(keys.join(shared, "key"), "members")
 
-    sizes = rows.select(F.col("uid").alias("v"), "n", "sig")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
-        a = sizes.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-        b = sizes.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-        near = s.save(bayes_prune(near, threshold, miss), "candidates")
-        ids = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct()
-        wanted = s.save(rows.select("uid", "doc_id", "k1", "k2").join(ids, "uid", "left_semi"), "wanted")
-        texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-        # a repeated row gives its set twice, which only repeats a link
-        sets = s.save(full_sets(texts, width).join(wanted.select("uid", "k1", "k2"), ["k1", "k2"]).select("uid", "set"), "sets")
-        sa, sb = (sets.select(F.col("uid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        common = near.join(sa, "a").join(sb, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
-        return s.save(common.filter(f"100L * common >= {threshold}L * (n_a + n_b - common)").select("a", "b"), "links")
-
-    labels = linked_groups(s, members, verify)
+    def sets_of_ids(ids: DataFrame, name: str) -> DataFrame:
+        wanted = s.save(rows.select("uid", "doc_id", "k1", "k2").join(ids.withColumnRenamed("v", "uid"), "uid", "left_semi"), f"wanted-{name}")
+        found = full_sets(docs, wanted, width).join(wanted.select("uid", F.col("doc_id").alias("own"), "k1", "k2"), ["k1", "k2"])
+        # equal sets of other documents that the sieve let through, and of repeated rows, are left out
+        first = found.filter("doc_id = own").dropDuplicates(["uid"]) if repeated else found.filter("doc_id = own")
+        return s.save(first.select(F.col("uid").alias("v"), "set"), f"sets-{name}")
+
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    labels = linked_groups(s, members, rows.select(F.col("uid").alias("v"), "n", "sig"), sets_of_ids, threshold, miss)
     by_class = classes.select("k1", "k2", "v", "first")
     if labels is not None:
         by_class = by_class.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
