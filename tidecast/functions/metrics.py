@@ -30,13 +30,22 @@ def bias(actual: Column, forecast: Column) -> Column:
 
 def mase(actual: Column, forecast: Column, scale: Column) -> Column:
     """The mean of errors over their series' scale; rows without a positive scale are left out."""
-    return F.avg(F.when(scale > 0, F.abs(actual - forecast).cast("double") / scale))
+    return steady_mean(F.when(scale > 0, F.abs(actual - forecast).cast("double") / scale))
 
 
 def pinball(actual: Column, forecast: Column, q: float) -> Column:
     d = actual - forecast
-    return F.avg(F.greatest(q * d, (q - 1) * d))
+    return steady_mean(F.greatest(q * d, (q - 1) * d))
 
 
 def coverage(actual: Column, low: Column, high: Column) -> Column:
-    return F.avg(F.when((actual >= low) & (actual <= high), 1.0).otherwise(0.0))
+    return F.count_if((actual >= low) & (actual <= high)) / F.count(F.lit(1))
+
+
+def steady_sum(value: Column) -> Column:
+    """A sum of doubles that does not depend on the order of rows: of whole billionths."""
+    return F.sum(F.floor(value * 1e9).cast("decimal(38,0)")).cast("double") / 1e9
+
+
+def steady_mean(value: Column) -> Column:
+    return steady_sum(value) / F.count(value)

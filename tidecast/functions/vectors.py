@@ -38,5 +38,7 @@ def hash_embedding(name: Column, dims: int = DIMS) -> Column:
         F.sequence(F.lit(0), F.lit(dims - 1)),
         lambda d: F.aggregate(F.filter(signed, lambda s: s["at"] == d), F.lit(0.0), lambda t, s: t + s["v"]),
     )
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
-    return F.transform(sums, lambda x: F.coalesce(F.try_divide(x, norm(sums)), F.lit(0.0)))
+    # bound to a name twice, so that sums and length are found once
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
+    known = F.transform(F.array(sums), lambda v: F.struct(v.alias("v"), length(v).alias("n")))
+    return F.transform(known, lambda k: F.transform(k["v"], lambda x: F.coalesce(F.try_divide(x, k["n"]), F.lit(0.0))))[0]

@@ -66,6 +66,11 @@ def with_rate(rows: DataFrame, fx: DataFrame, policy: str = "constant", base_mon
     return out.crossJoin(only_usd.select("_usd")).withColumn("rate", rate).select(*rows.columns, "rate")
 
 
+def in_usd(value: Column, rate: str = "rate") -> Column:
+    """Money times its rate, without rounding before the fourth place."""
+    return value.cast("decimal(20,8)") * F.col(rate).cast("decimal(9,4)")
+
+
 def mapped_series(sales: DataFrame, mapping: DataFrame, fx: DataFrame, policy: str = "constant", base_month: date | None = None) -> DataFrame:
     """month, oem, region, product, units, revenue (US dollars) of source rows with month, account_id, end_account_id, product, units, revenue, currency.
 
@@ -73,7 +78,7 @@ def mapped_series(sales: DataFrame, mapping: DataFrame, fx: DataFrame, policy: s
     keys = ["month", "account_id", "end_account_id", "product", "currency"]
     sales = sales.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
     mapped = with_rate(map_facts(sales, mapping, ("units", "revenue")), fx, policy, base_month)
-    return mapped.groupBy("month", "oem", "region", "product").agg(exact_sum(F.col("units"), "decimal(38,8)").alias("units"), exact_sum(F.col("revenue") * F.col("rate"), "decimal(38,8)").alias("revenue"))
+    return mapped.groupBy("month", "oem", "region", "product").agg(exact_sum(F.col("units")).alias("units"), exact_sum(in_usd(F.col("revenue"))).alias("revenue"))
 
 
 def future_rates(fx: DataFrame, months: DataFrame, policy: str = "constant", base_month: date | None = None) -> DataFrame:

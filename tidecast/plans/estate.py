@@ -40,7 +40,7 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
         F.col("r_name").alias("region"),
         F.col("p_type").alias("product"),
         F.col("l_quantity").alias("units"),
-        (F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("revenue"),
+        (F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(17,4)").alias("revenue"),
         currency.alias("currency"),
     )
 
@@ -162,6 +162,11 @@ VIEWS = {
     FROM supplier JOIN places ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 AND s_suppkey > 0""",
     "fx": f"""SELECT month, c AS currency, CAST(CAST(b + (year(month) * 12 + month(month)) % 7 * s AS DECIMAL(9,4)) / 10000 AS DECIMAL(9,4)) AS rate
     FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-12-01', INTERVAL 1 MONTH)) AS DATE) AS month) CROSS JOIN (VALUES {_RATES}) r(c, b, s)""",
+    "source": "SELECT row_number() OVER (ORDER BY month, account_id, end_account_id, product) AS rid, * FROM (SELECT month, account_id, end_account_id, product, currency, sum(CAST(units AS DECIMAL(18,2))) AS units, sum(revenue) AS revenue FROM sales GROUP BY ALL)",
+    "mapped": """SELECT s.* EXCLUDE (units, revenue), coalesce(g.oem, 'UNMAPPED') AS oem, coalesce(g.region, 'UNK') AS region, coalesce(g.pct, 1) AS pct, s.units * coalesce(g.pct, 1) AS units, s.revenue * coalesce(g.pct, 1) AS revenue
+    FROM source s LEFT JOIN (SELECT rid, m.oem, m.region, m.pct FROM source s JOIN mapping m ON s.end_account_id = m.account_id AND m.valid_from <= s.month AND (m.valid_to IS NULL OR s.month < m.valid_to)
+      UNION ALL SELECT rid, m.oem, m.region, m.pct FROM source s JOIN mapping m ON s.account_id = m.account_id AND m.valid_from <= s.month AND (m.valid_to IS NULL OR s.month < m.valid_to)
+        WHERE NOT EXISTS (SELECT 1 FROM mapping e WHERE s.end_account_id = e.account_id AND e.valid_from <= s.month AND (e.valid_to IS NULL OR s.month < e.valid_to))) g ON g.rid = s.rid""",
     "backlog": f"""SELECT CAST(date_trunc('month', l_shipdate) - to_months(CAST(o_orderkey % 3 + 1 AS INTEGER)) AS DATE) AS snapshot_month, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
     c_mktsegment AS oem, r_name AS region, p_type AS product, sum(l_quantity) AS units, CAST(sum({_REVENUE}) AS DOUBLE) AS value FROM {_LINES} WHERE l_linestatus = 'O' GROUP BY ALL""",
     "plan": f"""SELECT * EXCLUDE (rule, ai_revenue), ai_units * CASE rule WHEN 0 THEN 1.25::DOUBLE WHEN 1 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS consensus_units,
@@ -170,12 +175,21 @@ VIEWS = {
     FROM (SELECT *, (length(oem) + length(product) + horizon) % 3 AS rule FROM (SELECT a.oem, a.region, a.product, a.month, CAST(datediff('month', {CYCLE_SQL}, a.month) AS INTEGER) AS horizon, b.units AS ai_units, b.revenue AS ai_revenue,
       c.units AS naive_units, a.units AS y FROM panel a JOIN panel b ON a.oem = b.oem AND a.region = b.region AND a.product = b.product AND a.month = CAST(b.month + INTERVAL 12 MONTH AS DATE)
       JOIN panel c ON a.oem = c.oem AND a.region = c.region AND a.product = c.product AND c.month = {CYCLE_SQL}) WHERE horizon BETWEEN 1 AND 6)""",
+    "steps": """SELECT *, count(*) OVER (PARTITION BY unique_id) AS n, coalesce(sum(abs(d12)) OVER w / count(d12) OVER w, 0) AS far, sum(abs(d1)) OVER w / count(d1) OVER w AS near,
+      sqrt(sum(d1 * d1) OVER w / count(d1) OVER w) AS s1, sqrt(sum(d12 * d12) OVER w / count(d12) OVER w) AS s12
+    FROM (SELECT oem || '|' || region || '|' || product AS unique_id, month AS ds, units AS y, row_number() OVER p AS t, units - lag(units) OVER p AS d1, units - lag(units, 12) OVER p AS d12
+      FROM panel WINDOW p AS (PARTITION BY oem, region, product ORDER BY month)) WINDOW w AS (PARTITION BY unique_id ORDER BY t ROWS UNBOUNDED PRECEDING)""",
+    "bt": """SELECT model, unique_id, origin, h, ds, y, mean, least(greatest(mean - 1.2815515655446004::DOUBLE * s, 0.0::DOUBLE), mean) AS q10, mean AS q50, greatest(mean + 1.2815515655446004::DOUBLE * s, mean) AS q90, scale
+    FROM (SELECT 'Naive' AS model, a.unique_id, o.ds AS origin, CAST(a.t - o.t AS INTEGER) AS h, a.ds, a.y, o.y AS mean, o.s1 * sqrt(CAST(a.t - o.t AS DOUBLE)) AS s, o.far AS scale
+      FROM steps o JOIN steps a ON a.unique_id = o.unique_id AND a.t > o.t AND a.t <= o.t + 12 WHERE o.t >= 18 AND (o.t - 18) % 3 = 0
+      UNION ALL SELECT 'SeasonalNaive', a.unique_id, o.ds, CAST(a.t - o.t AS INTEGER), a.ds, a.y, l.y, o.s12, o.far
+      FROM steps o JOIN steps a ON a.unique_id = o.unique_id AND a.t > o.t AND a.t <= o.t + 12 JOIN steps l ON l.unique_id = a.unique_id AND l.t = a.t - 12 WHERE o.t >= 18 AND (o.t - 18) % 3 = 0)""",
     "capacity": f"""SELECT m.month, region, product, capacity FROM (SELECT region, product, floor(sum(u) / count(*)) AS capacity FROM
       (SELECT region, product, month, sum(units) AS u FROM panel WHERE month <= {CYCLE_SQL} GROUP BY ALL) GROUP BY ALL)
     CROSS JOIN (SELECT CAST(unnest(generate_series(CAST({CYCLE_SQL} + INTERVAL 1 MONTH AS DATE), CAST({CYCLE_SQL} + INTERVAL 6 MONTH AS DATE), INTERVAL 1 MONTH)) AS DATE) AS month) m""",
 }
 #: What each view reads of the others.
-_USES = {"kept": ("sales",), "series": ("kept",), "months": ("series",), "panel": ("series", "months"), "mapping": ("places",), "plan": ("panel",), "capacity": ("panel",)}
+_USES = {"kept": ("sales",), "series": ("kept",), "months": ("series",), "panel": ("series", "months"), "mapping": ("places",), "plan": ("panel",), "capacity": ("panel",), "source": ("sales",), "mapped": ("source", "mapping"), "steps": ("panel",), "bt": ("steps",)}
 
 
 def with_views(names: str, body: str) -> str:
