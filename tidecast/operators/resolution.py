@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidecast.config import DEFAULT, OPEN_START, EngineConfig
 from tidecast.functions.text import GENERIC, name_similarity, normalize_name
 from tidecast.functions.vectors import hash_embedding
+from tidecast.sources.tables import checkpointed
 
 # Rules that match an identifier of an account, the account's column and the kind of identifier.
 IDENTIFIER_RULES = {
@@ -163,7 +164,8 @@ def map_by_name(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, reje
         best = Window.partitionBy("account_id").orderBy(F.col("score").desc(), "oem")
         top = scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1 and region is not null").filter(F.col("score") >= config.fuzzy_review)
         status = F.when(F.col("score") >= config.fuzzy_auto, "ACTIVE").otherwise("PENDING_REVIEW")
-        top = top.select("account_id", "oem", "region", F.col("score").alias("confidence"), status.alias("status")).checkpoint()
+        top = top.select("account_id", "oem", "region", F.col("score").alias("confidence"), status.alias("status"))
+        top = checkpointed(top)
         sure = top.filter("status = 'ACTIVE'")
         if sure.limit(1).count() == 0:
             return top if out is None else out.unionByName(top)
