@@ -24,12 +24,13 @@ def cosine(a: Column, b: Column) -> Column:
 def features(name: Column, orders: tuple[int, ...] = (3, 4)) -> Column:
     """The marked runs of characters and, twice, the words of a cleaned name."""
     text = F.concat(F.lit(" "), normalize_name(name), F.lit(" "))
-    grams = []
-    for n in orders:
+
+    def runs(n: int) -> Column:
         starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.concat(F.lit(f"c{n}:"), F.substring(text, i, F.lit(n)))))
+        return F.transform(starts, lambda i: F.concat(F.lit(f"c{n}:"), F.substring(text, i, F.lit(n))))
+
     words = F.transform(F.filter(F.split(F.trim(text), " "), lambda w: w != ""), lambda w: F.concat(F.lit("w:"), w))
-    return F.concat(*grams, words, words)
+    return F.concat(*map(runs, orders), words, words)
 
 
 def hash_embedding(name: Column, dims: int = DIMS) -> Column:

@@ -36,100 +36,64 @@ def seasonal_naive(y: np.ndarray, horizon: int, season: int = 12) -> Fit:
 # ---------------------------------------------------------------- exponential smoothing
 
 
-def _smooth(y: np.ndarray, p: np.ndarray, trend: bool, season: int, level: float, slope: float, cycle: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """One-step forecasts of additive smoothing with parameters (alpha, beta, phi, gamma), and the states at the end."""
-    alpha, beta, phi, gamma = map(float, p)
-    fitted, seasons, size = [], cycle.tolist(), season or 1
-    if not trend:
-        slope = 0.0
-    for t, v in enumerate(y.tolist()):  # plain floats: a step depends on the one before it
-        s = seasons[t % size] if season else 0.0
-        base = level + phi * slope
-        f = base + s
-        e = v - f
-        level = base + alpha * e
-        if trend:
-            slope = phi * slope + beta * e
-        if season:
-            seasons[t % size] = s + gamma * e
-        fitted.append(f)
-    return np.array(fitted), level, slope, np.array(seasons)
-
-
-def _search(loss: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Nelder and Mead's simplex within the unit cube."""
-    n = len(start)
-    cut = lambda x: np.clip(x, 0.001, 0.999)
-    points = [start, *(cut(start + 0.25 * (1 if start[i] < 0.6 else -1) * np.eye(n)[i]) for i in range(n))]
-    values = [loss(x) for x in points]
-    for _ in range(rounds):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] <= 1e-6 * (abs(values[0]) + 1e-9):
-            break
-        centre = np.mean(points[:-1], axis=0)
-        x = cut(2 * centre - points[-1])
-        f = loss(x)
-        if f < values[0]:
-            far = cut(3 * centre - 2 * points[-1])
-            g = loss(far)
-            x, f = (far, g) if g < f else (x, f)
-        elif f >= values[-2]:
-            near = cut(0.5 * (centre + (x if f < values[-1] else points[-1])))
-            g = loss(near)
-            if g < min(f, values[-1]):
-                x, f = near, g
-            else:
-                points = [points[0], *(cut(points[0] + 0.5 * (q - points[0])) for q in points[1:])]
-                values = [values[0], *map(loss, points[1:])]
-                continue
-        points[-1], values[-1] = x, f
-    best = int(np.argmin(values))
-    return points[best], values[best]
+def _grid(trend: bool, season: bool) -> np.ndarray:
+    """Candidate parameters (level, slope, damping, season), a row each."""
+    level = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.55, 0.75, 0.95)
+    rows = [(a, b * a, phi, g * (1 - a)) for a in level for b in ((0.01, 0.1, 0.3) if trend else (0.0,)) for phi in ((0.85, 0.95) if trend else (0.0,)) for g in ((0.01, 0.1, 0.3) if season else (0.0,))]
+    return np.array(rows)
+
+
+def ets_origins(y: np.ndarray, origins: list[int], horizon: int, season: int = 12) -> list[Fit]:
+    """Additive exponential smoothing without or with a damped trend and a season, by the corrected information criterion, after each training size in ``origins``.
+
+    Starting states rest on the first months alone, so one walk over a series serves all its origins: all candidate parameters go along as a vector, and each origin
+    takes those with the least errors so far."""
+    best: dict[int, tuple] = {}
+    marks = set(origins)
+    for m in (0, season) if season > 1 and len(y) >= 2 * season + 2 else (0,):
+        cycle0 = np.mean([y[k * m : (k + 1) * m] - y[k * m : (k + 1) * m].mean() for k in range(2)], axis=0) if m else np.zeros(1)
+        head = y[: max(m, 6)] - (cycle0[np.arange(len(y[: max(m, 6)])) % m] if m else 0.0)
+        for trend in (False, True):
+            alpha, beta, phi, gamma = _grid(trend, m > 0).T
+            n_par = 2 + 2 * trend + trend + (m + 1 if m else 0)
+            level, slope = np.full(len(alpha), head.mean()), np.full(len(alpha), (y[min(5, len(y) - 1)] - y[0]) / 5 if trend else 0.0)
+            cycle = np.repeat(cycle0[:, None], len(alpha), axis=1)
+            sse, fitted = np.zeros(len(alpha)), np.empty((len(y), len(alpha)))
+            for t, v in enumerate(y.tolist()):
+                s = cycle[t % m] if m else 0.0
+                base = level + phi * slope
+                fitted[t] = base + s
+                e = v - fitted[t]
+                level = base + alpha * e
+                slope = phi * slope + beta * e
+                if m:
+                    cycle[t % m] = s + gamma * e
+                sse = sse + e * e
+                n = t + 1
+                if n not in marks or (m and n < 2 * m + 2) or n - n_par - 1 <= 0:
+                    continue
+                k = int(sse.argmin())
+                score = n * np.log(max(float(sse[k]), 1e-9) / n) + 2 * n_par + 2 * n_par * (n_par + 1) / (n - n_par - 1)
+                if n not in best or score < best[n][0]:
+                    best[n] = (score, (alpha[k], beta[k], phi[k], gamma[k]), trend, m, float(level[k]), float(slope[k]), cycle[:, k].copy(), float(sse[k]), fitted[:n, k].copy())
+    out = []
+    h = np.arange(1, horizon + 1)
+    for n in origins:
+        if n not in best:
+            out.append(naive(y[:n], horizon, season))
+            continue
+        _, (alpha, beta, phi, gamma), trend, m, level, slope, cycle, sse, fitted = best[n]
+        mean = level + slope * np.cumsum(phi**h) if trend else np.full(horizon, level)
+        if m:
+            mean = mean + cycle[(n + h - 1) % m]
+        w = alpha + (beta * np.cumsum(phi**h) if trend else 0.0) + (gamma * (h % m == 0) if m else 0.0)
+        w = np.broadcast_to(w, (horizon,))
+        out.append((mean, np.sqrt(sse / max(n - 1, 1)) * np.sqrt(1 + np.r_[0.0, np.cumsum(w**2)[:-1]]), fitted))
+    return out
 
 
 def ets(y: np.ndarray, horizon: int, season: int = 12) -> Fit:
-    """Additive exponential smoothing without or with a damped trend and a season, by the corrected information criterion."""
-    n = len(y)
-    best = None
-    for trend in (False, True):
-        for m in (0, season) if season > 1 and n >= 2 * season + 2 else (0,):
-            cycle = np.zeros(max(m, 1))
-            if m:
-                years = n // m
-                cycle = np.array([np.mean([y[k * m + i] - y[k * m : (k + 1) * m].mean() for k in range(years)]) for i in range(m)])
-            head = y[: max(m, min(n, 6))] - (cycle[np.arange(max(m, min(n, 6))) % m] if m else 0.0)
-            level, slope = float(head.mean()), float((y[-1] - y[0]) / max(n - 1, 1)) if trend else 0.0
-            free = [0, *((1, 2) if trend else ()), *((3,) if m else ())]
-
-            def full(x: np.ndarray, free=free) -> np.ndarray:
-                p = np.array([0.3, 0.1, 0.9, 0.1])
-                p[free] = x
-                return np.array([p[0], p[1] * p[0], 0.8 + 0.18 * p[2], p[3] * (1 - p[0])])
-
-            def loss(x: np.ndarray, trend=trend, m=m, level=level, slope=slope, cycle=cycle, full=full) -> float:
-                e = y - _smooth(y, full(x), trend, m, level, slope, cycle)[0]
-                return float((e * e).sum())
-
-            x, sse = _search(loss, np.array([0.3, 0.1, 0.9, 0.1])[free], 40)
-            k = len(free) + 1 + trend + m
-            if n - k - 1 <= 0 and best is not None:
-                continue
-            score = n * np.log(max(sse, 1e-9) / n) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
-            if best is None or score < best[0]:
-                best = (score, full(x), trend, m, level, slope, cycle)
-    _, p, trend, m, level, slope, cycle = best
-    fitted, level, slope, cycle = _smooth(y, p, trend, m, level, slope, cycle)
-    h = np.arange(1, horizon + 1)
-    mean = np.full(horizon, level)
-    if trend:
-        mean = mean + slope * np.cumsum(p[2] ** h)
-    if m:
-        mean = mean + cycle[(n + h - 1) % m]
-    sigma = np.sqrt(((y - fitted) ** 2).sum() / max(n - 1, 1))
-    weights = p[0] + (p[1] * np.cumsum(p[2] ** h) if trend else 0.0) + (p[3] * (h % m == 0) if m else 0.0)
-    spread = sigma * np.sqrt(1 + np.r_[0.0, np.cumsum(weights**2)[:-1]])
-    return mean, spread, fitted
+    return ets_origins(y, [len(y)], horizon, season)[0]
 
 
 # ---------------------------------------------------------------- autoregression
@@ -263,15 +227,17 @@ def forecast(panel: DataFrame, models: tuple[str, ...], horizon: int = HORIZON,
         rows = rows.sort_values("ds")
         y, ds = rows["y"].to_numpy(float), rows["ds"].tolist()
         out = []
-        for o in [len(y)] if first is None else range(first, len(y), step):
+        origins = [len(y)] if first is None else list(range(first, len(y), step))
+        walked = dict(zip(origins, ets_origins(y, origins, horizon, season), strict=True)) if "AutoETS" in models else {}
+        for o in origins:
             h = horizon if first is None else min(horizon, len(y) - o)
             months = _months(ds[o - 1], h)
             for m in models:
                 try:
-                    mean, spread, _ = MODELS[m](y[:o], h, season)
+                    mean, spread, _ = walked[o] if m == "AutoETS" else MODELS[m](y[:o], h, season)
                 except (ValueError, np.linalg.LinAlgError):
                     continue
-                b = band(y[:o], mean, spread)
+                b = band(y[:o], mean[:h], spread[:h] if spread is not None else None)
                 if np.isfinite(b).all():
                     out += [(m, key[0], ds[o - 1], k + 1, months[k], *map(float, b[k])) for k in range(h)]
         return pd.DataFrame(out, columns=["model", "unique_id", "origin", "h", "ds", "mean", "q10", "q50", "q90"])

@@ -11,6 +11,7 @@ from tidecast.config import DEFAULT
 from tidecast.operators import backtest, forecast_run, mapping, models, panel, prices, reconcile
 from tidecast.plans import estate
 from tidecast.plans.registry import query
+from tidecast.sources.tables import checkpointed
 
 KEYS = ("oem", "region", "product")
 
@@ -44,7 +45,7 @@ def model_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all models of single series, with the ensemble."""
     long = _long(spark, sf)
     own = backtest.with_actuals(models.forecast(long, ("AutoETS", "AutoARIMA", "CrostonSBA", "TSB"), first=backtest.FIRST), long)
-    bt = backtest.add_ensemble(backtest.naive_backtest(long).unionByName(own))
+    bt = backtest.add_ensemble(checkpointed(backtest.naive_backtest(long).unionByName(own)))
     segment = estate.series(spark, sf).select(F.concat_ws("|", *KEYS).alias("unique_id"), F.lit("smooth").alias("segment")).distinct()
     return backtest.score_horizons(bt, segment)
 
