@@ -174,3 +174,18 @@ def map_by_name(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, reje
         left = left.join(sure.select("account_id"), "account_id", "left_anti")
         last = top.filter("status <> 'ACTIVE'")
     return out.unionByName(last.join(out.select("account_id"), "account_id", "left_anti"))
+
+
+def review_queue(mapping: DataFrame, accounts: DataFrame, oems: DataFrame) -> DataFrame:
+    """account_id, name, oem, oem_name, region, confidence of what waits for review."""
+    waits = mapping.filter(F.col("status") == "PENDING_REVIEW").select("account_id", "oem", "region", "confidence")
+    return waits.join(accounts.select("account_id", "name"), "account_id").join(oems.select("oem", "oem_name"), "oem").select("account_id", "name", "oem", "oem_name", "region", "confidence")
+
+
+def search(accounts: DataFrame, text: str | None = None, **equal: str | None) -> DataFrame:
+    """Accounts whose name holds ``text`` in either case, with given columns equal; what is not given is not asked."""
+    out = accounts if not text else accounts.filter(F.lower("name").contains(text.lower()))
+    for column, value in equal.items():
+        if value is not None:
+            out = out.filter(F.col(column) == value)
+    return out

@@ -170,3 +170,21 @@ def uplift_samples(spark: SparkSession, sf: str) -> DataFrame:
     opps, snaps, asof = _opps(spark, sf), _snaps(spark, sf), F.lit(ASOF)
     known = snaps.filter(F.col("snapshot_month") <= asof)
     return commercial.uplift_samples(commercial.open_pipeline(opps, snaps, asof), _nodes(spark, sf), commercial.slips(known), commercial.delays(opps, known, asof), asof)
+
+
+@query(
+    f"""WITH {_BASE}, n AS (SELECT opportunity_id, unnest(CASE WHEN opportunity_id % 4 = 0 THEN ['A', 'B'] ELSE ['A'] END) AS oem, unnest(CASE WHEN opportunity_id % 4 = 0 THEN [0.75::DOUBLE, 0.25::DOUBLE] ELSE [1.0::DOUBLE] END) AS pct FROM (SELECT DISTINCT opportunity_id FROM snaps))
+SELECT oem, 'R' || (s.opportunity_id % 2) AS region, 'P' || (s.opportunity_id % 4) AS product, snapshot_month AS month, coalesce(sum(quantity_units * pct) FILTER (stage <= 5), 0.0::DOUBLE) AS pipeline_open, coalesce(sum(quantity_units * pct) FILTER (stage = 6), 0.0::DOUBLE) AS won_qty FROM snaps s JOIN n ON n.opportunity_id = s.opportunity_id GROUP BY ALL"""
+)
+def pipeline_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    return commercial.drivers(_opps(spark, sf), _snaps(spark, sf), _nodes(spark, sf))
+
+
+@query(
+    f"""{_UPLIFT}, per AS (SELECT opportunity_id, oem, region, product, stage, max(win_prob) AS win_prob, {_STEADY('expected_units')} AS expected_units, {_STEADY('unweighted_units')} AS unweighted_units FROM uplift WHERE oem = 'A' AND region = 'R1' GROUP BY ALL)
+SELECT *, expected_units / (SELECT {_STEADY('expected_units')} FROM per) AS share_of_uplift FROM per ORDER BY expected_units DESC, opportunity_id LIMIT 40"""
+)
+def node_opportunities(spark: SparkSession, sf: str) -> DataFrame:
+    from tidecast.operators import views
+
+    return views.node_opportunities(uplift_rows(spark, sf), oem="A", region="R1")

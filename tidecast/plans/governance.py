@@ -165,3 +165,19 @@ def override_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.filter(hierarchy.level_of(F.col("oem"), F.col("region"), F.col("product")) == "OEM_REGION")
 
 
+
+
+@query(f"WITH {_OVERRIDES} SELECT override_id, oem, region, month FROM ovs WHERE oem = 'MACHINERY' ORDER BY override_id DESC LIMIT 50")
+def node_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest overrides of nodes that overlap an oem's node of one product."""
+    from tidecast.operators import views
+
+    return views.node_overrides(_overrides(spark, sf), oem="MACHINERY", product="SMALL").select("override_id", "oem", "region", "month")
+
+
+@query()
+def simulated_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    from tidecast.sources import synthetic
+
+    plan = estate.plan(spark, sf)
+    return synthetic.simulate_overrides(plan, plan.select("oem", "region", "product", "month", "y"))

@@ -164,3 +164,15 @@ def sample_paths(spark: SparkSession, sf: str) -> DataFrame:
 def forecast_points(spark: SparkSession, sf: str) -> DataFrame:
     """A whole run with the fast models."""
     return forecast_run.run(estate.panel(spark, sf), ("SeasonalNaive", "AutoETS", "CrostonSBA"), config=replace(DEFAULT, samples=200)).points
+
+
+@query()
+def benchmark_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the naive models with every model's status and champions."""
+    from tidecast.operators import views
+
+    long = _long(spark, sf)
+    bt = backtest.naive_backtest(long)
+    segment = long.select("unique_id", F.lit("smooth").alias("segment")).distinct()
+    chosen = backtest.champions(backtest.score_buckets(bt, segment), backtest.priors_table(spark, {"smooth": ["SeasonalNaive"]}))
+    return views.benchmark_rows(backtest.score_horizons(bt, segment), models.model_status(bt), chosen)

@@ -240,3 +240,17 @@ def fuzzy_mapping(spark: SparkSession, sf: str) -> DataFrame:
     accounts = p.filter("p_partkey < 60").select(k.alias("account_id"), names.alias("name"), F.when(k % 2 == 0, "EU").alias("region"))
     mapped = p.filter("p_partkey between 100 and 150").select(k.alias("account_id"), F.col("p_name").alias("name"), F.lit("US").alias("region"), F.element_at(F.split("p_name", " "), -1).alias("oem"))
     return resolution.score_accounts(accounts, aliases, mapped)
+
+
+@query("SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS oem, 'The ' || c_mktsegment AS oem_name, r_name AS region, 0.7::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 10 = 4")
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    c = estate.table(spark, sf, "customer")
+    waiting = estate.mapping(spark, sf).filter("account_id >= 0").withColumns({"status": F.when(F.col("account_id") % 10 == 4, "PENDING_REVIEW").otherwise("ACTIVE"), "confidence": F.lit(0.7)})
+    oems = c.select(F.col("c_mktsegment").alias("oem")).distinct().withColumn("oem_name", F.concat(F.lit("The "), "oem"))
+    return resolution.review_queue(waiting, c.select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name")), oems)
+
+
+@query("SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS segment FROM customer WHERE lower(c_name) LIKE '%r#00000001%' AND c_mktsegment = 'MACHINERY'")
+def account_search(spark: SparkSession, sf: str) -> DataFrame:
+    accounts = estate.table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return resolution.search(accounts, "R#00000001", segment="MACHINERY")
