@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words that a task remembers; at that many it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Characters of text that are encoded together, so that working lists stay small.
 STEP = 1_000_000
 # The white space of the tokenizer's patterns, and its pre-token pattern.
@@ -35,6 +35,45 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _WORDS = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^" + _SPACE + "\\p{L}\\p{N}]+")
 
 
+# What the tokenizer counts as letters and numbers (first, last) beyond Unicode 15.1, and small letters that it knows beyond it (first, last, distance).
+_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+_SMALL = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+# The small sigma in every place: lower case goes letter by letter, without a final form.
+_LOWER = {0x3A3: 0x3C3} | {c: c + d for a, b, d in _SMALL for c in range(a, b + 1)}
+
+
+def _class(marked: np.ndarray) -> str:
+    """A pattern's character class of the code points at which ``marked`` holds."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return "".join(f"\\U{lo:08X}-\\U{hi - 1:08X}" for lo, hi in edges.reshape(-1, 2).tolist())
+
+
+@functools.lru_cache(maxsize=1)
+def _exact_words() -> tuple[regex.Pattern, regex.Pattern]:
+    """A pattern of characters that this interpreter's patterns class otherwise than the tokenizer, and the word pattern for texts that have one."""
+    whole = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+    kinds = np.frombuffer("".join(map(unicodedata.category, whole)).encode(), "S1")[::2]
+    disputed = np.zeros(len(whole), bool)
+    classes = []
+    for kind, more in (("L", _LETTERS), ("N", _NUMBERS)):
+        true, own = kinds == kind.encode(), np.zeros(len(whole), bool)
+        for lo, hi in more:
+            true[lo : hi + 1] = True
+        for m in regex.finditer(rf"\p{{{kind}}}+", whole):
+            own[m.start() : m.end()] = True
+        disputed |= true != own
+        classes.append(_class(true))
+    a, b = classes
+    return regex.compile(f"[{_class(disputed)}]" if disputed.any() else r"(?!)"), regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{a}]+|[{b}]|[^{_SPACE}{a}{b}]+")
+
+
 def _byte_alphabet() -> list[str]:
     """The letter that stands for each byte: printable bytes themselves, the others from U+0100 on, in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -155,9 +194,11 @@ class WordBpe:
         return new
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without a final sigma
-        return _WORDS.findall(text.lower())
+        if text.isascii():
+            return _WORDS.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).translate(_LOWER).lower()
+        disputed, exact = _exact_words()
+        return (exact if disputed.search(text) else _WORDS).findall(text)
 
     def pieces(self, text: str) -> Iterator[list[str] | int]:
         """Words, and ids of the special tokens whose strings stand in the text."""
