@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words that a task remembers; at that many it starts anew.
-CACHE = 150_000
+CACHE = 300_000
 #: Characters of text that are encoded together, so that working lists stay small.
 STEP = 1_000_000
 # The white space of the tokenizer's patterns, and its pre-token pattern.
@@ -49,6 +50,10 @@ _SMALL = (
 _LOWER = {0x3A3: 0x3C3} | {c: c + d for a, b, d in _SMALL for c in range(a, b + 1)}
 
 
+#: Beyond Latin letters and common marks; within them all versions of Unicode agree.
+_UNUSUAL = re.compile("[^\x00-\u024f\u2000-\u206f\u20ac]")
+
+
 def _class(marked: np.ndarray) -> str:
     """A pattern's character class of the code points at which ``marked`` holds."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
@@ -196,7 +201,10 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         if text.isascii():
             return _WORDS.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).translate(_LOWER).lower()
+        text = unicodedata.normalize("NFC", text)
+        if not _UNUSUAL.search(text):
+            return _WORDS.findall(text.lower())
+        text = text.translate(_LOWER).lower()
         disputed, exact = _exact_words()
         return (exact if disputed.search(text) else _WORDS).findall(text)
 
