@@ -4,7 +4,7 @@ Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lowe
 ``GRAM`` words the one with the least hash (the last of equals) goes into an inverted index; a text that has ``WINDOW + GRAM - 1`` = 5 of a template's words
 in a row is sure to meet the index. The runs of a document that are in it name its candidates: a template and a diagonal (place in the document less
 place in the template). Around groups of diagonals the template is aligned with the document in a band of ``BAND`` words to
-either side: the longest common subsequence within the band, of those the one that ends first. Coverage is the share of the template's words that are matched;
+either side: the longest common subsequence within the band, of those the one that spans least. Coverage is the share of the template's words that are matched;
 ``COVERAGE`` or more is a finding. Of findings that overlap, the one with more matched words stays, of equals the
 shorter template, then the shorter span, then the first license by name.
 
@@ -90,11 +90,11 @@ def align(template: np.ndarray, document: np.ndarray, diagonal: int) -> tuple[in
         word = template[row]
         for k in range(width):
             at = row + diagonal - BAND + k
-            value = left if left[0] >= above[k + 1][0] else above[k + 1]
+            value = max(left, above[k + 1], key=lambda c: c[:2])  # of as many matches the one that begins last
             if 0 <= at < len(document) and document[at] == word:
                 before = above[k]
                 taken = (before[0] + 1, at if before[1] < 0 else before[1], at)
-                if taken[0] > value[0] or (taken[0] == value[0] and taken[2] - taken[1] < value[2] - value[1]):
+                if taken[:2] > value[:2]:
                     value = taken
             here.append(value)
             left = value
