@@ -1,11 +1,11 @@
-"""Each query with SQL, on the smallest tables, against DuckDB."""
+"""Each query with SQL, against DuckDB."""
 
 import pytest
 
 from tests.oracle import connect, differences
 from tidecast.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 NAMES = sorted(registry.oracle_sql())
 
 

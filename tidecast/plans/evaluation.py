@@ -28,7 +28,7 @@ def _contest(spark: SparkSession, sf: str) -> DataFrame:
 _SEGMENT = "CASE WHEN length(split_part(unique_id, '|', 3)) % 2 = 0 THEN 'smooth' ELSE 'erratic' END"
 _STEADY = lambda x: f"CAST(sum(CAST(floor({x} * 1e9::DOUBLE) AS HUGEINT)) AS DOUBLE) / 1e9::DOUBLE / count({x})"
 _PINBALL = lambda c, q: _STEADY(f"greatest({q}::DOUBLE * (y - {c}), ({q}::DOUBLE - 1) * (y - {c}))")
-_MEASURES = f"""sum(abs(y - mean)) / sum(abs(y)) AS wmape, sum(abs(y - mean)) / count(*) AS mae, {_STEADY('(abs(y - mean) / scale)')} AS mase, sum(y - mean) / sum(y) AS bias,
+_MEASURES = f"""sum(abs(y - mean)) / sum(abs(y)) AS wmape, sum(abs(y - mean)) / count(*) AS mae, {_STEADY('(CASE WHEN scale > 0 THEN abs(y - mean) / scale END)')} AS mase, sum(y - mean) / sum(y) AS bias,
   ({_PINBALL('q10', 0.1)} + {_PINBALL('q50', 0.5)} + {_PINBALL('q90', 0.9)}) / 3 / greatest(sum(abs(y)) / count(*), 1e-9::DOUBLE) AS pinball,
   CAST(count(*) FILTER (y >= q10 AND y <= q90) AS DOUBLE) / count(*) AS coverage80, count(*) AS n"""
 _BUCKET = "CASE WHEN h <= 3 THEN 1 WHEN h <= 6 THEN 2 ELSE 3 END"
