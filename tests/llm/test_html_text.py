@@ -101,3 +101,13 @@ def test_large_folders_are_dealt_out(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"http://a.example/x/{k}", PLAIN % ("X", k, k, k)) for k in range(40)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in h.extract(pages).collect()}
     assert len(got) == 40 and sum(t.startswith("Real") for t in got.values()) >= 36
+
+
+SHARED = "<body><article><h1>Title %s</h1><div>Tell your friends</div><p>Body %s.</p><p>Said by both.</p><p><a href=1>More of this</a></p></article></body>"
+
+
+def test_site_lines_go_from_articles(spark):
+    rows = [(k, f"http://a.example/x/{k}", SHARED % (k, k)) for k in range(3)]
+    want = {k: f"Title {k}\n\nBody {k}.\n\nSaid by both." for k in range(3)}
+    assert _text(rows[0][2], rows[1][2]) == want[0]
+    assert {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want

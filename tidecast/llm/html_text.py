@@ -7,10 +7,11 @@
 2. Pages of a host are ordered by path (without www., scheme, query, fragment, closing slash and extension) within their folder; each is paired with the
    pages before and after it. The lines of a pair are aligned by longest common subsequence, and lines that both share are deleted: they are the site's,
    not the page's. Pages that share more than ``COPY`` of their lines are copies of each other and tell nothing, and so is a page alone on its host.
-3. What is left, without furniture, is the text. Lines in an ``article`` stay even if a neighbour has them too, since the element vouches for them; if a page
-   has such lines, only they stay. Else, if it has lines in looser containers, those that are not shared stay, and else all lines that are not shared, but those made of links alone.
+3. What is left, without furniture, is the text. If a page has lines in an ``article``, only they stay: those in paragraphs, headings, lists, tables and quotes (``PROSE``) that
+   aren't mostly links even if a neighbour has them too, since such elements show that they are the article's, and others (share bars, notices in bare boxes) if they are not shared.
+   Else, if it has lines in looser containers, those that are not shared stay, and else all lines that are not shared, but those made of links alone.
 
-Texts stay where they are parsed: what is shuffled to find neighbours is a hash of each line, and only pages whose lines differencing decides (those without an ``article``)
+Texts stay where they are parsed: what is shuffled to find neighbours is a hash of each line, and only pages of which differencing decides some line
 are joined with what it found, by a hash of the whole row. So a page is parsed up to three times, and its text is shuffled once at most.
 Large folders are dealt to parts of about ``PART`` pages by a hash of the path, so no group grows without bound. Results: one row per page. Null and empty pages
 have an empty text; pages with a null or unreadable URL pair with each other; repeated rows repeat their results; an empty table gives an empty table.
@@ -46,6 +47,8 @@ NAMES = frozenset(
     "comment comments commentlist respond reply replies responses discussion disqus newsletter subscribe subscription signup login search footer copyright legal skip hidden".split()
 )
 CONTAINERS = frozenset("article post entry content main story maincontent postbody articlebody".split())
+# Elements that show, in an article, that a line is the article's.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt tr table caption figcaption".split())
 # Names of the article's own head or foot: furniture only outside it.
 EDGES = frozenset("header footer".split())
 
@@ -84,11 +87,11 @@ def _flags(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
     return drop, 0 if drop else hold
 
 
-Line = tuple[str, int, bool, float]
+Line = tuple[str, int, bool, float, bool]
 
 
 def lines_of(page: str) -> list[Line]:
-    """(text, container, furniture, share of link text) of each block with text, in page order."""
+    """(text, container, furniture, share of link text, whether it stands in an element of ``PROSE``) of each block with text, in page order."""
     out: list[Line] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, furniture and container so far
     parts: list[str] = []
@@ -99,8 +102,8 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, drop, hold = stack[-1]
-            out.append((text, hold, drop, min(1.0, linked / (len(text) - text.count(" ")))))
+            tag, drop, hold = stack[-1]
+            out.append((text, hold, drop, min(1.0, linked / (len(text) - text.count(" "))), tag in PROSE))
         linked = 0
 
     at = 0
@@ -215,10 +218,11 @@ def shared_lines(own: list, neighbours: Iterable[list]) -> np.ndarray:
     return shared
 
 
-def candidates(lines: list[Line]) -> tuple[int, list[int]]:
-    """What vouches for a page's text (2: an article, 1: a looser container, 0: nothing), and the lines that may be its text."""
-    hold = max((h for _, h, drop, _ in lines if not drop), default=0)
-    return hold, [i for i, (_, h, drop, link) in enumerate(lines) if not drop and h >= hold and (hold or link < 0.9)]
+def candidates(lines: list[Line]) -> tuple[list[int], list[int]]:
+    """The lines that may be a page's text, and those of them that differencing decides: in an article those that nothing shows to be the article's."""
+    hold = max((x[1] for x in lines if not x[2]), default=0)
+    some = [i for i, (_, h, drop, link, _) in enumerate(lines) if not drop and h >= hold and (hold or link < 0.9)]
+    return some, [i for i in some if hold < 2 or not lines[i][4] or lines[i][3] >= 0.5]
 
 
 def joined(texts: Iterable[str]) -> str:
@@ -227,10 +231,10 @@ def joined(texts: Iterable[str]) -> str:
 
 def main_text(own: list[Line], neighbours: Iterable[list[str]]) -> str:
     """The text of one page, given its neighbours' lines."""
-    hold, some = candidates(own)
-    if hold < 2:
+    some, unsure = candidates(own)
+    if unsure:
         gone = shared_lines([line[0] for line in own], neighbours)
-        some = [i for i in some if not gone[i]]
+        some = [i for i in some if not gone[i] or i not in unsure]
     return joined(own[i][0] for i in some)
 
 
@@ -262,31 +266,30 @@ def _parsed(pages: DataFrame, names: list[str], kinds: list[pa.DataType], schema
 
 
 def vouched(pages: DataFrame) -> DataFrame:
-    """page_id, url, row, text of pages with an article element, or without lines."""
+    """page_id, url, row, text of pages of which differencing decides no line."""
 
     def take(lines: list[Line]) -> tuple | None:
-        hold, some = candidates(lines)
-        return (joined(lines[i][0] for i in some),) if hold == 2 or not some else None
+        some, unsure = candidates(lines)
+        return None if unsure else (joined(lines[i][0] for i in some),)
 
     return _parsed(pages, ["text"], [pa.string()], "text string", take)
 
 
 def open_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, row, texts, places of the lines that may be the text of other pages."""
+    """page_id, url, row, texts, places of the lines that may be the text of other pages; the place of a line that stays in any case is -1."""
 
     def take(lines: list[Line]) -> tuple | None:
-        hold, some = candidates(lines)
-        return ([lines[i][0] for i in some], some) if hold < 2 and some else None
+        some, unsure = candidates(lines)
+        return ([lines[i][0] for i in some], [i if i in unsure else -1 for i in some]) if unsure else None
 
     return _parsed(pages, ["texts", "places"], [pa.list_(pa.string()), pa.list_(pa.int32())], "texts array<string>, places array<int>", take)
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """page_id, url, row, asks (whether differencing decides the page's lines), hashes of all lines."""
+    """page_id, url, row, asks (whether differencing decides any of the page's lines), hashes of all lines."""
 
     def take(lines: list[Line]) -> tuple:
-        hold, some = candidates(lines)
-        return bool(hold < 2 and some), [_line_hash(x[0]) for x in lines]
+        return bool(candidates(lines)[1]), [_line_hash(x[0]) for x in lines]
 
     return _parsed(pages, ["asks", "hashes"], [pa.bool_(), pa.list_(pa.int64())], "asks boolean, hashes array<long>", take)
 
@@ -300,7 +303,7 @@ def url_parts(df: DataFrame) -> DataFrame:
 
 
 def site_lines(pages: DataFrame) -> DataFrame:
-    """row, gone: for pages whose lines differencing decides, the places of lines that are the site's. Equal rows have one result."""
+    """row, gone: for pages of which differencing decides lines, the places of lines that are the site's. Equal rows have one result."""
     rows = url_parts(line_hashes(pages))
     sizes = url_parts(pages.select("url")).groupBy("host", "folder").agg(F.count(F.lit(1)).alias("n"))
     # pages alone in their folder pair with others such of their host
