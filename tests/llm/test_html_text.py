@@ -111,3 +111,35 @@ def test_site_lines_go_from_articles(spark):
     want = {k: f"Title {k}\n\nBody {k}.\n\nSaid by both." for k in range(3)}
     assert _text(rows[0][2], rows[1][2]) == want[0]
     assert {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_common_lines_at_any_size(monkeypatch):
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(h, "CELLS", 8)
+    for _ in range(200):
+        a, b = (list(map(str, r.choices(range(4), k=r.randint(0, 30)))) for _ in "ab")
+        got = [x for x, k in zip(a, h.common(a, b), strict=True) if k]
+        it = iter(b)
+        assert all(x in it for x in got) and len(got) == _longest(a, b)
+    monkeypatch.undo()
+    # 12,000 lines, of which one comes again at the end of the other page
+    a, b = [f"s{k}" for k in range(6000)], [f"s{k}" for k in range(6000)]
+    a = [x for k, s in enumerate(a) for x in (s, f"a{k}")]
+    b = [x for k, s in enumerate(b) for x in (f"b{k}", s)] + ["s0", "end"]
+    assert h.common(a, b).sum() == 6000
+
+
+def test_short_text_under_long_menus():
+    menu = "".join(f"<div>Menu {k}</div>" for k in range(20))
+    a, b = (f"<body>{menu}<p>Text {k}.</p></body>" for k in "ab")
+    assert _text(a, b) == "Text a."
+
+
+def test_no_pair_is_lost_at_cuts(spark, monkeypatch):
+    monkeypatch.setattr(h, "PART", 4)
+    # a line stands on two pages that follow each other, so each pair tells something
+    rows = [(k, f"http://a.example/x/{k:03}?q={k}", f"<p>Real {k}.</p><p>both {k // 2}</p><p>pair {(k + 1) // 2}</p>") for k in range(60)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Real {k}." for k in range(1, 59)} | {0: "Real 0.\n\npair 0", 59: "Real 59.\n\npair 30"}

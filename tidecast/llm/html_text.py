@@ -6,32 +6,35 @@
    adverts, reader comments), and which share of it is link text.
 2. Pages of a host are ordered by path (without www., scheme, query, fragment, closing slash and extension) within their folder; each is paired with the
    pages before and after it. The lines of a pair are aligned by longest common subsequence, and lines that both share are deleted: they are the site's,
-   not the page's. Pages that share more than ``COPY`` of their lines are copies of each other and tell nothing, and so is a page alone on its host.
+   not the page's. Pages whose lines outside furniture are all equal are copies of each other and tell nothing, and so is a page alone on its host.
 3. What is left, without furniture, is the text. If a page has lines in an ``article``, only they stay: those in paragraphs, headings, lists, tables and quotes (``PROSE``) that
    aren't mostly links even if a neighbour has them too, since such elements show that they are the article's, and others (share bars, notices in bare boxes) if they are not shared.
    Else, if it has lines in looser containers, those that are not shared stay, and else all lines that are not shared, but those made of links alone.
 
 Texts stay where they are parsed: what is shuffled to find neighbours is a hash of each line, and only pages of which differencing decides some line
 are joined with what it found, by a hash of the whole row. So a page is parsed up to three times, and its text is shuffled once at most.
-Large folders are dealt to parts of about ``PART`` pages by a hash of the path, so no group grows without bound. Results: one row per page. Null and empty pages
+Folders of more than ``PART`` pages are cut into ranges of (path, page_id, url) of about as many, between keys that are picked by their hash; the page at a cut stands in both ranges,
+so it is aligned with its neighbours on either side, and no pair is lost. Only rows that are equal in all three keys stay together. Results: one row per page. Null and empty pages
 have an empty text; pages with a null or unreadable URL pair with each other; repeated rows repeat their results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-COPY = 0.6
-PART = 500
-#: Cells of an alignment's table at most; beyond it, the lines of a pair are matched in blocks between lines that both have once.
+#: Pages of a range, about, and ranges at most (one key for each is broadcast).
+PART, PARTS = 500, 1 << 18
+#: Cells of an alignment's table at most; beyond it, the lines of one page are halved until each half's table has no more.
 CELLS = 4_000_000
 
 # Elements by their role in a page, and the names of furniture and of containers.
@@ -184,37 +187,52 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     x = x[at]
     if not len(x):
         return keep
-    if len(x) * len(y) > CELLS:  # anchors: lines that both have once, in a longest increasing order
-        once = {int(v) for v in x if (x == v).sum() == 1 and (y == v).sum() == 1} if len(x) < 5000 else set()
-        place = {int(v): k for k, v in enumerate(y)}
-        last = -1
-        for k, v in enumerate(x.tolist()):
-            if (v in once or len(x) >= 5000) and place[v] > last:
-                last = place[v]
-                keep[lo + at[k]] = True
-        return keep
+    keep[lo + at[_longest(x, y)]] = True
+    return keep
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` and each beginning of ``y``: a row of the table as bits of one number."""
+    n = len(y)
+    ones = (1 << n) - 1
+    masks = {}
+    for v in np.unique(x).tolist():
+        masks[v] = int.from_bytes(np.packbits(y == v, bitorder="little").tobytes(), "little")
+    row = ones
+    for v in x.tolist():
+        both = row & masks[v]
+        row = ((row + both) | (row - both)) & ones
+    steps = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n] == 0
+    return np.concatenate([[0], np.cumsum(steps)])
+
+
+def _longest(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in ``x`` of a longest common subsequence with ``y``, in linear space (Hirschberg)."""
+    if len(x) > 1 and len(x) * len(y) > CELLS:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _longest(x[:half], y[:cut]) + [half + i for i in _longest(x[half:], y[cut:])]
     table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     for i in range(len(x)):
         table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (y == x[i])))
+    out = []
     i, j = len(x), len(y)
     while i and j:
         if x[i - 1] == y[j - 1]:
-            keep[lo + at[i - 1]] = True
+            out.append(i - 1)
             i, j = i - 1, j - 1
         elif table[i - 1, j] >= table[i, j - 1]:
             i -= 1
         else:
             j -= 1
-    return keep
+    return out[::-1]
 
 
 def shared_lines(own: list, neighbours: Iterable[list]) -> np.ndarray:
-    """Which of a page's lines (or their hashes) are the site's: in a longest common subsequence with a neighbour that is no copy."""
+    """Which of a page's lines (or their hashes) are the site's: in a longest common subsequence with a neighbour (of those that are no copies)."""
     shared = np.zeros(len(own), bool)
     for other in neighbours:
-        both = common(own, other)
-        if both.any() and both.sum() <= COPY * max(1, min(len(own), len(other))):
-            shared |= both
+        shared |= common(own, other)
     return shared
 
 
@@ -233,7 +251,8 @@ def main_text(own: list[Line], neighbours: Iterable[list[str]]) -> str:
     """The text of one page, given its neighbours' lines."""
     some, unsure = candidates(own)
     if unsure:
-        gone = shared_lines([line[0] for line in own], neighbours)
+        furniture, body = {x[0] for x in own if x[2]}, [x[0] for x in own if not x[2]]
+        gone = shared_lines([x[0] for x in own], [other for other in neighbours if [t for t in other if t not in furniture] != body])
         some = [i for i in some if not gone[i] or i not in unsure]
     return joined(own[i][0] for i in some)
 
@@ -286,12 +305,12 @@ def open_lines(pages: DataFrame) -> DataFrame:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """page_id, url, row, asks (whether differencing decides any of the page's lines), hashes of all lines."""
+    """page_id, url, row, asks (whether differencing decides any of the page's lines), hashes of all lines, body (a hash of the lines outside furniture)."""
 
     def take(lines: list[Line]) -> tuple:
-        return bool(candidates(lines)[1]), [_line_hash(x[0]) for x in lines]
+        return bool(candidates(lines)[1]), [_line_hash(x[0]) for x in lines], _line_hash("\n".join(x[0] for x in lines if not x[2]))
 
-    return _parsed(pages, ["asks", "hashes"], [pa.bool_(), pa.list_(pa.int64())], "asks boolean, hashes array<long>", take)
+    return _parsed(pages, ["asks", "hashes", "body"], [pa.bool_(), pa.list_(pa.int64()), pa.int64()], "asks boolean, hashes array<long>, body long", take)
 
 
 def url_parts(df: DataFrame) -> DataFrame:
@@ -302,17 +321,52 @@ def url_parts(df: DataFrame) -> DataFrame:
     return df.withColumn("path", path).withColumn("folder", F.regexp_replace("path", r"[^/]*$", ""))
 
 
+def ordered(df: DataFrame) -> DataFrame:
+    """Adds host, folder, path and key, whose order is that of path, page_id and url."""
+    id_type = df.schema["page_id"].dataType.simpleString()
+    number = F.lpad((F.col("page_id").cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("decimal(20,0)").cast("string"), 20, "0")
+    page = number if id_type in ("tinyint", "smallint", "int", "bigint") else F.col("page_id").cast("string")
+    return url_parts(df).withColumn("key", F.concat_ws("\0", "path", F.coalesce(page, F.lit("")), F.coalesce("url", F.lit(""))))
+
+
+def dealt(rows: DataFrame, pages: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds part, the range of a row's key in its host and group; a row at a cut is there twice. ``groups``: host, folder, group, n (pages of the group)."""
+    hot = groups.filter(F.col("n") > PART)
+    total = hot.select("host", "group", "n").distinct().agg(F.sum("n")).first()[0]
+    if not total:
+        return rows.withColumn("part", F.lit(0))
+    step = max(PART, -(-total // PARTS))
+    some = ordered(pages.select("page_id", "url")).filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).join(hot, ["host", "folder"])
+    cuts: dict[tuple[str, str], list[str]] = {}
+    for host, group, key in some.select("host", "group", "key").distinct().toLocalIterator():
+        cuts.setdefault((host, group), []).append(key)
+    shared = rows.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in cuts.items()})
+
+    @F.pandas_udf("array<int>")
+    def parts(host: pd.Series, group: pd.Series, key: pd.Series) -> pd.Series:
+        out = []
+        for h, g, k in zip(host, group, key, strict=True):
+            own = shared.value.get((h, g), ())
+            p = bisect.bisect_right(own, k)
+            out.append([p - 1, p] if p and own[p - 1] == k else [p])
+        return pd.Series(out)
+
+    return rows.withColumn("part", F.explode(parts("host", "group", "key")))
+
+
 def site_lines(pages: DataFrame) -> DataFrame:
     """row, gone: for pages of which differencing decides lines, the places of lines that are the site's. Equal rows have one result."""
-    rows = url_parts(line_hashes(pages))
     sizes = url_parts(pages.select("url")).groupBy("host", "folder").agg(F.count(F.lit(1)).alias("n"))
     # pages alone in their folder pair with others such of their host
     sizes = sizes.withColumn("group", F.when(F.col("n") > 1, F.col("folder")).otherwise(""))
     groups = sizes.groupBy("host", "group").agg(F.sum("n").alias("n"))
     sizes = sizes.drop("n").join(groups, ["host", "group"])
-    rows = rows.join(sizes, ["host", "folder"]).withColumn("part", F.pmod(F.xxhash64("path"), F.expr(f"(n + {PART - 1}) div {PART}")))
-    near = Window.partitionBy("host", "group", "part").orderBy("path", "page_id", "url", "row")
-    rows = rows.select("row", "asks", "hashes", F.lag("hashes").over(near).alias("before"), F.lead("hashes").over(near).alias("after")).filter("asks").drop("asks")
+    rows = dealt(ordered(line_hashes(pages)).join(sizes.drop("n"), ["host", "folder"]), pages, sizes)
+    near = Window.partitionBy("host", "group", "part").orderBy("key", "row")
+    other = F.struct("hashes", "body")
+    rows = rows.select("row", "asks", "hashes", "body", F.lag(other).over(near).alias("before"), F.lead(other).over(near).alias("after")).filter("asks")
+    own = [F.when(F.col(x)["body"] != F.col("body"), F.col(x)["hashes"]).alias(x) for x in ("before", "after")]  # copies tell nothing
+    rows = rows.select("row", "hashes", *own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
