@@ -338,3 +338,23 @@ def test_stream(spark, tmp_path):
     write_monthly(stream, out, str(tmp_path / "state")).awaitTermination(120)
     got = spark.read.parquet(out).groupBy("month").agg(F.sum("units").alias("u")).collect()
     assert [(str(r.month), r.u) for r in got] == [("2024-01-01", 2.0)]
+
+
+def test_nearest_keeps_vectors_on_executors(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    for name, size in (("BLOCK", 11), ("QUERIES", 4), ("CELLS", 20)):
+        monkeypatch.setattr(resolution, name, size)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("vectors in the driver"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("vectors in the driver"))
+    rows = [(i, [float(i * 7 % 5 - 2), float(i * 3 % 4 - 1), float(i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    near = resolution.nearest(df, df, 4, exclude_self=True)
+    monkeypatch.undo()
+    got = {(r.query, r.n): (r.id, r.sim) for r in near.collect()}
+    m = np.array([v for _, v in rows])
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for q in range(60):
+        want = sorted((-round(float(m[q] @ m[i]), 12), i) for i in range(60) if i != q)[:4]
+        assert [got[q, n][0] for n in range(1, 5)] == [i for _, i in want]
+        assert [got[q, n][1] for n in range(1, 5)] == pytest.approx([-s for s, _ in want])

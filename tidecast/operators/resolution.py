@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +24,8 @@ IDENTIFIER_RULES = {
 DEFAULT_RULES = [("GLOBAL_DUNS", 10, 1.00), ("DUNS_EXACT", 20, 1.00), ("TAX_ID", 30, 0.99), ("ERP_PARENT", 40, 0.98), ("DOMAIN", 50, 0.95), ("ALIAS_EXACT", 60, 0.97)]
 RULES_SCHEMA = "rule_id long, rule_type string, priority int, confidence double, pattern string, target_oem string, target_region string, enabled boolean"
 HOME_REGION = "AMER"
-#: Vectors of a block that queries are compared with.
-BLOCK = 20_000
+#: Vectors of a block and queries of a block, about; similarities that a task holds at once.
+BLOCK, QUERIES, CELLS = 20_000, 2_000, 4_000_000
 
 
 def default_rules(spark) -> DataFrame:
@@ -86,39 +84,52 @@ def account_status(accounts: DataFrame, mapping: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- nearest vectors
 
 
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    m = np.array(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(lists), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` greatest finite values, of equals the first."""
+    least = np.partition(sims, -k, axis=1)[:, -k] if k < sims.shape[1] else np.full(len(sims), -np.inf)
+    rows, columns = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+    order = np.lexsort((columns, -sims[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], columns[keep]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "id", vector_id: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:
     """query, id, sim, n: for each query its ``k`` vectors of greatest cosine (to twelve places, of equals the least id). Zero vectors have similarity 0.
 
-    All queries meet all vectors, ``BLOCK`` of them at a time, as matrix products; a block keeps k for each query, and these are merged. Blocks are
-    read from the vectors' parts by a hash, so none is larger than the driver's share of one."""
-    spark = queries.sparkSession
-    parts = max(1, -(-vectors.count() // BLOCK))
+    All queries meet all vectors, as matrix products: both are dealt to blocks by a hash of their ids, and a task joins one block of ``QUERIES`` queries with
+    one of ``BLOCK`` vectors; it keeps k for each query, and these are merged. Nothing goes through the driver but two counts."""
     q_type, v_type = queries.schema[query_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
-    found = None
-    for p in range(parts):
-        block = vectors.filter(F.pmod(F.xxhash64(vector_id), F.lit(parts)) == p).select(vector_id, vector).toPandas()  # BLOCK rows, about
-        block = block.sort_values(vector_id)
-        matrix = np.array(block[vector].to_list(), float).reshape(len(block), -1)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((block[vector_id].to_numpy(), matrix))
-
-        def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                q = np.array(b[vector].to_list(), float)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                sims = np.round(q @ m.T, 12) + 0.0
+    q_blocks, v_blocks = max(1, -(-queries.count() // QUERIES)), max(1, -(-vectors.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = queries.select(F.col(query_id).alias("query"), F.col(vector).cast("array<double>").alias("v"), block(query_id, q_blocks).alias("_q"), every(v_blocks).alias("_v"))
+    right = vectors.select(F.col(vector_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), every(q_blocks).alias("_q"), block(vector_id, v_blocks).alias("_v"))
+
+    def run(own: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.sort_by("id")
+        kinds = own.schema.field("query").type, others.schema.field("id").type
+        query, ids = own.column("query").to_numpy(), others.column("id").to_numpy()
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(query) and len(ids):
+            q, m = _unit(own.column("v")), _unit(others.column("v"))
+            some = max(1, CELLS // len(ids))
+            for at in range(0, len(query), some):
+                sims = np.round(q[at : at + some] @ m.T, 12) + 0.0
                 if exclude_self:
-                    sims[b[query_id].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(b)), order.shape[1])
-                out = pd.DataFrame({"query": b[query_id].to_numpy()[rows], "id": ids[order.ravel()], "sim": sims[rows, order.ravel()]})
-                yield out[np.isfinite(out["sim"])]
-
-        one = queries.select(query_id, vector).mapInPandas(run, f"query {q_type}, id {v_type}, sim double")
-        found = one if found is None else found.unionByName(one)
+                    sims[query[at : at + some][:, None] == ids[None, :]] = -np.inf
+                rows, columns = _best(sims, k)
+                found.append((at + rows, columns, sims[rows, columns]))
+        rows, columns, sims = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"query": pa.array(query[rows], kinds[0]), "id": pa.array(ids[columns], kinds[1]), "sim": pa.array(sims, pa.float64())})
+
+    found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(run, f"query {q_type}, id {v_type}, sim double")
     best = Window.partitionBy("query").orderBy(F.col("sim").desc(), "id")
     return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
 
