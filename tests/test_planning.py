@@ -358,3 +358,30 @@ def test_nearest_keeps_vectors_on_executors(spark, monkeypatch):
         want = sorted((-round(float(m[q] @ m[i]), 12), i) for i in range(60) if i != q)[:4]
         assert [got[q, n][0] for n in range(1, 5)] == [i for _, i in want]
         assert [got[q, n][1] for n in range(1, 5)] == pytest.approx([-s for s, _ in want])
+
+
+def test_fuzzy_mapping_scores_all_parts(spark):
+    from tidecast.plans.resolution import fuzzy_mapping
+
+    sf = "/root/testdata/sf0.001"
+    parts = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    slip = {k: (n + " GmbH", n[:1] + "x" + n[2:], "Nord " + n)[k % 3] for k, n in parts.items()}
+    texts = sorted({*parts.values(), *slip.values()})
+    rows = spark.createDataFrame([(x,) for x in texts], "n string").select("n", hash_embedding(F.col("n")).alias("v")).collect()
+    v = {r.n: np.array(r.v) for r in rows}
+    aliases, mapped = sorted(set(parts.values())), sorted(k for k, n in parts.items() if n.split()[0] in ("red", "blue"))
+    got = {}
+    for r in fuzzy_mapping(spark, sf).collect():
+        got.setdefault(r.account_id, {})[r.oem] = r
+    assert set(got) == set(parts) and len(mapped) > 10
+    for k, name in slip.items():
+        near = {n: round(float(v[name] @ v[n]), 12) for n in aliases}
+        eighth = sorted(near.values())[-8]
+        best = sorted((-round(float(v[name] @ v[parts[m]]), 12), m) for m in mapped if m != k)[:5]
+        total = sum(max(-s, 0) for s, _ in best)
+        for oem, r in got[k].items():
+            assert r.knn == pytest.approx(sum(max(-s, 0) / total for s, m in best if parts[m].split()[-1] == oem) if total else 0)
+            if r.cosine:
+                assert r.cosine == pytest.approx(max(s for n, s in near.items() if n.split()[-1] == oem)) and r.cosine >= eighth
+        sure = {n.split()[-1] for n, s in near.items() if s > eighth} | {parts[m].split()[-1] for _, m in best}
+        assert sure <= set(got[k])

@@ -232,13 +232,13 @@ def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers named after parts, with a slip in some names, against the parts' names as aliases."""
+    """Customers named after parts, all of them and with a slip in some names, against the parts' names as aliases; those named by a colour are mapped."""
     p = estate.table(spark, sf, "part").select("p_partkey", "p_name")
     aliases = p.select(F.col("p_name").alias("alias"), F.element_at(F.split("p_name", " "), -1).alias("oem")).distinct()
     k = F.col("p_partkey")
     names = F.when(k % 3 == 0, F.concat("p_name", F.lit(" GmbH"))).when(k % 3 == 1, F.overlay("p_name", F.lit("x"), 2)).otherwise(F.concat(F.lit("Nord "), "p_name"))
-    accounts = p.filter("p_partkey < 60").select(k.alias("account_id"), names.alias("name"), F.when(k % 2 == 0, "EU").alias("region"))
-    mapped = p.filter("p_partkey between 100 and 150").select(k.alias("account_id"), F.col("p_name").alias("name"), F.lit("US").alias("region"), F.element_at(F.split("p_name", " "), -1).alias("oem"))
+    accounts = p.select(k.alias("account_id"), names.alias("name"), F.when(k % 2 == 0, "EU").alias("region"))
+    mapped = p.filter("p_name rlike '^(red|blue) '").select(k.alias("account_id"), F.col("p_name").alias("name"), F.lit("US").alias("region"), F.element_at(F.split("p_name", " "), -1).alias("oem"))
     return resolution.score_accounts(accounts, aliases, mapped)
 
 
