@@ -94,3 +94,12 @@ def test_redact(spark, net, edge_docs, no_docs):
             assert r.text == want
     assert se.redact(no_docs, net).count() == 0 == se.scan(no_docs, net).count()
     assert se.redact(edge_docs, net).columns == edge_docs.columns and se.scan(edge_docs, net).count() == edge_docs.count()
+
+
+def test_keys_in_the_middle_of_long_runs(spark, net):
+    folders = "src/lib/main/config/module/handler/static/assets/vendor/images/user"
+    texts = [f"see {a}{sep}ghp_x8Kd02mVq7LrT5yWn3BcZ1aHs9EuJf4GiPoM{sep}{a} now" for sep in "/." for a in (folders.replace("/", sep),)]
+    plain = f"see {folders}/{folders}/v2.txt now"
+    assert [[k for *_, k, _ in spans] for spans in se.scan_texts(net, [*texts, plain])] == [["model"], ["model"], []]
+    docs = spark.createDataFrame(list(enumerate([*texts, plain])), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in se.redact(docs, net).collect()} == {0: "see [SECRET] now", 1: "see [SECRET] now", 2: plain}

@@ -3,7 +3,8 @@
 Candidates are (a) the findings of three fixed patterns, which always stay, and (b) runs of 16 or more of ``A-Za-z0-9+/_.=-``
 with a letter and a digit that overlap no such finding. Each candidate with the characters around it goes through a
 convolutional network in numpy: embedded characters, one layer of filters of width 5, the greatest value of each filter over
-the candidate and over its context, and a logistic output. It is trained on labelled findings: a table of (text, start, end, is_secret),
+the candidate and over its context, and a logistic output. A candidate of more than ``BODY`` characters is read in windows of so many, which
+overlap by half, each with the candidate's context; its score is the greatest of them. Size and distinct characters are those of the whole candidate. It is trained on labelled findings: a table of (text, start, end, is_secret),
 or by default the findings that ``labelled_findings`` makes from a seed (keys, tokens and passwords of many forms; against them
 long words, paths, dates, versions, numbers, identifiers and checksums). Half of the rest fits a temperature, so that scores are probabilities, and gives the
 threshold: the greatest score that keeps a recall of ``RECALL`` on labelled secrets. Candidates (b) at or above it are findings of kind ``model``.
@@ -34,7 +35,7 @@ _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
-BODY, AROUND = 48, 16  # characters of a candidate (its ends, if it is longer) and of the context on either side
+BODY, AROUND = 48, 16  # characters of a candidate (of a window, if it is longer) and of the context on either side
 WIDTH, FILTERS, EMBED = 5, 24, 8
 RECALL = 0.95
 #: Labelled findings that a model is fitted on, at most.
@@ -64,12 +65,22 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 # ---------------------------------------------------------------- network
 
 
+def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+    """Of each window of a candidate: codes 0 to 97 of the context before, the window and the context after, then size and distinct characters of the candidate."""
+    around, after = text[max(0, start - AROUND) : start].rjust(AROUND, "\0"), text[end : end + AROUND].ljust(AROUND, "\0")
+    counts = [end - start, len(set(text[start:end]))]
+    out = []
+    for at in [*range(start, end - BODY, BODY // 2), max(start, end - BODY)]:
+        parts = around + text[at : min(at + BODY, end)].ljust(BODY, "\0") + after
+        code = np.frombuffer(parts.encode("utf-32-le"), "<u4").astype(np.int64)
+        code = np.where(code == 0, 0, np.where((code >= 32) & (code < 127), code - 31, np.where(code < 32, 1, 97)))
+        out.append(np.concatenate([code, counts]))
+    return out
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Codes 0 to 97 of the context before, the candidate and the context after, each in a window of its own."""
-    body = text[start:end] if end - start <= BODY else text[start : start + BODY // 2] + text[end - BODY // 2 : end]
-    parts = text[max(0, start - AROUND) : start].rjust(AROUND, "\0") + body.ljust(BODY, "\0") + text[end : end + AROUND].ljust(AROUND, "\0")
-    code = np.frombuffer(parts.encode("utf-32-le"), "<u4").astype(np.int64)
-    return np.where(code == 0, 0, np.where((code >= 32) & (code < 127), code - 31, np.where(code < 32, 1, 97)))
+    """The first window of a candidate."""
+    return windows(text, start, end)[0]
 
 
 class Network:
@@ -85,6 +96,7 @@ class Network:
         self.temperature, self.threshold = 1.0, 0.5
 
     def _forward(self, x: np.ndarray) -> tuple:
+        x, counts = x[:, :-2], x[:, -2:]
         e = self.p["embed"][x]
         n, length = x.shape
         cols = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(n, length - WIDTH + 1, WIDTH * EMBED)
@@ -92,11 +104,8 @@ class Network:
         body = slice(AROUND, AROUND + BODY - WIDTH + 1)
         around = np.r_[0 : AROUND - 2, AROUND + BODY - 2 : length - WIDTH + 1]
         best_body, best_around = a[:, body].argmax(axis=1) + AROUND, around[a[:, around].argmax(axis=1)]
-        inside = x[:, AROUND : AROUND + BODY]
-        size = (inside > 0).sum(axis=1)
-        different = (np.diff(np.sort(inside, axis=1), axis=1) > 0).sum(axis=1)
         k = np.arange(FILTERS)
-        pooled = np.concatenate([a[np.arange(n)[:, None], best_body, k], a[np.arange(n)[:, None], best_around, k], size[:, None] / BODY, different[:, None] / BODY], axis=1)
+        pooled = np.concatenate([a[np.arange(n)[:, None], best_body, k], a[np.arange(n)[:, None], best_around, k], np.log2(1 + counts / BODY)], axis=1)
         return cols, best_body, best_around, pooled, pooled @ self.p["out"] + self.p["bias"][0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -194,18 +203,35 @@ def fit(findings: Iterable[tuple[str, int, int, int]] | DataFrame | None = None,
         rows = findings.selectExpr("text", "start", "end", "cast(is_secret as int) is_secret").orderBy("text", "start").selectExpr("*", "xxhash64(text, start) as h").orderBy("h").limit(limit).collect()
         findings = [tuple(r)[:4] for r in rows]
     findings = list(labelled_findings() if findings is None else findings)[:limit]
-    x = np.array([encode(t, s, e) for t, s, e, _ in findings])
+    read = [windows(t, s, e) for t, s, e, _ in findings]
     y = np.array([k for *_, k in findings], np.float64)
     net = Network()
-    part = np.arange(len(x)) % 10 < 7
-    net.train(x[part], y[part])
-    net.calibrate(x[~part], y[~part], recall)
+    train = [i for i in range(len(read)) if i % 10 < 7]
+    net.train(np.array([x for i in train for x in read[i]]), np.array([y[i] for i in train for _ in read[i]]))
+    rest = [i for i in range(len(read)) if i % 10 >= 7]
+    best = [read[i][int(np.argmax(net.logits(np.array(read[i]))))] for i in rest]  # the window that decides
+    net.calibrate(np.array(best), y[rest], recall)
     return net
 
 
 # ---------------------------------------------------------------- scans
 
 
+def best_scores(net: Network, found: list[tuple[str, int, int]]) -> np.ndarray:
+    """The score of each candidate: the greatest of its windows."""
+    out, rows, owner = np.zeros(len(found)), [], []
+    for i, (text, start, end) in enumerate(found):
+        for x in windows(text, start, end):
+            rows.append(x)
+            owner.append(i)
+            if len(rows) == 4096:
+                np.maximum.at(out, owner, net.scores(np.array(rows)))
+                rows, owner = [], []
+    if rows:
+        np.maximum.at(out, owner, net.scores(np.array(rows)))
+    return out
+
+
 def scan_texts(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
     """For each text its spans (start, end, kind, score), by start, then kind."""
     base = [base_spans(t) if t else [] for t in texts]
@@ -214,8 +240,7 @@ def scan_texts(net: Network, texts: list[str | None]) -> list[list[tuple[int, in
     out: list[list] = [[] for _ in texts]
     for at in range(0, len(where), 4096):
         some = where[at : at + 4096]
-        scores = net.scores(np.array([encode(texts[i], s, e) for i, s, e, _ in some]))
-        for (i, s, e, k), score in zip(some, scores.tolist(), strict=True):
+        for (i, s, e, k), score in zip(some, best_scores(net, [(texts[i], s, e) for i, s, e, _ in some]).tolist(), strict=True):
             if k != "model" or score >= net.threshold:
                 out[i].append((s, e, k, score))
     for spans in out:
