@@ -101,3 +101,20 @@ def test_short_texts_are_one_shingle():
     (_, cut, grams, at, counts), = d.shingles(pa.array(["a b", None, "c", "a b", "one two three four five six"]))
     assert np.diff(cut).tolist() == [1, 0, 1, 1, 2] and counts.tolist() == [2, 0, 1, 2, 6]
     assert grams[0] == grams[2] != grams[1] and at.tolist() == [0, 0, 0, 0, 1]
+
+
+def test_short_items_in_longer_documents(spark):
+    items = spark.createDataFrame([(1, "Blue moon"), (2, "one two three four"), (3, "zebra"), (4, "moon blue")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "under a blue MOON we walk; a blue moon again"), (2, "zero one two three four five six"), (3, "moon, blue"), (4, "one two three and four"), (5, "zebra")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in d.matches(docs, items).collect())
+    assert got == [(1, 1, 1.0, 2, 2), (2, 2, 1.0, 1, 4), (3, 4, 1.0, 0, 2), (5, 3, 1.0, 0, 1)]
+    assert [r.doc_id for r in d.clean(docs, items).collect()] == [4]
+
+
+def test_blocks_do_not_change_similarities(spark, monkeypatch):
+    common = "this very passage stands in each of the items"
+    items = spark.createDataFrame([(k, f"{common} " + " ".join(f"w{k}x{j}" for j in range(12))) for k in range(12)], "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(k, f"{common} " + " ".join(f"w{k}x{j}" for j in range(11)) + " other") for k in range(12)], "doc_id long, text string")
+    whole = sorted(tuple(r) for r in d.matches(docs, items).collect())
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 1)
+    assert len(whole) == 12 and sorted(tuple(r) for r in d.matches(docs, items).collect()) == whole

@@ -7,10 +7,11 @@ A window has as many words as an item and may begin at any word. Its SimHash has
 item length, each block's value and all values one bit away, so any item within ``RADIUS`` = 31 bits of a window is found (of 31
 differing bits, some of 16 blocks has at most one). A pair at the threshold lies within it with all but about 0.05 % probability, equal texts always.
 What is found is verified: sum of least over sum of greatest weighted counts, ``SIMILARITY`` or more. Windows without any run of an item
-have similarity 0 with all of them, and get no fingerprint.
+have similarity 0 with all of them, and get no fingerprint. Items of fewer than five words are one run, so their windows are equal or have similarity 0:
+they are looked up among all runs of as many words of a document.
 
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, whose index is broadcast; every
-document meets every block. Documents aren't shuffled. Items without words match nothing; a document shorter than an item is one window.
+document meets every block. Items and how many of them have a run are counted over the whole benchmark; only runs of two or more items go with the index. Documents aren't shuffled. Items without words match nothing; a document shorter than an item is one window.
 Results: ``matches`` has a row for each document and item (the most similar window, the first of equals). Null texts match nothing. Rows of
 repeated items or documents repeat. ``clean`` keeps all columns of documents without a match, whatever their names.
 """
@@ -68,6 +69,21 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         yield first, np.searchsorted(doc, np.arange(end - first + 1)), grams, at - cut[doc], counts
 
 
+def short_runs(column: pa.Array, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each piece and width below ``WIDTH``: words of a run, hashes of all runs (as ``shingles`` has for a whole text), their rows, first words."""
+    for first, end, data, offsets in byte_pieces(column):
+        data = fold_latin(data)
+        starts, ends, docs = word_spans(data, offsets, _BREAK)
+        words = span_hashes(data, starts, ends, _CODES)
+        cut = np.searchsorted(docs, np.arange(end - first + 1))
+        for width in widths:
+            n = len(words) - width + 1
+            if n > 0:
+                grams = mix(np.bitwise_xor.reduce([mix(words[k : k + n] + np.uint64(k)) for k in range(width)]))
+                ok = docs[:n] == docs[width - 1 :]
+                yield width, grams[ok], first + docs[:n][ok], (np.arange(n) - cut[docs[:n]])[ok]
+
+
 def _signs(grams: np.ndarray) -> np.ndarray:
     """The 128 bits of each hash, as 1 and -1."""
     both = mix(grams[:, None] ^ _SEEDS[None, :])
@@ -79,9 +95,11 @@ def _bits(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """A block of items: shingles with their items and weights, and fingerprints by length and block value."""
+    """A block of items: shingles with their items and weights, and fingerprints by length and block value.
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    ``known``: items of the whole benchmark, and of shingles that two or more of them have, how many do; by default those of the block."""
+
+    def __init__(self, ids: list, texts: list[str | None], known: tuple[int, dict[int, int]] | None = None):
         self.ids, self.items, self.length = [], [], []
         for first, cut, grams, _, counts in shingles(pa.array(texts, pa.string())):
             for k in range(len(counts)):
@@ -89,18 +107,25 @@ class Index:
                     self.ids.append(ids[first + k])
                     self.items.append(Counter(grams[cut[k] : cut[k + 1]].tolist()))
                     self.length.append(int(counts[k]))
-        have = Counter(g for item in self.items for g in item)
-        n = len(self.items)
+        n, often = known or (len(self.items), Counter(g for item in self.items for g in item))
         self.rare = float(np.log(1 + n)) or 1.0
-        self.weight = {g: float(np.log(1 + n / k)) for g, k in have.items()}
+        self.weight = {g: float(np.log(1 + n / often.get(g, 1))) for g in {*often, *(g for item in self.items for g in item)}}
         self.total = [sum(self.weight[g] * c for g, c in item.items()) for item in self.items]
-        self.keys = np.array(sorted(have), np.uint64)
+        self.short: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for i, item in enumerate(self.items):
+            if self.length[i] < WIDTH:
+                self.short[self.length[i], next(iter(item))].append(i)
+        self.widths = sorted({width for width, _ in self.short})
+        self.short_keys = {width: np.array(sorted(g for w, g in self.short if w == width), np.uint64) for width in self.widths}
+        self.keys = np.array(sorted({g for i, item in enumerate(self.items) if self.length[i] >= WIDTH for g in item}), np.uint64)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.lengths_of: dict[int, set[int]] = defaultdict(set)
-        self.prints = np.zeros((n, BLOCKS), np.uint8)
+        self.prints = np.zeros((len(self.items), BLOCKS), np.uint8)
         self.found: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         for i, item in enumerate(self.items):
+            if self.length[i] < WIDTH:
+                continue
             grams = np.array(list(item), np.uint64)
             weights = np.array([self.weight[g] * item[g] for g in grams.tolist()])
             self.prints[i] = _bits(weights @ _signs(grams))
@@ -155,17 +180,34 @@ class Index:
         return out
 
 
+def frequencies(items: DataFrame) -> tuple[int, dict[int, int]]:
+    """Items with words, and of shingles that two or more items have, how many do."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, cut, grams, _, counts in shingles(b.column(0)):
+                own = [np.unique(grams[cut[k] : cut[k + 1]]) for k in range(len(counts)) if counts[k]]
+                values = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([*[None] * len(own), *values.tolist()], pa.int64())], ["gram"])  # null for each item
+
+    rows = items.select("text").mapInArrow(run, "gram long").groupBy("gram").count().filter("count > 1 or gram is null")
+    found = {g: k for g, k in rows.toLocalIterator()}
+    n = found.pop(None, 0)
+    return n, {g % (1 << 64): k for g, k in found.items()}
+
+
 def _blocks(spark: SparkSession, items: DataFrame) -> Iterator:
     """Broadcast indexes of bounded blocks of items."""
     ids, texts, size = [], [], 0
+    counts = frequencies(items)
     for r in items.select("item_id", "text").toLocalIterator():
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(r[1] or "") > BLOCK_CHARS):
-            yield spark.sparkContext.broadcast(Index(ids, texts))
+            yield spark.sparkContext.broadcast(Index(ids, texts, counts))
             ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
         size += len(r[1] or "")
-    yield spark.sparkContext.broadcast(Index(ids, texts))
+    yield spark.sparkContext.broadcast(Index(ids, texts, counts))
 
 
 def _searched(index: Index, column: pa.Array) -> Iterator[tuple[int, dict]]:
@@ -175,6 +217,13 @@ def _searched(index: Index, column: pa.Array) -> Iterator[tuple[int, dict]]:
             part = slice(cut[k], cut[k + 1])
             if found := index.search(grams[part], at[part], int(counts[k])):
                 yield first + k, found
+    if index.widths:
+        for width, grams, rows, at in short_runs(column, index.widths):
+            found = {}
+            for h in np.flatnonzero(np.isin(grams, index.short_keys[width])).tolist():
+                for i in index.short[width, int(grams[h])]:
+                    found.setdefault(int(rows[h]), {}).setdefault(i, (1.0, int(at[h]), width))
+            yield from found.items()
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
