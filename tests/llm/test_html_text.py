@@ -17,7 +17,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def _text(page, *others):
-    return h.main_text(h.lines_of(page), [[x[0] for x in h.lines_of(o)] for o in others])
+    return h.main_text(h.lines_of(page), [h.lines_of(o) for o in others])
 
 
 def test_structure():
@@ -96,13 +96,6 @@ def test_edge_rows(spark):
     assert h.extract(pages.limit(0)).count() == 0
 
 
-def test_large_folders_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(h, "PART", 4)
-    pages = spark.createDataFrame([(k, f"http://a.example/x/{k}", PLAIN % ("X", k, k, k)) for k in range(40)], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in h.extract(pages).collect()}
-    assert len(got) == 40 and sum(t.startswith("Real") for t in got.values()) >= 36
-
-
 SHARED = "<body><article><h1>Title %s</h1><div>Tell your friends</div><p>Body %s.</p><p>Said by both.</p><p><a href=1>More of this</a></p></article></body>"
 
 
@@ -143,3 +136,44 @@ def test_no_pair_is_lost_at_cuts(spark, monkeypatch):
     rows = [(k, f"http://a.example/x/{k:03}?q={k}", f"<p>Real {k}.</p><p>both {k // 2}</p><p>pair {(k + 1) // 2}</p>") for k in range(60)]
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Real {k}." for k in range(1, 59)} | {0: "Real 0.\n\npair 0", 59: "Real 59.\n\npair 30"}
+
+
+def _brute_force(pages):
+    """Texts of all pages (page_id, url, html), by sorting them and aligning each with the pages beside it."""
+
+    def parts(p):
+        rest = re.sub(r"^[a-z][a-z0-9+.-]*://|[?#].*$", "", (p[1] or "").lower())
+        host = rest.split("/")[0]
+        path = re.sub(r"(?:\.[a-z]{2,5})?/*$", "", rest[len(host) :])
+        return re.sub(r"^(?:www|m)\.|:\d+$", "", host), re.sub(r"[^/]*$", "", path), path, p[0]
+
+    rows = sorted(pages, key=parts)
+    lines = [h.lines_of(p[2] or "") for p in rows]
+    hosts = [parts(p)[0] for p in rows]
+    return {p[0]: h.main_text(lines[k], [lines[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and hosts[j] == hosts[k]]) for k, p in enumerate(rows)}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_all_pages_against_brute_force(spark, monkeypatch, tag):
+    """All pages, as they are and with their article elements turned into plain boxes, so that differencing alone tells what is the site's."""
+    monkeypatch.setattr(h, "PART", 24)
+    pages = [(r.page_id, r.url, re.sub(r"<(/?)article", rf"<\1{tag}", r.html)) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    got = {r.page_id: r for r in h.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k: r.text for k, r in got.items()} == _brute_force(pages)
+    assert len(got) == len(pages) and sum(r.n_shared for r in got.values()) > 0
+    if tag == "div":
+        articles = {r.page_id: r.text for r in h.op7_html_extraction(spark, SF).collect()}
+        lines = [(set(got[k].text.split("\n\n")), set(t.split("\n\n"))) for k, t in articles.items()]
+        same = sum(len(x & y) for x, y in lines)
+        assert same / sum(len(y) for _, y in lines) > 0.98 and same / sum(len(x) for x, _ in lines) > 0.98
+
+
+def test_rows_equal_in_all_columns_and_very_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(h, "PART", 8)
+    page = PLAIN % ("X", 1, 1, 1)
+    rows = [(1, "http://a.example/x/1", page)] * 500 + [(2, "http://a.example/x/2", PLAIN % ("X", 2, 2, 2))]
+    got = [(r.page_id, r.text) for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == 501 and set(got) == {(k, f"Real text {k} here.\n\nOther {k} text.\n\nA third one, {k}.") for k in (1, 2)}
+    long = ["".join(f"<p>own {k} {i}</p><div>site {i}</div>" for i in range(40_000)) for k in range(2)]
+    got = h.extract(spark.createDataFrame([(k, f"http://b.example/{k}", t) for k, t in enumerate(long)], "page_id long, url string, html string")).collect()
+    assert all(r.text == "\n\n".join(f"own {r.page_id} {i}" for i in range(40_000)) and r.n_shared == 40_000 for r in got)
