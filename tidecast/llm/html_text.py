@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pages of a range, about; keys that are picked for a range; keys at most (they are broadcast).
-PART, FINE, PICKED = 2000, 8, 1 << 18
+PART, FINE, PICKED = 250, 8, 1 << 18
 #: Equal rows that are written at a time.
 REPEAT = 20
 #: Cells of an alignment's table at most; beyond it, the lines of one page are halved until each half's table has no more.
