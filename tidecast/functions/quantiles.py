@@ -1,12 +1,15 @@
 """Exact quantiles of groups of any size, with linear interpolation.
 
-A sketch cuts each group into ``BINS`` bins; counts tell the bins of the wanted ranks, and only those bins' values are ordered. So no task holds a group."""
+A sketch cuts each group into ``BINS`` bins; counts tell the bins of the wanted ranks, and only those bins' values are ordered. So no task holds a group.
+The input is read twice: for the sketch, and for the counts of equal values, which are checkpointed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.sources.tables import checkpointed
+
 BINS = 256
 
 
@@ -14,10 +17,10 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, levels: li
     """keys, n, ``name``: the quantiles of ``value`` (nulls left out) as an array, in the order of ``levels``, which are expressions of ``n`` (the group's count) between 0 and 1."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     cuts = F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], 2000)
-    groups = rows.groupBy(*keys).agg(cuts.alias("_cuts"), F.count(F.lit(1)).alias("n"))
+    groups = checkpointed(rows.groupBy(*keys).agg(cuts.alias("_cuts"), F.count(F.lit(1)).alias("n")))
     # equal values are counted before anything is ordered
     counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).join(groups.select(*keys, "_cuts"), list(keys))
-    counted = counted.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    counted = checkpointed(counted.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts"))
     before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # BINS rows a group
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in")).withColumn("_before", F.coalesce(before, F.lit(0)))
     at = groups.select(*keys, "n", F.posexplode(F.array(*(((F.col("n") - 1) * x).cast("double") for x in levels))).alias("_k", "_at"))

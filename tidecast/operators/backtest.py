@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.config import DEFAULT
 from tidecast.functions import metrics
 from tidecast.functions.quantiles import exact_quantile
+from tidecast.sources.tables import checkpointed
 
 FIRST, STEP, HORIZON = 18, 3, 12
 EXACT_HORIZONS = (1, 3, 6, 12)
@@ -141,6 +142,7 @@ def fit_conformal(rows: DataFrame, target: float = 0.8, least: int = 30) -> Data
     rows = rows.join(own, "unique_id")
     width = F.greatest(F.col("mean"), 0.05 * F.greatest("_avg", F.lit(1e-9)))
     rows = rows.select("segment", "bucket", "y", "q10", "q90", (F.greatest(F.col("q10") - F.col("y"), F.col("y") - F.col("q90")) / width).alias("s"))
+    rows = checkpointed(rows)
     both = rows.filter("segment is not null and segment <> 'ALL'").unionByName(rows.withColumn("segment", F.lit("ALL")))
     level = F.least(F.lit(1.0), target * (1 + 1 / F.col("n")))
     q = exact_quantile(both, ("segment", "bucket"), "s", level)

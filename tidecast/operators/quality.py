@@ -80,7 +80,7 @@ def asp_outliers(series: DataFrame) -> DataFrame:
     middle = exact_quantile(rows, ("product",), "asp", F.lit(0.5), "middle")
     off = F.abs(F.log(F.greatest(F.col("asp") / F.col("middle"), F.lit(1e-6))))
     n = F.col("n_off")
-    return _result(rows.join(F.broadcast(middle.select("product", "middle")), "product").agg(F.count_if(off > FAR).alias("n_off")), "asp_outliers", "WARN", n == 0, n, 0.0)
+    return _result(rows.join(middle.select("product", "middle"), "product").agg(F.count_if(off > FAR).alias("n_off")), "asp_outliers", "WARN", n == 0, n, 0.0)
 
 
 def snapshot_current(snaps: DataFrame, cycle: Column, name: str) -> DataFrame:

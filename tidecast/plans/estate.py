@@ -14,6 +14,7 @@ from tidecast.functions.dates import to_month
 from tidecast.functions.metrics import exact_sum
 from tidecast.operators import panel as panels
 from tidecast.sources.sales_files import drop_partial_month
+from tidecast.sources.tables import checkpointed
 
 MONEY = "decimal(12,2)"
 #: The last month whose actuals are known when a plan is made, and the month in which mappings change hands.
@@ -48,7 +49,8 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """month, oem, region, product, units, revenue, without the last month, which is incomplete."""
     rows = drop_partial_month(sales(spark, sf), "ship_date")
-    return rows.groupBy("month", "oem", "region", "product").agg(F.sum("units").alias("units"), exact_sum(F.col("revenue")).alias("revenue"))
+    # checkpointed: what is planned on it reads it several times
+    return checkpointed(rows.groupBy("month", "oem", "region", "product").agg(F.sum("units").alias("units"), exact_sum(F.col("revenue")).alias("revenue")))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,9 +97,8 @@ def backlog(spark: SparkSession, sf: str) -> DataFrame:
     month = to_month(F.col("l_shipdate"))
     rows = rows.withColumn("month", month).withColumn("snapshot_month", F.add_months("month", -(F.col("o_orderkey") % 3 + 1).cast("int")))
     revenue = F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    return rows.groupBy("snapshot_month", "month", F.col("c_mktsegment").alias("oem"), F.col("r_name").alias("region"), F.col("p_type").alias("product")).agg(
-        F.sum("l_quantity").alias("units"), exact_sum(revenue).alias("value")
-    )
+    by = rows.groupBy("snapshot_month", "month", F.col("c_mktsegment").alias("oem"), F.col("r_name").alias("region"), F.col("p_type").alias("product"))
+    return checkpointed(by.agg(F.sum("l_quantity").alias("units"), exact_sum(revenue).alias("value")))
 
 
 def plan(spark: SparkSession, sf: str) -> DataFrame:

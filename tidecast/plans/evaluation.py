@@ -9,10 +9,11 @@ from tidecast.functions.quantiles import exact_quantile
 from tidecast.operators import backtest, drift, panel
 from tidecast.plans import estate
 from tidecast.plans.registry import query
+from tidecast.sources.tables import checkpointed
 
 
 def _bt(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.naive_backtest(panel.long(estate.panel(spark, sf)))
+    return checkpointed(backtest.naive_backtest(panel.long(estate.panel(spark, sf))))
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.operators import quality, risk, views
 from tidecast.plans import estate
 from tidecast.plans.registry import query
+from tidecast.sources.tables import checkpointed
 
 
 def _actuals(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,18 +38,19 @@ def threshold_best_match(spark: SparkSession, sf: str) -> DataFrame:
     return risk.with_thresholds(pairs, _thresholds(spark)).select("product", "region", "min_coverage")
 
 
-def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.historical_coverage(estate.backlog(spark, sf), _actuals(spark, sf), F.lit(estate.CYCLE))
+def _history(spark: SparkSession, sf: str, backlog: DataFrame) -> DataFrame:
+    return risk.historical_coverage(backlog, _actuals(spark, sf), F.lit(estate.CYCLE))
 
 
 @query(estate.with_views("series backlog", f"{_HISTORY} SELECT * FROM history"))
 def historical_p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return _history(spark, sf)
+    return _history(spark, sf, estate.backlog(spark, sf))
 
 
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
-    now = estate.backlog(spark, sf).filter(F.col("snapshot_month") == F.lit(estate.CYCLE)).drop("snapshot_month")
-    return risk.coverage_table(estate.plan(spark, sf), now, _thresholds(spark), _history(spark, sf))
+    backlog = estate.backlog(spark, sf)
+    now = backlog.filter(F.col("snapshot_month") == F.lit(estate.CYCLE)).drop("snapshot_month")
+    return risk.coverage_table(estate.plan(spark, sf), now, _thresholds(spark), _history(spark, sf, backlog))
 
 
 @query(estate.with_views("plan backlog series", f"{_COVERAGE} SELECT oem, region, product, month, bl_units, bl_value, coverage, threshold, configured_floor FROM coverage"))
@@ -128,9 +130,9 @@ def dq_checks(spark: SparkSession, sf: str) -> DataFrame:
 
     sales = estate.sales(spark, sf)
     rows = estate.mapping(spark, sf).withColumn("status", F.lit("ACTIVE"))
-    series = mapping.mapped_series(sales.withColumn("units", F.col("units").cast("decimal(18,2)")), estate.mapping(spark, sf), estate.fx(spark, sf))
-    none = estate.backlog(spark, sf).filter("false")
-    out = quality.run_checks(series, sales, rows, estate.fx(spark, sf), none, estate.backlog(spark, sf), estate.capacity(spark, sf), F.lit(estate.CYCLE))
+    series = checkpointed(mapping.mapped_series(sales.withColumn("units", F.col("units").cast("decimal(18,2)")), estate.mapping(spark, sf), estate.fx(spark, sf)))
+    backlog = estate.backlog(spark, sf)
+    out = quality.run_checks(series, sales, rows, estate.fx(spark, sf), backlog.filter("false"), backlog, estate.capacity(spark, sf), F.lit(estate.CYCLE))
     return out.withColumn("metric", F.floor(F.col("metric") * 1000000 + 0.5) / 1000000)
 
 
@@ -160,7 +162,7 @@ SELECT (SELECT {_STEADY('consensus_units * asp')} FROM plan) AS consensus_revenu
     )
 )
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    p = estate.plan(spark, sf)
+    p = checkpointed(estate.plan(spark, sf))
     return views.dashboard(p, p.select("month", "oem", "region", "product", "y"))
 
 
