@@ -200,6 +200,41 @@ def test_consensus(spark):
     assert key(governance.consensus(plan, one)[0]) == key(governance.consensus_single_level(plan, one))
 
 
+def _one_by_one(plan, overrides):
+    """Overrides applied one after the other, as the rules say."""
+    value, pin, bad = {k: v for k, v in plan.items()}, {}, {}
+    depth = lambda o: {(1, 1, 1): 3, (1, 1, 0): 2, (1, 0, 0): 1, (0, 1, 0): 1, (0, 0, 1): 1}.get(tuple(int(x != "ALL") for x in o[1:4]), 0)
+    for o in sorted(overrides, key=lambda o: (-depth(o), o[0])):
+        under = [k for k in plan if k[3] == o[4] and all(x in ("ALL", y) for x, y in zip(o[1:4], k, strict=False))]
+        free = [k for k in under if k not in pin]
+        rest = o[5] - sum(value[k] for k in under if k in pin)
+        if not under or (not free and abs(rest) > 1e-6) or (free and rest < -1e-9):
+            bad[o[0]] = rest if under else None
+        else:
+            total = sum(plan[k] for k in free)
+            value |= {k: rest * plan[k] / total if total > 1e-12 else rest / len(free) for k in free}
+            pin |= dict.fromkeys(free, o[0])
+    return value, pin, bad
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlapping_overrides_bind_by_depth_and_id(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    plan = {(o, g, p, M[h]): float(r.choice([0, 10, 40, 90])) for o in "AB" for g in "XYZ" for p in "PQ" for h in (1, 2)}
+    some = lambda values: r.choice([*values, "ALL", "ALL"])
+    overrides = [(k, some("AB"), some("XYZ"), some("PQR"), M[r.choice((1, 2))], float(r.choice([50, 200, 600, 2000])), "OTHER", f"u{k}") for k in r.sample(range(100), 25)]
+    df = spark.createDataFrame([(*k, v) for k, v in plan.items()], "oem string, region string, product string, month date, ai_units double")
+    out, conflicts = governance.consensus(df, spark.createDataFrame(overrides, OVERRIDE))
+    value, pin, bad = _one_by_one(plan, overrides)
+    rows = {(x.oem, x.region, x.product, x.month): x for x in out.collect()}
+    assert rows.keys() == plan.keys()
+    assert {k: round(x.consensus_units, 5) for k, x in rows.items()} == {k: round(v, 5) for k, v in value.items()}
+    assert {k: x.user_id for k, x in rows.items() if x.overridden} == {k: f"u{v}" for k, v in pin.items()}
+    assert {x.override_id: x.residual if x.residual is None else round(x.residual, 5) for x in conflicts.collect()} == {k: v if v is None else round(v, 5) for k, v in bad.items()}
+
+
 def test_value_added(spark):
     rows = [("R1", "A", "X", "P", M[k], 1, 100.0, 115.0, 60.0, k == 0, "u", "OTHER") for k in range(12)]
     frozen = spark.createDataFrame(rows, "run_id string, oem string, region string, product string, month date, horizon int, ai_units double, consensus_units double, naive_units double, overridden boolean, user_id string, reason_code string")

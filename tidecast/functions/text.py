@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal forms and filler words that names are cleaned of.
-LEGAL = tuple(
-    "inc incorporated corp corporation co company ltd limited llc gmbh ag sa nv bv pte sdn bhd kk gk plc spa lp llp srl oy ab as pty pvt the of and se kg".split()
+LEGAL = (
+    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "gmbh", "ag", "sa", "nv", "bv", "pte", "sdn", "bhd",
+    "kk", "gk", "plc", "spa", "lp", "llp", "srl", "oy", "ab", "as", "pty", "pvt", "the", "of", "and", "se", "kg",
 )
 # Words of a name that tell no company from another.
-GENERIC = tuple(
-    "operations operation opns sales international intl europe emea asia pacific america americas north na group holding holdings trading manufacturing mfg "
-    "plant assembly division services svc solutions automotive industry computer technologies technology electronics usa us china japan germany ireland".split()
+GENERIC = (
+    "operations", "operation", "opns", "sales", "international", "intl", "europe", "emea", "asia", "pacific", "america", "americas", "north", "na",
+    "group", "holding", "holdings", "trading", "manufacturing", "mfg", "plant", "assembly", "division", "services", "svc", "solutions", "automotive",
+    "industry", "computer", "technologies", "technology", "electronics", "usa", "us", "china", "japan", "germany", "ireland",
 )
 # Letters with marks of Latin-1 and Latin Extended-A whose plain letter is known; others are dropped.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.config import DEFAULT, EngineConfig
-from tidecast.functions.metrics import wmape
+from tidecast.config import ALL, DEFAULT, EngineConfig
+from tidecast.functions.metrics import steady_sum, wmape
 from tidecast.operators.hierarchy import DIMS, depth_of, level_of, matches
 from tidecast.operators.windows import latest, seasonal_naive
+from tidecast.sources.tables import checkpointed
 
 # The reasons that an override may give.
 REASONS = ("PROMOTION", "NEW_PROGRAM", "LOST_DEAL", "SUPPLY_CONSTRAINT", "MARKET_SHIFT", "INVENTORY_CORRECTION", "PRICE_CHANGE", "OTHER")
@@ -60,7 +62,7 @@ def revisions(overrides: DataFrame) -> DataFrame:
 
 
 def latest_state(overrides: DataFrame, events: DataFrame) -> DataFrame:
-    """Overrides with revision, status and approval after ``events`` (override_id, event_id, action: WITHDRAW, APPROVE or REJECT), which are only ever appended; the last of a kind counts."""
+    """Overrides with revision, status and approval after ``events`` (override_id, event_id, action: WITHDRAW, APPROVE, REJECT or a note), which are only ever appended; the last of a kind counts."""
     kind = F.when(F.col("action") == "WITHDRAW", "withdraw").otherwise("review")
     done = latest(events.withColumn("_kind", kind), ("override_id", "_kind"), F.col("event_id").desc())
     done = done.groupBy("override_id").agg(F.bool_or(F.col("_kind") == "withdraw").alias("_gone"), F.max(F.when(F.col("_kind") == "review", F.col("action"))).alias("_review"))
@@ -78,58 +80,63 @@ def active_overrides(overrides: DataFrame, config: EngineConfig = DEFAULT) -> Da
 # ---------------------------------------------------------------- consensus
 
 
+def rounds(overrides: DataFrame) -> DataFrame:
+    """``overrides`` with ``turn``: what binds together, since within a month the nodes of a turn do not overlap.
+
+    Finer nodes come first. Nodes of the two finest levels overlap only if they are equal, so there a turn is a level and how often its node came before. Coarser nodes (regions, oems, products, the
+    total) may overlap, so there a new turn also begins where, by id, other dimensions are named. Only these, a few for each month, are ordered by month."""
+    dims = F.concat_ws(",", *(F.when(F.col(d) != ALL, d) for d in DIMS))
+    again = F.row_number().over(Window.partitionBy(*DIMS, "month").orderBy("override_id")) - 1
+    rows = overrides.withColumns({"_dims": dims, "_depth": depth_of(level_of(*(F.col(d) for d in DIMS))), "_again": again})
+    by_id = Window.partitionBy("month", "_depth").orderBy("override_id")
+    kind = F.struct("_dims", "_again")
+    coarse = rows.filter("_depth <= 1").withColumn("_new", (kind != F.lag(kind).over(by_id)).cast("int"))
+    coarse = coarse.withColumn("_run", F.coalesce(F.sum("_new").over(by_id), F.lit(0)).cast("int")).drop("_new")
+    out = rows.filter("_depth > 1").withColumn("_run", F.col("_again")).unionByName(coarse)
+    return out.withColumn("turn", F.struct((-F.col("_depth")).alias("depth"), F.col("_run").alias("run"), F.col("_dims").alias("dims"))).drop("_dims", "_depth", "_again", "_run")
+
+
 def consensus(plan: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plan, conflicts): ``plan`` (oem, region, product, month, ai_units and more) with consensus_units, overridden, reason_code, user_id; conflicts (override_id, reason, residual).
 
-    Overrides (override_id, oem, region, product, month, override_units, reason_code, user_id) bind the finest first, of equal depth by id. One pins the leaves that are
-    free under its node, in proportion to their forecast (evenly if that is zero), so that the node's total is met. Bindings follow one another only within
-    a month and where nodes overlap, so the work is dealt by month and oem where all of a month's nodes name one (and by month alone otherwise)."""
-    node = list(DIMS)
-    split = overrides.groupBy("month").agg(F.bool_and(F.col("oem") != "ALL").alias("_split"))
-    dealt = lambda df: df.join(F.broadcast(split), "month", "left").withColumn("_deal", F.when(F.coalesce("_split", F.lit(True)), F.col("oem")).otherwise("ALL")).drop("_split")
-    leaves = dealt(plan.select(*node, "month", "ai_units").withColumn("ai_units", F.col("ai_units").cast("double")))
-    touched = dealt(overrides).select("month", "_deal").distinct()
-    rows = leaves.join(touched, ["month", "_deal"], "left_semi")  # groups without an override keep the forecast
-    ovs = dealt(overrides.withColumn("_depth", depth_of(level_of(*(F.col(d) for d in DIMS))))).select("override_id", *node, "month", "override_units", "reason_code", "user_id", "_depth", "_deal")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(node).reset_index(drop=True)
-        ai, value = left["ai_units"].to_numpy(float), left["ai_units"].to_numpy(float).copy()
-        pinned = np.zeros(len(left), bool)
-        reason, user, notes = [None] * len(left), [None] * len(left), []
-        for o in right.sort_values(["_depth", "override_id"], ascending=[False, True]).itertuples(index=False):
-            under = np.ones(len(left), bool)
-            for d in node:
-                if getattr(o, d) != "ALL":
-                    under &= (left[d] == getattr(o, d)).to_numpy()
-            free = under & ~pinned
-            rest = float(o.override_units) - value[under & pinned].sum()
-            if not under.any():
-                notes.append((o.override_id, o.month, "no leaves under the node", None))
-            elif not free.any():
-                if abs(rest) > 1e-6:
-                    notes.append((o.override_id, o.month, "all leaves pinned, totals differ", rest))
-            elif rest < -1e-9:
-                notes.append((o.override_id, o.month, "below the sum of finer overrides", rest))
-            else:
-                total = ai[free].sum()
-                value[free] = rest * (ai[free] / total if total > 1e-12 else np.full(free.sum(), 1 / free.sum()))
-                pinned |= free
-                for i in np.flatnonzero(free):
-                    reason[i], user[i] = o.reason_code, o.user_id
-        out = left[[*node, "month"]].assign(consensus_units=value, overridden=pinned, reason_code=reason, user_id=user, override_id=None, conflict=None, residual=None)
-        if notes:
-            more = pd.DataFrame(notes, columns=["override_id", "month", "conflict", "residual"])
-            out = pd.concat([out.astype(object), more.astype(object)], ignore_index=True)
-        return out[[*node, "month", "consensus_units", "overridden", "reason_code", "user_id", "override_id", "conflict", "residual"]]
-
-    schema = "oem string, region string, product string, month date, consensus_units double, overridden boolean, reason_code string, user_id string, override_id long, conflict string, residual double"
-    both = rows.groupBy("month", "_deal").cogroup(ovs.groupBy("month", "_deal")).applyInPandas(run, schema)
-    conflicts = both.filter("conflict is not null").select("override_id", F.col("conflict").alias("reason"), "residual")
-    new = both.filter("conflict is null").drop("override_id", "conflict", "residual")
-    base = plan.drop("consensus_units", "overridden", "reason_code", "user_id")
-    out = base.join(new, [*node, "month"], "left").withColumns({"consensus_units": F.coalesce("consensus_units", F.col("ai_units").cast("double")), "overridden": F.coalesce("overridden", F.lit(False))})
-    return out, conflicts
+    Overrides (override_id, oem, region, product, month, override_units, reason_code, user_id) bind the finest first, of equal depth by id. One shares what its node's total leaves
+    after finer overrides among the leaves that are still free, in proportion to their forecast (evenly if that is zero). One whose node has no leaves, no free leaves (with another total), or
+    less than its leaves already hold, is a conflict and binds nothing.
+    Each turn of overrides that do not overlap is a join with the leaves and a sum by override, for all months at once; states of turns are checkpointed."""
+    leaf = [*DIMS, "month"]
+    turns = checkpointed(rounds(overrides))
+    months = turns.select("month").distinct()
+    state = plan.select(*leaf, F.col("ai_units").cast("double").alias("ai")).join(months, "month", "left_semi")
+    state = state.withColumns({"value": F.col("ai"), "pin": F.lit(None).cast(overrides.schema["override_id"].dataType)})
+    conflicts = []
+    for turn in sorted(r[0] for r in turns.select("turn").distinct().collect()):  # a few kinds
+        keys = [*(d for d in turn["dims"].split(",") if d), "month"]
+        now = turns.filter(reduce(lambda x, y: x & y, (F.col(f"turn.{k}") == turn[k] for k in ("depth", "run", "dims")))).select("override_id", *keys, "override_units")
+        free = F.col("pin").isNull()
+        sums = now.join(state, keys, "left").groupBy("override_id", *keys, "override_units").agg(
+            F.count("ai").alias("leaves"), F.count_if(free & F.col("ai").isNotNull()).alias("free"),
+            steady_sum(F.when(~free, F.col("value")).otherwise(0.0)).alias("held"), steady_sum(F.when(free, F.col("ai")).otherwise(0.0)).alias("open"),
+        )
+        sums = checkpointed(sums.withColumn("left", F.col("override_units") - F.col("held")))
+        broken = (
+            F.when(F.col("leaves") == 0, "no leaves under the node")
+            .when((F.col("free") == 0) & (F.abs("left") > 1e-6), "no leaf is free and totals differ")
+            .when((F.col("free") > 0) & (F.col("left") < -1e-9), "below the sum of finer overrides")
+        )
+        conflicts.append(sums.select("override_id", broken.alias("reason"), F.when(F.col("leaves") > 0, F.col("left")).alias("residual")).filter("reason is not null"))
+        binding = sums.filter("free > 0 and left >= -1e-9").select(F.col("override_id").alias("_id"), *keys, "left", "open", "free")
+        share = F.when(F.col("open") > 1e-12, F.col("ai") / F.col("open")).otherwise(1 / F.col("free"))
+        takes = F.col("pin").isNull() & F.col("_id").isNotNull()
+        state = state.join(binding, keys, "left").select(
+            *leaf, "ai", F.when(takes, F.col("left") * share).otherwise(F.col("value")).alias("value"), F.when(takes, F.col("_id")).otherwise(F.col("pin")).alias("pin")
+        )
+        state = checkpointed(state)
+    given = overrides.select(F.col("override_id").alias("pin"), "reason_code", "user_id")
+    new = state.filter("pin is not null").join(given, "pin").select(*leaf, F.col("value").alias("consensus_units"), F.lit(True).alias("overridden"), "reason_code", "user_id")
+    out = plan.drop("consensus_units", "overridden", "reason_code", "user_id").join(new, leaf, "left")
+    out = out.withColumns({"consensus_units": F.coalesce("consensus_units", F.col("ai_units").cast("double")), "overridden": F.coalesce("overridden", F.lit(False))})
+    none = plan.sparkSession.createDataFrame([], f"override_id {overrides.schema['override_id'].dataType.simpleString()}, reason string, residual double")
+    return out, reduce(DataFrame.unionByName, conflicts, none)
 
 
 def consensus_single_level(plan: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from tidecast.plans.registry import query
 
 
 def _overrides(spark: SparkSession, sf: str) -> DataFrame:
-    """One override for each order of every 50th: of a segment, region and month of the plan by the order's key."""
+    """One override for each order: of a segment, region and month of the plan by the order's key."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     places = estate.table(spark, sf, "customer").join(estate.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(estate.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = estate.table(spark, sf, "orders").filter("o_orderkey % 50 = 0").join(places, F.col("o_custkey") == F.col("c_custkey"))
+    rows = estate.table(spark, sf, "orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
     month = F.add_months(F.lit(estate.CYCLE), (F.floor(k / 50) % 6 + 1).cast("int"))
     return rows.select(
         k.alias("override_id"), F.col("c_mktsegment").alias("oem"), F.col("r_name").alias("region"), F.lit("ALL").alias("product"), month.alias("month"), (c % 500 + 100).cast("double").alias("override_units"),
@@ -24,7 +24,7 @@ def _overrides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _OVERRIDES = f"""ovs AS (SELECT o_orderkey AS override_id, c_mktsegment AS oem, r_name AS region, 'ALL' AS product, CAST({estate.CYCLE_SQL} + to_months(CAST(o_orderkey // 50 % 6 + 1 AS INTEGER)) AS DATE) AS month, CAST(o_custkey % 500 + 100 AS DOUBLE) AS override_units,
-  'PROMOTION' AS reason_code, 'u' || (o_custkey % 7) AS user_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 50 = 0),
+  'PROMOTION' AS reason_code, 'u' || (o_custkey % 7) AS user_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 revised AS (SELECT *, row_number() OVER w AS revision, lag(override_id) OVER w AS supersedes, CASE WHEN override_id = max(override_id) OVER (PARTITION BY oem, region, product, month) THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS status FROM ovs WINDOW w AS (PARTITION BY oem, region, product, month ORDER BY override_id))"""
 
 
@@ -34,8 +34,8 @@ def latest_revision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    o = _overrides(spark, sf).filter("override_id % 3 = 0")
-    return o.select("override_id", F.col("override_id").alias("event_id"), F.when(F.col("override_id") % 4 == 0, "WITHDRAW").when(F.col("override_id") % 4 == 2, "REJECT").otherwise("APPROVE").alias("action"))
+    k = F.col("override_id")
+    return _overrides(spark, sf).select("override_id", k.alias("event_id"), F.when(k % 3 != 0, "NOTE").when(F.col("override_id") % 4 == 0, "WITHDRAW").when(F.col("override_id") % 4 == 2, "REJECT").otherwise("APPROVE").alias("action"))
 
 
 @query(

@@ -139,11 +139,11 @@ def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     estate.with_views(
         "panel",
-        f"SELECT {_LEVEL}, month, sum(units) AS units FROM panel WHERE month >= DATE '2000-01-01' GROUP BY GROUPING SETS ({_SETS('month')})",
+        f"SELECT {_LEVEL}, month, sum(units) AS units FROM panel GROUP BY GROUPING SETS ({_SETS('month')})",
     )
 )
 def hierarchy_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.rollup(estate.panel(spark, sf).filter("month >= '2000-01-01'"), {"units": F.sum("units")})
+    return hierarchy.rollup(estate.panel(spark, sf), {"units": F.sum("units")})
 
 
 @query(

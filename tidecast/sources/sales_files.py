@@ -15,29 +15,28 @@ from tidecast.functions.dates import to_month
 
 LIMIT_SERIES, LEAST_MONTHS, GOOD_MONTHS, BAD_DATES = 600, 18, 30, 0.05
 
-# The fields of each kind of file, required ones first, and the headers that they go by.
-REQUIRED = {
-    "sales": ("month", "customer", "product", "units"),
-    "mapping": ("customer", "oem"),
-    "backlog": ("snapshot_month", "delivery_month", "customer", "product", "units"),
-    "capacity": ("month", "region", "product", "capacity_units"),
+# The fields of each kind of file, and the headers that they go by.
+FIELDS = {
+    "sales": {"required": ["month", "customer", "product", "units"], "optional": ["revenue", "price", "region", "oem", "family"]},
+    "mapping": {"required": ["customer", "oem"], "optional": ["region", "allocation_pct"]},
+    "backlog": {"required": ["snapshot_month", "delivery_month", "customer", "product", "units"], "optional": ["value"]},
+    "capacity": {"required": ["month", "region", "product", "capacity_units"], "optional": []},
 }
-OPTIONAL = {"sales": ("revenue", "price", "region", "oem", "family"), "mapping": ("region", "allocation_pct"), "backlog": ("value",), "capacity": ()}
 HEADERS = {
-    "month": "month date period order_date invoice_date ship_date ds yearmonth year_month posting_date",
-    "snapshot_month": "snapshot_month snapshot as_of asof snapshot_date",
-    "delivery_month": "delivery_month delivery ship_month delivery_date due_month due_date",
-    "customer": "customer sold_to soldto sold_to_name account client customer_name buyer store store_id dealer distributor",
-    "product": "product sku item part product_code product_line material dept dept_id item_id",
-    "family": "family category cat cat_id product_family segment",
-    "units": "units qty quantity volume units_sold shipped_units sales_units sold",
-    "revenue": "revenue sales sales_usd amount net_sales sales_amount value net_revenue invoice_amount sales_value turnover",
-    "price": "price unit_price asp sell_price avg_price",
-    "region": "region territory geo area state state_id country market",
-    "oem": "oem brand end_customer parent parent_customer ultimate_parent group customer_group",
-    "allocation_pct": "allocation_pct allocation share pct percent split",
-    "value": "value backlog_value amount revenue",
-    "capacity_units": "capacity_units capacity cap max_units",
+    "month": ["month", "date", "period", "order_date", "invoice_date", "ship_date", "ds", "yearmonth", "year_month", "posting_date"],
+    "snapshot_month": ["snapshot_month", "snapshot", "as_of", "asof", "snapshot_date"],
+    "delivery_month": ["delivery_month", "delivery", "ship_month", "delivery_date", "due_month", "due_date"],
+    "customer": ["customer", "sold_to", "soldto", "sold_to_name", "account", "client", "customer_name", "buyer", "store", "store_id", "dealer", "distributor"],
+    "product": ["product", "sku", "item", "part", "product_code", "product_line", "material", "dept", "dept_id", "item_id"],
+    "family": ["family", "category", "cat", "cat_id", "product_family", "segment"],
+    "units": ["units", "qty", "quantity", "volume", "units_sold", "shipped_units", "sales_units", "sold"],
+    "revenue": ["revenue", "sales", "sales_usd", "amount", "net_sales", "sales_amount", "value", "net_revenue", "invoice_amount", "sales_value", "turnover"],
+    "price": ["price", "unit_price", "asp", "sell_price", "avg_price"],
+    "region": ["region", "territory", "geo", "area", "state", "state_id", "country", "market"],
+    "oem": ["oem", "brand", "end_customer", "parent", "parent_customer", "ultimate_parent", "group", "customer_group"],
+    "allocation_pct": ["allocation_pct", "allocation", "share", "pct", "percent", "split"],
+    "value": ["value", "backlog_value", "amount", "revenue"],
+    "capacity_units": ["capacity_units", "capacity", "cap", "max_units"],
 }
 
 
@@ -73,8 +72,8 @@ def suggest_columns(role: str, columns: list[str]) -> dict[str, str | None]:
     keyed = {re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_"): c for c in columns}
     free = dict(keyed)
     out: dict[str, str | None] = {}
-    for field in (*REQUIRED[role], *OPTIONAL[role]):
-        names = HEADERS[field].split()
+    for field in (*FIELDS[role]["required"], *FIELDS[role]["optional"]):
+        names = HEADERS[field]
         key = next((n for n in names if n in free), None) or next((k for n in names for k in free if n in k), None)
         out[field] = free.pop(key) if key is not None else None
     return out
@@ -90,7 +89,7 @@ def drop_partial_month(df: DataFrame, day: str, month: str = "month") -> DataFra
 def _field(df: DataFrame, columns: dict[str, str | None], name: str) -> Column | None:
     source = columns.get(name)
     if not source:
-        if name in REQUIRED["sales"]:
+        if name in FIELDS["sales"]["required"]:
             raise ValueError(f"no column is given for '{name}'")
         return None
     if source not in df.columns:
