@@ -78,7 +78,8 @@ def test_ranges_are_even_however_ids_lie(spark, monkeypatch):
     monkeypatch.setattr(fp, "RANGE_ROWS", 40)
     docs = [(k if k < 600 else None if k < 1000 else 7 if k < 1400 else 10**15 + k, f"text {k} {k * k}") for k in range(2000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    sizes = [r["count"] for r in df.groupBy(fp.range_of(fp.order_key(), fp.range_starts(df)).alias("range")).count().collect()]
+    keys = df.select(fp.order_key().alias("key"))
+    sizes = [r["count"] for r in keys.groupBy(fp.range_of("key", keys.schema["key"].dataType, fp.range_starts(keys, fp.RANGE_ROWS, fp.FINE, fp.PICKED)).alias("range")).count().collect()]
     assert len(sizes) > 20 and max(sizes) < 200
     check(digests(df), docs)
 

@@ -32,6 +32,18 @@ def test_edge_rows(spark, edge_docs, no_docs):
     _check(sh.shard(nulls, 2).collect(), nulls.collect(), 2)
 
 
+def test_ranges_are_even_however_ids_lie(spark, monkeypatch):
+    """One id far from all others, and a source, language and size that all rows share: the one cell is cut."""
+    monkeypatch.setattr(sh, "RANGE_ROWS", 40)
+    docs = spark.createDataFrame([(k if k else 10**15, f"text {k:05}", "en", "hot") for k in range(3000)], "doc_id long, text string, lang string, source string")
+    _check(sh.shard(docs, 7).collect(), docs.collect(), 7)
+    rows = sh.placed(docs)
+    starts = sh.range_starts(rows.select("key"), sh.RANGE_ROWS, sh.FINE, sh.PICKED)
+    sizes = [r["count"] for r in rows.groupBy(sh.range_of("key", rows.schema["key"].dataType, starts)).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 200
+    assert rows.select("key.hilbert").distinct().count() == 16  # ids are cut at quantiles
+
+
 def test_neighbours_on_the_curve_are_neighbours_in_the_grid(spark):
     for d, bits in ((2, 3), (3, 2), (4, 2)):
         names = [f"a{i}" for i in range(d)]

@@ -7,13 +7,16 @@ text longer than that is a piece by itself), which bounds the memory of a task.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 PIECE = 500_000
 _MASK = (1 << 64) - 1
@@ -57,6 +60,29 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# ---------------------------------------------------------------- ranges
+
+
+def range_starts(keys: DataFrame, rows: int, fine: int, most: int) -> list[tuple]:
+    """Keys (structs in the column ``key``) at which ranges of about ``rows`` rows begin, in order.
+
+    Keys are picked by their hash, every ``rows / fine``-th, ``most`` or so at most, and ranges begin at every ``fine``-th picked key: they are even however keys lie."""
+    step = max(1, rows // fine, -(-keys.count() // most))
+    picked = keys.filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("key.*").distinct()
+    return sorted(tuple(r) for r in picked.toLocalIterator())[fine - 1 :: fine]
+
+
+def range_of(key: str, kind: DataType, starts: list[tuple]) -> Column:
+    """How many of ``starts`` are not above the struct ``key``, by halving."""
+    if not starts:
+        return F.lit(0)
+    given = json.dumps([dict(zip(kind.names, k, strict=True)) for k in starts])
+    listed = F.from_json(F.lit(given), f"array<{kind.simpleString()}>")  # folded to a constant
+    steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+    # an index beyond the end gives null, which counts as above the key
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: at + F.when(F.get(listed, at + s - 1) <= F.col(key), s).otherwise(0))
+
+
 # ---------------------------------------------------------------- text arrays
 
 

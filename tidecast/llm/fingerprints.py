@@ -17,12 +17,10 @@ document is its own next; very long texts are rows like others; an empty table g
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm._shared import Scratch
+from tidecast.llm._shared import Scratch, range_of, range_starts
 
 CHAIN = 3
 #: Documents in a range, about; keys that are picked for a range; keys at most (they are a constant of the plan).
@@ -94,30 +92,11 @@ def order_key() -> Column:
     return F.struct(F.col("doc_id").isNotNull().cast("int").alias("some"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
-def range_starts(docs: DataFrame) -> list[tuple[int, int, int]]:
-    """Order keys at which ranges of about ``RANGE_ROWS`` documents begin, in order."""
-    n = docs.count()
-    step = max(1, RANGE_ROWS // FINE, -(-n // PICKED))
-    keys = docs.select(order_key().alias("k")).select("k.*")
-    picked = sorted(tuple(r) for r in keys.filter(F.pmod(F.xxhash64("hash", "id"), F.lit(step)) == 0).distinct().toLocalIterator())
-    return picked[FINE - 1 :: FINE]
-
-
-def range_of(key: Column, starts: list[tuple[int, int, int]]) -> Column:
-    """How many of ``starts`` are not above ``key``, by halving."""
-    if not starts:
-        return F.lit(0)
-    given = json.dumps([dict(zip(("some", "id", "hash"), k, strict=True)) for k in starts])
-    listed = F.from_json(F.lit(given), "array<struct<some: int, id: bigint, hash: bigint>>")  # folded to a constant
-    steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
-    # an index beyond the end gives null, which counts as above the key
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: at + F.when(F.get(listed, at + s - 1) <= key, s).otherwise(0))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, spots, next_text, next_spots."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", order_key())
-    rows = rows.withColumn("range", range_of(F.col("key"), range_starts(docs)))
+    starts = range_starts(docs.select(order_key().alias("key")), RANGE_ROWS, FINE, PICKED)
+    rows = rows.withColumn("range", range_of("key", rows.schema["key"].dataType, starts))
     firsts = rows.groupBy("range").agg(F.min("key").alias("first"))  # one row a range
     last = firsts.agg(F.max("range")).first()[0] or 0
     begins = firsts.select("range", "first", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.lit(last)).alias("to"))

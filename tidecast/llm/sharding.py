@@ -1,16 +1,16 @@
 """Operator 8 [native]: sharding in the order of a Hilbert curve over quantised metadata.
 
 Each row gets a cell of a grid of ``2**BITS`` steps a side from its metadata: source and language (hashed), size (its
-number of binary digits) and doc_id (even ranges). Cells are ordered by their index on the Hilbert curve, rows within a
+number of binary digits) and doc_id (between quantiles, so steps hold about as many rows). Cells are ordered by their index on the Hilbert curve, rows within a
 cell by doc_id, text hash and size, and the ordering is cut into runs: files then cover small boxes of the grid, so that
 readers with filters on any of the four can skip most of them. Law ``rows``: a shard has the rows of ranks
 ceil(s*n/k) to ceil((s+1)*n/k)-1, so counts are at most one apart.
 
-DataFrame functions alone. The rank of a row is the count of its cell's predecessors (at most 65,536 cells, whose table
-is small however many rows there are, and is broadcast) plus its number within the cell; only (cell, id, size, hash) is
-shuffled, by cell, and no cell holds more than about a sixteenth of a hot source.
+DataFrame functions alone. Rows are dealt to ranges of the whole order (cell, doc_id, hash, size) that begin at keys picked by their hash, so that a cell of any size is cut. The rank of a row is the count of
+rows in the ranges before its own (a table of one number a range, broadcast) plus its number within the range; only (range, cell, id, size, hash) is shuffled. The table of cells has at most 65,536 rows.
 Nulls: a null text has size 16 and hash 0; null sources and languages have a step of their own, null ids come first.
-Repeated rows each have their own slot. Empty tables give empty tables. Further columns of the input are not kept.
+Repeated rows each have their own slot; rows with one id, hash and size are ties in no order and stay in one range; very long texts are rows like others.
+Empty tables give empty tables. Further columns of the input are not kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidecast.llm._shared import range_of, range_starts
+
 SHARDS = 40
 BITS = 4
 OVERHEAD = 16
+#: Rows of a range, about; keys that are picked for a range; keys at most (they are a constant of the plan).
+RANGE_ROWS, FINE, PICKED = 5000, 4, 1 << 18
 
 
 def hilbert_index(df: DataFrame, dims: list[str], bits: int, name: str) -> DataFrame:
@@ -66,19 +70,27 @@ def measures(docs: DataFrame) -> DataFrame:
     return out.withColumn("d_size", F.least(F.greatest(F.length(F.bin("size")) - 5, F.lit(0)), F.lit((1 << BITS) - 1)).cast("int"))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and key: the place of each row in the whole order."""
+    steps = 1 << BITS
+    dims = ["d_source", "d_lang", "d_size", "d_id"]
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / steps for k in range(1, steps)], 10_000)).first()[0] or []
+    rows = measures(docs).withColumn("d_id", F.coalesce(sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)))
+    cells = hilbert_index(rows.select(*dims).distinct(), dims, BITS, "hilbert")  # at most 2**(4*BITS) rows
+    key = F.struct("hilbert", F.col("doc_id").isNotNull().cast("int").alias("some"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), "text_crc32", "size")
+    return rows.join(F.broadcast(cells), dims).select("doc_id", "size", "text_crc32", key.alias("key"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) and the curve index."""
-    low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    span = -(-(high - low + 1) // (1 << BITS))
-    dims = ["d_source", "d_lang", "d_size", "d_id"]
-    rows = measures(docs).withColumn("d_id", F.coalesce(F.expr(f"cast((doc_id - {low}L) div {span}L as int)"), F.lit(0)))
-    cells = hilbert_index(rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")), dims, BITS, "hilbert")
-    before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**(4*BITS) rows
-    cells = cells.select(*dims, "hilbert", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("hilbert").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.join(F.broadcast(cells), dims).withColumn("rank", F.col("begin") + F.row_number().over(within) - 1)
-    total = max(total, 1)
+    rows = placed(docs)
+    rows = rows.withColumn("range", range_of("key", rows.schema["key"].dataType, range_starts(rows.select("key"), RANGE_ROWS, FINE, PICKED)))
+    counts = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    total = max(counts.agg(F.sum("n")).first()[0] or 0, 1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    within = Window.partitionBy("range").orderBy("key")
+    ranked = rows.join(F.broadcast(begins), "range").withColumn("rank", F.col("begin") + F.row_number().over(within) - 1)
     at = F.expr(f"rank * {shards}L div {total}L")
     return ranked.withColumn("shard", at.cast("int")).select(
         "doc_id",
@@ -88,7 +100,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "shard",
         (F.col("rank") - F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        "hilbert",
+        F.col("key.hilbert").alias("hilbert"),
     )
 
 
