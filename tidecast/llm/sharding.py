@@ -6,7 +6,7 @@ cell by doc_id, text hash and size, and the ordering is cut into runs: files the
 readers with filters on any of the four can skip most of them. Law ``rows``: a shard has the rows of ranks
 ceil(s*n/k) to ceil((s+1)*n/k)-1, so counts are at most one apart.
 
-DataFrame functions alone. Rows are dealt to ranges of the whole order (cell, doc_id, hash, size) that begin at keys picked by their hash, so that a cell of any size is cut. The rank of a row is the count of
+DataFrame functions alone. Texts are read once, for a table of measures in the shared folder, which the result reads. Rows are dealt to ranges of the whole order (cell, doc_id, hash, size) that begin at keys picked by their hash, so that a cell of any size is cut. The rank of a row is the count of
 rows in the ranges before its own (a table of one number a range, broadcast) plus its number within the range; only (range, cell, id, size, hash) is shuffled. The table of cells has at most 65,536 rows.
 Nulls: a null text has size 16 and hash 0; null sources and languages have a step of their own, null ids come first.
 Repeated rows each have their own slot; rows with one id, hash and size are ties in no order and stay in one range; very long texts are rows like others.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm._shared import range_of, range_starts
+from tidecast.llm._shared import Scratch, range_of, range_starts
 
 SHARDS = 40
 BITS = 4
@@ -75,7 +75,7 @@ def placed(docs: DataFrame) -> DataFrame:
     steps = 1 << BITS
     dims = ["d_source", "d_lang", "d_size", "d_id"]
     cuts = docs.agg(F.percentile_approx("doc_id", [k / steps for k in range(1, steps)], 10_000)).first()[0] or []
-    rows = measures(docs).withColumn("d_id", F.coalesce(sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)))
+    rows = Scratch(docs.sparkSession, "sharding").save(measures(docs), "measures").withColumn("d_id", F.coalesce(sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)))
     cells = hilbert_index(rows.select(*dims).distinct(), dims, BITS, "hilbert")  # at most 2**(4*BITS) rows
     key = F.struct("hilbert", F.col("doc_id").isNotNull().cast("int").alias("some"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), "text_crc32", "size")
     return rows.join(F.broadcast(cells), dims).select("doc_id", "size", "text_crc32", key.alias("key"))
