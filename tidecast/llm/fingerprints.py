@@ -95,9 +95,13 @@ def order_key() -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, spots, next_text, next_spots."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", order_key())
-    starts = range_starts(docs.select(order_key().alias("key")), RANGE_ROWS, FINE, PICKED)
-    rows = rows.withColumn("range", range_of("key", rows.schema["key"].dataType, starts))
-    firsts = rows.groupBy("range").agg(F.min("key").alias("first"))  # one row a range
+    s = Scratch(docs.sparkSession, "next")
+    keys = s.save(rows.select("key"), "keys")
+    kind = rows.schema["key"].dataType
+    own_range = range_of("key", kind, range_starts(keys, RANGE_ROWS, FINE, PICKED))
+    firsts = s.save(keys.groupBy(own_range.alias("range")).agg(F.min("key").alias("first")), "firsts")  # one row a range
+    s.drop(keys)
+    rows = rows.withColumn("range", own_range)
     last = firsts.agg(F.max("range")).first()[0] or 0
     begins = firsts.select("range", "first", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.lit(last)).alias("to"))
     # of repeated rows each is a copy of the first: only the first in the window counts
