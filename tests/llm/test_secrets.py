@@ -64,20 +64,59 @@ def test_the_network_adds_spans_that_no_pattern_has(net):
     assert TEXTS[12][s:e] == "ghp_x8Kd02mVq7LrT5yWn3BcZ1aHs9EuJf4GiPoM"
 
 
-def test_gradients(net):
-    """The backward pass against differences of the loss."""
-    f = se.labelled_findings(64, seed=5)
+def test_gradients():
+    """The backward pass against differences of the loss, in every group of parameters."""
+    f = se.labelled_findings(24, seed=5)
     x, y = np.array([se.encode(t, s, e) for t, s, e, _ in f]), np.array([float(k) for *_, k in f])
-    a = se.Network(1)
-    before = {k: v.copy() for k, v in a.p.items()}
-    loss = lambda n: float(np.logaddexp(0, -np.where(y == 1, n.logits(x), -n.logits(x))).mean())
-    start = loss(a)
-    a.train(x, y, epochs=30, rate=0.005)
-    assert loss(a) < start / 2 and any((a.p[k] != before[k]).any() for k in before)
+    net, r, step = se.Network(1), np.random.default_rng(2), 1e-6
+    for name, g in net.gradients(x, y).items():
+        used = np.flatnonzero(g)
+        for i in r.choice(used, min(12, len(used)), replace=False):
+            flat = net.p[name].reshape(-1)
+            old = flat[i]
+            flat[i] = old + step
+            up = net.loss(x, y)
+            flat[i] = old - step
+            down = net.loss(x, y)
+            flat[i] = old
+            assert (up - down) / (2 * step) == pytest.approx(g.reshape(-1)[i], rel=1e-3, abs=1e-7), name
+    before = net.loss(x, y)
+    net.train(x, y, epochs=20)
+    assert net.loss(x, y) < before / 4
+
+
+def test_scores_are_probabilities(net):
+    """The temperature lies inside its grid, and of findings of another seed about as many are secret as their scores say."""
+    assert se.TEMPERATURES[0] < net.temperature < se.TEMPERATURES[-1]
+    f = se.labelled_findings(4000, seed=98)
+    p, y = se.best_scores(net, [x[:3] for x in f]), np.array([k for *_, k in f])
+    for low, high in ((0, 0.1), (0.1, 0.9), (0.9, 1.01)):
+        some = (p >= low) & (p < high)
+        assert abs(p[some].mean() - y[some].mean()) < 0.12
+
+
+def test_findings_of_the_documents(spark, net):
+    """The patterns' findings that bear letters are told as secrets by the network alone, and nothing else in the documents is."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    base = [(t, s, e) for t in texts for s, e, _ in se.base_spans(t) if re.search("[a-z]", t[s:e])]
+    more = [(t, s, e) for t in texts for s, e in se.candidates(t, se.base_spans(t))]
+    assert len(base) > 10 and (se.best_scores(net, base) >= net.threshold).mean() >= 0.95
+    assert len(more) > 50 and (se.best_scores(net, more) >= net.threshold).mean() < 0.01
+
+
+def test_candidates_against_all_pairs():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["a1b2c3d4e5f60718", "xyzw", " ", '"', "token=", "AKIA", "QWERTY12345678", ".", "é"]) for _ in range(r.randint(0, 30)))
+        base = se.base_spans(text)
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text)]
+        assert se.candidates(text, base) == [(s, e) for s, e in runs if not any(s < y and x < e for x, y, _ in base)]
 
 
 def test_training_from_a_table(spark):
-    rows = spark.createDataFrame(se.labelled_findings(400), "text string, start int, `end` int, is_secret int")
+    rows = spark.createDataFrame([*se.labelled_findings(400), (None, 0, 5, 1), ("no place", None, 3, 0), ("no label", 0, 4, None)], "text string, start int, `end` int, is_secret int")
     net = se.fit(rows, limit=300)
     assert 0 < net.threshold <= 1
 

@@ -1,16 +1,18 @@
 """Operator 9: secret scans by a character convolutional network over candidates and their context.
 
-Candidates are (a) the findings of three fixed patterns, which always stay, and (b) runs of 16 or more of ``A-Za-z0-9+/_.=-``
-with a letter and a digit that overlap no such finding. Each candidate with the characters around it goes through a
+Candidates are (a) the findings of three fixed patterns, which always stay, and (b) all other runs of 16 or more of ``A-Za-z0-9+/_.=-``
+that overlap no such finding. Each candidate with the characters around it goes through a
 convolutional network in numpy: embedded characters, one layer of filters of width 5, the greatest value of each filter over
 the candidate and over its context, and a logistic output. A candidate of more than ``BODY`` characters is read in windows of so many, which
 overlap by half, each with the candidate's context; its score is the greatest of them. Size and distinct characters are those of the whole candidate. It is trained on labelled findings: a table of (text, start, end, is_secret),
-or by default the findings that ``labelled_findings`` makes from a seed (keys, tokens and passwords of many forms; against them
-long words, paths, dates, versions, numbers, identifiers and checksums). Half of the rest fits a temperature, so that scores are probabilities, and gives the
-threshold: the greatest score that keeps a recall of ``RECALL`` on labelled secrets. Candidates (b) at or above it are findings of kind ``model``.
-
-Offsets are code points, ends exclusive, over the whole text. Texts that are null, empty or clean have no spans. Equal texts give equal spans; repeated rows
-repeat; an empty table gives an empty table. One pass over the rows without a shuffle; the model (a few thousand numbers) is broadcast.
+or by default the findings that ``labelled_findings`` makes from a seed: keys, tokens and passwords of many forms, bare and assigned; against them long words, paths, dates, versions, mail hosts, rules, identifiers,
+and digests and serial numbers that look like keys but are named as what they are. Of digests that nothing names some are labelled secret and some not, so no score is certain.
+Seven tenths of the findings train, a tenth and a half fits a temperature, so that scores are probabilities, and the rest gives the
+threshold: the greatest score that keeps a recall of ``RECALL`` on its secrets. Candidates (b) at or above it are findings of kind ``model``.
+
+Offsets are code points, ends exclusive, over the whole text. Texts that are null, empty or clean have no spans. Equal texts give equal spans; spans that begin at one place are ordered by kind; repeated rows
+repeat; very long texts and candidates are read whole, in blocks; an empty table gives an empty table; further columns are not kept by scans, whatever their names, and all kept by ``redact``.
+Labelled findings with a null are left out. One pass over the rows without a shuffle; the model (a few thousand numbers) is broadcast.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The base patterns, the least lengths (of group 2; of the match), and the kinds in their order.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,13 +36,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
 _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 BODY, AROUND = 48, 16  # characters of a candidate (of a window, if it is longer) and of the context on either side
 WIDTH, FILTERS, EMBED = 5, 24, 8
 RECALL = 0.95
+EPOCHS = 7
+TEMPERATURES = np.geomspace(0.1, 10, 81)
 #: Labelled findings that a model is fitted on, at most.
-FINDINGS = 6000
+FINDINGS = 10_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -54,11 +58,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    out = []
+    out, k, reach = [], 0, 0  # base spans are in order of their starts; ``reach``: how far those before this run go
     for m in _RUN.finditer(text):
-        s, e = m.span()
-        if _DIGIT.search(text, s, e) and _LETTER.search(text, s, e) and not any(s < y and x < e for x, y, _ in base):
-            out.append((s, e))
+        start, end = m.span()
+        while k < len(base) and base[k][0] < end:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= start:
+            out.append((start, end))
     return out
 
 
@@ -114,37 +121,48 @@ class Network:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logits(x) / self.temperature))
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 7) -> None:
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        z = self.logits(x)
+        return float(np.logaddexp(0, -np.where(y == 1, z, -z)).mean())
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss, by backward pass."""
+        cols, body, around, pooled, z = self._forward(x)
+        n = np.arange(len(x))
+        d = (1 / (1 + np.exp(-z)) - y) / len(x)
+        g = {"out": pooled.T @ d, "bias": np.array([d.sum()]), "embed": np.zeros_like(self.p["embed"]), "filters": np.zeros_like(self.p["filters"])}
+        dp = d[:, None] * self.p["out"][None, : 2 * FILTERS] * (pooled[:, : 2 * FILTERS] > 0)
+        g["shift"] = dp[:, :FILTERS].sum(axis=0) + dp[:, FILTERS:].sum(axis=0)
+        for best, part in ((body, dp[:, :FILTERS]), (around, dp[:, FILTERS:])):
+            picked = cols[n[:, None], best]  # rows, filters, inputs
+            g["filters"] += np.einsum("nf,nfi->if", part, picked)
+            back = (part[:, :, None] * self.p["filters"].T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
+            np.add.at(g["embed"], x[n[:, None, None], best[:, :, None] + np.arange(WIDTH)], back)
+        return g
+
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 7) -> None:
+        """Adam, with a rate that falls to a tenth."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = r.permutation(len(x))
+            now = rate * 0.1 ** (epoch / max(epochs - 1, 1))
             for at in range(0, len(x), 64):
                 rows = order[at : at + 64]
-                cols, body, around, pooled, z = self._forward(x[rows])
-                d = (1 / (1 + np.exp(-z)) - y[rows]) / len(rows)
-                g = {"out": pooled.T @ d, "bias": np.array([d.sum()]), "embed": np.zeros_like(self.p["embed"])}
-                dp = d[:, None] * self.p["out"][None, : 2 * FILTERS] * (pooled[:, : 2 * FILTERS] > 0)
-                g["shift"] = dp[:, :FILTERS].sum(axis=0) + dp[:, FILTERS:].sum(axis=0)
-                g["filters"] = np.zeros_like(self.p["filters"])
-                for best, part in ((body, dp[:, :FILTERS]), (around, dp[:, FILTERS:])):
-                    picked = cols[np.arange(len(rows))[:, None], best]  # rows, filters, inputs
-                    g["filters"] += np.einsum("nf,nfi->if", part, picked)
-                    back = (part[:, :, None] * self.p["filters"].T[None]).reshape(len(rows), FILTERS, WIDTH, EMBED)
-                    where = x[rows][np.arange(len(rows))[:, None, None], best[:, :, None] + np.arange(WIDTH)]
-                    np.add.at(g["embed"], where, back)
+                g = self.gradients(x[rows], y[rows])
                 step += 1
                 for k in self.p:
                     m[k] += 0.1 * (g[k] - m[k])
                     v2[k] += 0.001 * (g[k] ** 2 - v2[k])
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+    def fit_temperature(self, x: np.ndarray, y: np.ndarray) -> None:
         z = self.logits(x)
-        losses = [(float(np.logaddexp(0, -np.where(y == 1, z, -z) / t).mean()), t) for t in np.geomspace(0.25, 8, 41)]
-        self.temperature = min(losses)[1]
+        self.temperature = min((float(np.logaddexp(0, -np.where(y == 1, z, -z) / t).mean()), float(t)) for t in TEMPERATURES)[1]
+
+    def set_threshold(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
         secret = np.sort(self.scores(x)[y == 1])
         if len(secret):
             self.threshold = float(secret[int((1 - recall) * len(secret))])
@@ -154,6 +172,12 @@ class Network:
 
 _HEXES, _UPPER, _LOWER, _DIGITS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGITS
+_PLAIN = str.maketrans("éèüöñó", "eeuono")
+#: Frequent parts of English, German, French and Spanish words.
+_SYLLABLES = (
+    "the th he er an re on in ed ou ti es or at to of and is it ha hi wh sh ly bl ble nd st ing tion ent ver ge ein sch ich cht zu tz pf be de die und keit heit lich ung en el la le os as ar al "
+    "ción que qu ment eau oi eux ch ier pa vi tre ai é è ü ö ñ co ro ma ni so ta ra"
+).split()
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, int, int, int]]:
@@ -161,56 +185,79 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, int,
     r = np.random.default_rng(seed)
     some = lambda letters, low, high: "".join(r.choice(list(letters), int(r.integers(low, high + 1))))
     one = lambda *x: x[int(r.integers(len(x)))]
-    word = lambda: "".join(one("th", "er", "an", "re", "on", "in", "ed", "ou", "ti", "es", "or", "ver", "ge", "ein", "sch", "la", "os", "qu", "ment") for _ in range(int(r.integers(1, 5))))
+    word = lambda: "".join(_SYLLABLES[int(r.integers(len(_SYLLABLES)))] for _ in range(int(r.integers(1, 6))))
+    plain = lambda: word().translate(_PLAIN)
     words = lambda k: " ".join(word() for _ in range(k))
+    digits = lambda low, high: some(_DIGITS, low, high)
+    key = lambda: one(
+        lambda: some(_ALNUM + "+/", 20, 44) + one("", "=", "=="),
+        lambda: one("ghp_", "sk-", "xoxb-", "pk_live_", "glpat-", "AIza", "SG.") + some(_ALNUM + "_-", 20, 40),
+        lambda: "AKIA" + some(_UPPER + _DIGITS, 12, 16),
+        lambda: some(_ALNUM, 20, 40),
+        lambda: some(_UPPER + _LOWER, 24, 40),
+        lambda: some(_HEXES, 32, 64),
+        lambda: f"eyJ{some(_ALNUM, 16, 24)}.eyJ{some(_ALNUM, 20, 30)}.{some(_ALNUM + '_-', 20, 40)}",
+    )()
+    named = lambda: one("password", "passwd", "secret", "token", "api_key", "apikey", "Token", "PASSWORD", "API_KEY") + one("", '"') + one("=", " = ", ": ", ":", " := ") + one("", '"', "'")
+    digest = lambda: some(_HEXES, 40, 40) if r.random() < 0.5 else some(_HEXES, 32, 64)
     out = []
     for i in range(n):
+        before, after = words(int(r.integers(1, 4))) + " ", one('"', " ", ". ", "\n", ", ", "' ", ")") + words(2)
         if i % 2:
-            value = one(
-                lambda: some(_ALNUM + "+/", 20, 44) + one("", "=", "=="),
-                lambda: one("ghp_", "sk-", "xoxb-", "pk_live_", "glpat-", "AIza", "SG.") + some(_ALNUM + "_-", 20, 40),
-                lambda: "AKIA" + some(_UPPER + _DIGITS, 12, 16),
-                lambda: some(_ALNUM, 24, 40),
-                lambda: some(_HEXES, 32, 64),
-                lambda: f"eyJ{some(_ALNUM, 16, 24)}.eyJ{some(_ALNUM, 20, 30)}.{some(_ALNUM + '_-', 20, 40)}",
-            )()
-            before = one("", one('key = "', "Authorization: Bearer ", 'password="', "auth_token: ", "export KEY=", "client_secret=", "credentials ", "access key "), words(2) + " ")
-            secret = 1
+            kind, secret = int(r.integers(10)), 1
+            if kind < 3:  # assigned: the name belongs to the finding
+                value = named() + one(key, key, lambda: some(_ALNUM + "._-", 12, 20), lambda: plain() + digits(2, 4) + one("", "-", ".") + plain() + digits(2, 4))()
+            elif kind < 4:
+                value = digest()
+            else:
+                before += one("", one('key = "', "Authorization: Bearer ", "auth_token: ", "export KEY=", "client_secret=", "credentials ", "access key ", "token "), named(), words(1) + " ")
+                value = key() if r.random() < 0.8 else digest()
+        elif r.random() < 0.12:  # looks like a key, and is named as something else, or as nothing
+            value = one(digest, lambda: f"{some(_HEXES, 8, 8)}-{some(_HEXES, 4, 4)}-{some(_HEXES, 4, 4)}-{some(_HEXES, 4, 4)}-{some(_HEXES, 12, 12)}")()
+            before += one("commit ", "sha256:", "sha1 ", "md5: ", "checksum ", "etag: ", "digest=", "revision ", "uuid ", "") if r.random() < 0.9 else ""
+            secret = 0
         else:
             value = one(
-                lambda: "".join(word() for _ in range(4)) + one("", some(_DIGITS, 1, 2)),
-                lambda: "_".join(word() for _ in range(4)) + "_" + some(_DIGITS, 1, 3),
-                lambda: f"{int(r.integers(1990, 2030))}-{int(r.integers(10, 13))}-{int(r.integers(10, 29))}T{some(_DIGITS, 6, 6)}.{some(_DIGITS, 3, 6)}",
-                lambda: "/".join(word() for _ in range(3)) + "/" + word() + some(_DIGITS, 1, 4) + one(".html", ".txt", ".py", "/index"),
-                lambda: f"{word()}-{some(_DIGITS, 1, 2)}.{some(_DIGITS, 1, 2)}.{some(_DIGITS, 1, 2)}-{word()}-{word()}",
-                lambda: one("www.", "mail.") + word() + some(_DIGITS, 1, 3) + "." + word() + one(".com", ".org", ".example.net"),
-                lambda: "-".join(word() for _ in range(3)) + "-" + some(_DIGITS, 1, 4),
-                lambda: "=" * int(r.integers(8, 30)) + word() + some(_DIGITS, 1, 2) + "=" * int(r.integers(4, 9)),
-                lambda: word().capitalize() + word().capitalize() + word().capitalize() + some(_DIGITS, 1, 3) + word().capitalize(),
+                lambda: "".join(plain() for _ in range(4)) + one("", "", digits(1, 2), "."),
+                lambda: "".join(plain() for _ in range(4)) + one("", "."),
+                lambda: "".join(plain() for _ in range(3)).upper() + one("", ".", plain().upper()),
+                lambda: "_".join(plain() for _ in range(4)) + one("", "_" + digits(1, 3)),
+                lambda: f"{int(r.integers(1990, 2030))}-{int(r.integers(10, 13))}-{int(r.integers(10, 29))}T{digits(6, 6)}.{digits(3, 6)}",
+                lambda: "/".join(plain() for _ in range(int(r.integers(3, 8)))) + "/" + plain() + digits(1, 4) + one(".html", ".txt", ".py", "/index"),
+                lambda: "/".join(plain() for _ in range(int(r.integers(4, 9)))),
+                lambda: f"{plain()}-{digits(1, 2)}.{digits(1, 2)}.{digits(1, 2)}-{plain()}-{plain()}",
+                lambda: one("www.", "mail.", "") + plain() + digits(1, 3) + "." + plain() + one(".com", ".org", ".example.net", ".example.com"),
+                lambda: "-".join(plain() for _ in range(4)) + one("", "-" + digits(1, 4)),
+                lambda: one("=", "-", ".", "_", "/") * int(r.integers(16, 60)),
+                lambda: "=" * int(r.integers(8, 30)) + plain() + one("", digits(1, 2)) + "=" * int(r.integers(4, 9)),
+                lambda: plain().capitalize() + plain().capitalize() + plain().capitalize() + one("", digits(1, 3)) + plain().capitalize(),
+                lambda: one("IMG_", "DSC-", "scan.", "order-", "INV/") + digits(8, 8) + one("_", "-") + digits(4, 8) + one("", ".jpg", ".pdf"),
+                lambda: ".".join(plain() for _ in range(4)) + one("", "." + digits(1, 2)),
             )()
             if len(value) < 16:
-                value += "-" + "".join(word() for _ in range(5))
-            before = one("", words(2) + " ", "see ", "http://", "id: ", "version = ", '"', "file ", "key = ")
+                value += "-" + "".join(plain() for _ in range(6))
+            before += one("", words(2) + " ", "see ", "http://", "id: ", "version = ", '"', "file ", "key = ", digits(1, 2) + "@")
             secret = 0
-        before = words(int(r.integers(1, 4))) + " " + before
-        out.append((before + value + one('"', " ", ". ", "\n", ", ") + words(2), len(before), len(before) + len(value), secret))
+        out.append((before + value + after, len(before), len(before) + len(value), secret))
     return out
 
 
 def fit(findings: Iterable[tuple[str, int, int, int]] | DataFrame | None = None, limit: int = FINDINGS, recall: float = RECALL) -> Network:
     """The network fitted on labelled findings: a table of them (its first ``limit`` rows by hash), a list, or the default."""
     if isinstance(findings, DataFrame):
-        rows = findings.selectExpr("text", "start", "end", "cast(is_secret as int) is_secret").orderBy("text", "start").selectExpr("*", "xxhash64(text, start) as h").orderBy("h").limit(limit).collect()
-        findings = [tuple(r)[:4] for r in rows]
+        rows = findings.selectExpr("text", "cast(start as int) start", "cast(`end` as int) `end`", "cast(is_secret as int) is_secret").dropna()
+        findings = [tuple(r) for r in rows.orderBy(F.xxhash64("text", "start"), "text", "start").limit(limit).collect()]
     findings = list(labelled_findings() if findings is None else findings)[:limit]
     read = [windows(t, s, e) for t, s, e, _ in findings]
     y = np.array([k for *_, k in findings], np.float64)
     net = Network()
-    train = [i for i in range(len(read)) if i % 10 < 7]
+    turn = np.random.default_rng(3).permutation(len(read)) % 20
+    train = np.flatnonzero(turn < 14)
     net.train(np.array([x for i in train for x in read[i]]), np.array([y[i] for i in train for _ in read[i]]))
-    rest = [i for i in range(len(read)) if i % 10 >= 7]
-    best = [read[i][int(np.argmax(net.logits(np.array(read[i]))))] for i in rest]  # the window that decides
-    net.calibrate(np.array(best), y[rest], recall)
+    decides = lambda some: np.array([read[i][int(np.argmax(net.logits(np.array(read[i]))))] for i in some])
+    warm, last = np.flatnonzero((turn >= 14) & (turn < 17)), np.flatnonzero(turn >= 17)
+    net.fit_temperature(decides(warm), y[warm])
+    net.set_threshold(decides(last), y[last], recall)
     return net
 
 
