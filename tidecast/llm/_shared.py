@@ -43,7 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.saved = 0, {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -51,12 +51,21 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.saved[path] = name
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Removes all tables but those that a result reads."""
+        for path in set(self.saved) - {df._scratch_path for df in kept}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        self.saved.pop(name, None)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -148,7 +148,9 @@ def near_groups(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
         return s.save(sets.join(ids, "v", "left_semi").select("v", F.col("spots").cast("array<long>").alias("set")), name)
 
     labels = linked_groups(s, members, sets.select("v", F.size("spots").cast("long").alias("n")), sets_of_ids, round(100 * threshold), None)
+    labels = labels if labels is None else s.save(labels, "components")
     by_class = classes if labels is None else classes.join(labels, "v", "left")
+    s.drop_all_but(rows, classes, *([] if labels is None else [labels]))
     by_class = by_class.withColumn("c", F.col("v") if labels is None else F.coalesce("c", "v"))
     least = by_class.groupBy("c").agg(F.min("first").alias("group_id"))
     return rows.select("doc_id", "class").join(by_class.join(least, "c").select("class", "group_id"), "class").select("doc_id", "group_id")

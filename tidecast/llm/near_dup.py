@@ -38,9 +38,9 @@ BATCH = 32
 MISS = 1e-9
 THRESHOLD = 80
 #: Shingles of one side of a block, about, and sides of a unit at most.
-BLOCK, SIDES = 200_000, 48
-#: Bits of the sieve of wanted ids.
-SIEVE = 1 << 21
+BLOCK, SIDES = 50_000, 48
+#: Bits of the sieve of wanted ids for each of them, and bits at least and at most.
+SIEVE_EACH, SIEVE_LEAST, SIEVE_MOST = 8, 1 << 16, 1 << 26
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -120,16 +120,20 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id, k1, k2, set (sorted shingle hashes) of the documents whose doc_id is in ``ids``, and of few others.
 
-    A sieve of ``SIEVE`` bits, set for the hashes of the ids, spares most other texts the work and the shuffle; its size is the same however many ids there are."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).cast("int").alias("slot")
-    sieve = np.zeros(SIEVE, bool)
-    sieve[ids.select(slot).distinct().toArrow()["slot"].to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+    A sieve of ``SIEVE_EACH`` bits for each id (``SIEVE_MOST``, 8 MB, at most), set for the hashes of the ids, spares seven of eight other texts or more the work and the shuffle, up to some eight million ids; beyond that it spares fewer."""
+    bits = min(max(SIEVE_LEAST, 1 << (SIEVE_EACH * ids.count() - 1).bit_length()), SIEVE_MOST)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int").alias("slot")
+    # 32 slots a word, so that at most bits / 32 words come to the driver
+    words = ids.select(slot).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("set")).toArrow()
+    sieve = np.zeros(bits // 32, "<u4")
+    sieve[words["word"].to_numpy()] = words["set"].to_numpy().astype("<u4")
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        sieve = shared.value
         for b in batches:
-            b = b.filter(pa.array(bits[b.column(2).to_numpy()]))
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((sieve[at >> 5] >> (at & 31).astype("<u4")) & 1 == 1))
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = list(sets_of(part.column(1), width))
@@ -297,10 +301,9 @@ def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids:
     return connected(s, s.save(links.union(compare_blocks(rows, threshold, miss)), "links"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    s = Scratch(spark, "near-dup")
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, miss: float = MISS, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. The result reads three narrow tables of ``scratch``; the others are dropped."""
+    s = scratch or Scratch(docs.sparkSession, "near-dup")
     rows = s.save(sketch(docs, width).withColumn("uid", F.monotonically_increasing_id()), "sketch")
     classes = s.save(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("v"), F.min("doc_id").alias("first")), "classes")
     reps = rows.join(classes.select(F.col("v").alias("uid")), "uid", "left_semi")
@@ -317,6 +320,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
 
     repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     labels = linked_groups(s, members, rows.select(F.col("uid").alias("v"), "n", "sig"), sets_of_ids, threshold, miss)
+    ids = s.save(rows.select("doc_id", "n", "k1", "k2"), "ids")
+    if labels is None:
+        s.drop_all_but(ids, classes)
+    else:
+        labels = s.save(labels, "components")
+        s.drop_all_but(ids, classes, labels)
     by_class = classes.select("k1", "k2", "v", "first")
     if labels is not None:
         by_class = by_class.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
@@ -324,7 +333,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
         by_class = by_class.join(least, "c").select("k1", "k2", "component_id")
     else:
         by_class = by_class.select("k1", "k2", F.col("first").alias("component_id"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
+    out = ids.join(by_class, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
@@ -333,7 +342,9 @@ def keep_first(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     """The documents, all columns, of which none with a smaller doc_id is in their component; repeated rows all stay or all go.
 
     Only the ids of those that go are joined to the texts."""
-    marks = Scratch(docs.sparkSession, "near-dup").save(near_duplicates(docs, width, threshold).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    s = Scratch(docs.sparkSession, "near-dup")
+    marks = s.save(near_duplicates(docs, width, threshold, scratch=s).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    s.drop_all_but(marks)
     return docs.join(marks.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
