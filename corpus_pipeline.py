@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, near-dedup, benchmark decontamination, secret scan, BPE digests.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
-the documents. ``run`` writes each stage's documents to the shared folder and reads them again for the next.
+the documents. ``run`` writes each stage's documents to the shared folder and reads them again for the next; of two stages the first one's are dropped.
+
+Null, empty and letterless texts are in no language, so the first stage drops them; null languages and sources do no harm. Of repeated rows (one doc_id, one text) all stay or all go, and of documents
+that are near copies the one with the smallest doc_id stays; rows with null ids are kept with their own. Very long texts are read whole. Further columns, whatever their names, pass through all stages but the last, which gives the
+columns of its digests. An empty table gives an empty table with those columns.
 """
 
 from __future__ import annotations
@@ -52,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
