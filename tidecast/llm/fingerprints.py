@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     """doc_id, group_id (the smallest doc_id reached over likenesses of ``threshold`` or more), for every row."""
-    from tidecast.llm.near_dup import linked_groups
+    from tidecast.llm.near_dup import linked_groups, with_leaders
 
     s = Scratch(docs.sparkSession, "spots")
     rows = s.save(docs.select("doc_id", spots(F.col("text")).alias("spots")).withColumn("class", F.sha2(written(F.col("spots")), 256)).withColumn("uid", F.monotonically_increasing_id()), "rows")
@@ -141,8 +141,7 @@ def near_groups(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     part = partition(F.col("n"), threshold)
     rare = rare.select("v", part.alias("part"), F.explode(F.slice("spots", F.lit(1), prefix)).alias("s")).filter("s.o > 1")
     keys = rare.select("v", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "s.spot").select(F.xxhash64("spot", "part").alias("key"), "v")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members = s.save(keys.join(shared, "key"), "members")
+    members = with_leaders(s, keys)
 
     def sets_of_ids(ids: DataFrame, name: str) -> DataFrame:
         return s.save(sets.join(ids, "v", "left_semi").select("v", F.col("spots").cast("array<long>").alias("set")), name)

@@ -37,8 +37,8 @@ BATCH = 32
 #: Posterior probability below which a candidate pair is given up.
 MISS = 1e-9
 THRESHOLD = 80
-#: Shingles of one side of a block, about, and sides of a unit at most.
-BLOCK, SIDES = 50_000, 48
+#: Shingles of one side of a block, about: the least and the most; sides up to which the least is kept to; sides of a unit at most.
+SMALL, BLOCK, FEW, SIDES = 50_000, 200_000, 6, 48
 #: Bits of the sieve of wanted ids for each of them, and bits at least and at most.
 SIEVE_EACH, SIEVE_LEAST, SIEVE_MOST = 8, 1 << 16, 1 << 26
 
@@ -198,8 +198,9 @@ def units(s: Scratch, members: DataFrame, labels: DataFrame, sizes: DataFrame) -
     """(unit, block, v, c, side) for all that is still to be compared: side 0 and 1 of a block are compared with each other and side 0 with itself where the block's number says so.
 
     ``sizes`` has (v, n). Vertices of a unit's largest component are only compared with the others."""
-    state = members.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-    open_keys = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key", "low")
+    state = members.select("key", "v").join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+    # saved, so that the join is one of plain exchanges, which adaptive execution can split at hot keys
+    open_keys = s.save(state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key", "low"), "open")
     rest = s.save(state.join(open_keys, "key"), "rest")
     joined = connected(s, rest.filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct())
     each = rest.select("v", "c").distinct().join(joined.select(F.col("v").alias("c"), F.col("c").alias("unit")), "c").join(sizes, "v")
@@ -209,7 +210,8 @@ def units(s: Scratch, members: DataFrame, labels: DataFrame, sizes: DataFrame) -
     each = s.save(each.join(large, "unit", "left_anti").select("unit", "v", "c", "n").unionByName(by_key.select("unit", "v", "c", "n")), "each")
     most = each.groupBy("unit", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "c")).alias("m")).select("unit", F.col("m.c").alias("main"))
     each = each.join(most, "unit").withColumn("inner", F.col("c") == F.col("main"))
-    parts = lambda on: F.greatest(F.ceil(F.sum(F.when(on, F.col("n"))) / BLOCK), F.lit(1)).cast("int")
+    size = lambda on: F.sum(F.when(on, F.col("n")))
+    parts = lambda on: F.greatest(F.least(F.ceil(size(on) / SMALL), F.lit(FEW)), F.ceil(size(on) / BLOCK), F.lit(1)).cast("int")
     counts = each.groupBy("unit").agg(F.coalesce(parts(~F.col("inner")), F.lit(1)).alias("outs"), F.coalesce(parts(F.col("inner")), F.lit(1)).alias("ins"))
     each = each.join(counts, "unit").withColumn("i", F.pmod(F.xxhash64("v"), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
     block = lambda i, j, kind, side: F.struct((i.cast("long") * 4_000_000 + j * 2 + kind).alias("block"), F.lit(side).alias("side"))
@@ -274,16 +276,24 @@ def compare_blocks(blocks: DataFrame, threshold: int, miss: float | None) -> Dat
     return blocks.groupBy("unit", "block").applyInArrow(run, "a long, b long")
 
 
+def with_leaders(s: Scratch, keys: DataFrame) -> DataFrame:
+    """(key, v, w) of ``keys`` (key, v) that two rows or more have, saved; w is the member that leads the key.
+
+    Sizes and leaders are counted before the shuffle and saved, so the join is one of plain exchanges, which adaptive execution can split at hot keys."""
+    sums = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("leader"))
+    leaders = s.save(sums.filter("size > 1").select("key", F.col("leader.v").alias("w")), "leaders")
+    return s.save(keys.join(leaders, "key"), "members")
+
+
 def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids: Callable[[DataFrame, str], DataFrame], threshold: int, miss: float | None) -> DataFrame | None:
     """Components (v, c) of the graph of links among vertices that share a key; None without any to look for.
 
-    ``members`` has (key, v), a saved table that names every pair that may link by a common key; ``sizes`` has (v, n) and, if ``miss`` is given, sig;
+    ``members`` has (key, v, w), a saved table that names every pair that may link by a common key; ``sizes`` has (v, n) and, if ``miss`` is given, sig;
     ``sets_of_ids`` takes ids (v) and gives (v, set), saved."""
     if members.limit(1).count() == 0:
         return None
     more = ["sig"] if miss else []
-    leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("leader")).select("key", F.col("leader.v").alias("w"))
-    pairs = members.join(leader, "key").filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+    pairs = members.filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
     a = sizes.select(F.col("v").alias("a"), F.col("n").alias("n_a"), *(F.col(x).alias("sig_a") for x in more))
     b = sizes.select(F.col("v").alias("b"), F.col("n").alias("n_b"), *(F.col(x).alias("sig_b") for x in more))
     near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
@@ -308,8 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD,
     classes = s.save(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("v"), F.min("doc_id").alias("first")), "classes")
     reps = rows.join(classes.select(F.col("v").alias("uid")), "uid", "left_semi")
     keys = reps.select(F.col("uid").alias("v"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members = s.save(keys.join(shared, "key"), "members")
+    members = with_leaders(s, keys)
 
     def sets_of_ids(ids: DataFrame, name: str) -> DataFrame:
         wanted = s.save(rows.select("uid", "doc_id", "k1", "k2").join(ids.withColumnRenamed("v", "uid"), "uid", "left_semi"), f"wanted-{name}")
