@@ -420,3 +420,43 @@ def test_fuzzy_mapping_scores_all_parts(spark):
                 assert r.cosine == pytest.approx(max(s for n, s in near.items() if n.split()[-1] == oem)) and r.cosine >= eighth
         sure = {n.split()[-1] for n, s in near.items() if s > eighth} | {parts[m].split()[-1] for _, m in best}
         assert sure <= set(got[k])
+
+
+def test_appended_entries_verify(spark):
+    new = "seq long, user_id string, action string, entity_type string, entity_id string, before string, after string"
+    rows = [(k, "u", "SET", "x", str(k), None if k % 2 else '{"b": 1, "a": [1, 2]}', '{"z": null, "k": "é"}') for k in range(30, 0, -1)]
+    empty = spark.createDataFrame([], "entry_id long, user_id string, action string, entity_type string, entity_id string, before string, after string, prev_hash string, hash string")
+    first = governance.append_entries(empty, spark.createDataFrame(rows, new))
+    log = spark.createDataFrame(first.collect(), first.schema)
+    assert [r.entity_id for r in log.orderBy("entry_id").collect()] == [str(k) for k in range(1, 31)]
+    assert log.filter("entry_id = 2").first().before == '{"a":[1,2],"b":1}' and tuple(governance.verify_chain(log).first()) == (True, None)
+    more = log.unionByName(governance.append_entries(log, spark.createDataFrame(rows[:3], new)))
+    assert more.count() == 33 and tuple(governance.verify_chain(more).first()) == (True, None)
+    assert governance.append_entries(log, spark.createDataFrame([], new)).count() == 0
+
+
+def test_edits_of_mapping_lists(spark):
+    oems = spark.createDataFrame([("ACME",), ("BOLT",)], "oem string")
+    rules = [(1, "NAME_REGEX", 5, 1.0, "^ac", "ACME", None, True), (2, "NAME_REGEX", 5, 1.0, "(", "ACME", None, True), (3, "NAME_REGEX", 5, 1.0, "x", None, None, True), (4, "DOMAIN", 5, 1.0, None, "NONE", None, True), (5, "GUESS", 5, 1.0, None, None, None, True)]
+    errors = resolution.rule_errors(spark.createDataFrame(rules, resolution.RULES_SCHEMA), oems).collect()
+    assert {r.rule_id: r.error for r in errors} == {2: "the pattern cannot be read", 3: "a pattern needs a target", 4: "unknown oem", 5: "unknown kind of rule"}
+    kind = "id_type string, id_value string, oem string"
+    new = spark.createDataFrame([("DUNS", "1", "ACME"), ("DUNS", "2", "ACME"), ("DUNS", "3", "NONE"), ("TAX_ID", "9", "ACME"), ("TAX_ID", "9", "BOLT")], kind)
+    errors = resolution.identifier_errors(new, spark.createDataFrame([("DUNS", "1", "BOLT")], kind), oems).collect()
+    assert sorted((r.id_value, r.oem, r.error) for r in errors) == [("1", "ACME", "the identifier is taken"), ("3", "NONE", "unknown oem"), ("9", "ACME", "the identifier is taken"), ("9", "BOLT", "the identifier is taken")]
+    aliases = resolution.add_aliases(spark.createDataFrame([("Acme Inc.", "ACME")], "alias string, oem string"), spark.createDataFrame([("ACME", "ACME"), ("Bolt GmbH", "BOLT"), ("X", "NONE")], "alias string, oem string"), oems)
+    assert {(r.oem, r.normalized_alias) for r in aliases.collect()} == {("ACME", "acme"), ("BOLT", "bolt")}
+
+
+def test_mapping_run(spark):
+    account = "account_id long, name string, region string, account_type string, is_active boolean, global_ultimate_duns string, duns string, tax_id string, erp_parent_id string, domain string"
+    rows = [(1, "Acme Works", "EMEA", "OEM", True, None, "D1", None, None, None), (2, "Bolt Motors GmbH", "EMEA", "OEM", True, None, None, None, None, None), (3, "Quite Other", "EMEA", "OEM", True, None, None, None, None, None), (4, "Acme Ltd", "APAC", "OEM", True, None, None, None, None, None), (5, "Shop", "APAC", "DISTRIBUTOR", True, None, "D1", None, None, None)]
+    accounts = spark.createDataFrame(rows, account)
+    mapping_now = spark.createDataFrame([(4, "ACME", "APAC", "ACTIVE")], "account_id long, oem string, region string, status string")
+    aliases = spark.createDataFrame([("Acme", "ACME"), ("Bolt Motors", "BOLT")], "alias string, oem string")
+    identifiers = spark.createDataFrame([("DUNS", "D1", "ACME")], "id_type string, id_value string, oem string")
+    none = spark.createDataFrame([], "account_id long, oem string")
+    new = resolution.mapping_run(accounts, mapping_now, resolution.default_rules(spark), identifiers, aliases, none)
+    got = {r.account_id: (r.oem, r.source) for r in new.collect()}
+    assert got[1] == ("ACME", "RULE_DUNS_EXACT") and got[2][0] == "BOLT" and 4 not in got and 5 not in got and 3 not in got
+    assert resolution.run_summary(new).agg(F.sum("n")).first()[0] == len(got)

@@ -228,3 +228,9 @@ def win_chances(opps: DataFrame, snaps: DataFrame, asof: Column, trees: int = 40
     now = vector.transform(rows.filter((F.col("snapshot_month") == asof) & (F.col("stage") <= OPEN)))
     out = iso.transform(score(fit(train), now).select("opportunity_id", "p"))
     return out.select("opportunity_id", F.greatest(F.least("prediction", F.lit(0.97)), F.lit(0.01)).alias("win_prob"))
+
+
+def no_uplift(leaves: DataFrame, asof: Column, horizon: int = 12) -> DataFrame:
+    """oem, region, product, month, units of a plan without a pipeline: zero for every leaf and coming month, so that what follows runs as with one."""
+    months = F.sequence(F.add_months(asof, 1), F.add_months(asof, horizon), F.expr("interval 1 month"))
+    return leaves.select("oem", "region", "product").distinct().select("*", F.explode(months).alias("month"), F.lit(0.0).alias("units"))

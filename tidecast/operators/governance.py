@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,3 +245,30 @@ def verify_chain(log: DataFrame) -> DataFrame:
     return bad.select(F.col("first_bad").isNull().alias("ok"), "first_bad")
 
 
+def canonical(text: str | None) -> str:
+    """A JSON text with sorted keys and without spaces; nothing is ``null``."""
+    return "null" if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+
+
+def append_entries(log: DataFrame, new: DataFrame) -> DataFrame:
+    """New entries (seq, user_id, action, entity_type, entity_id, before, after) as rows of the log, in the order of ``seq``, chained to its last entry.
+
+    Each hash needs the one before it, so one writer walks through the new entries, a batch at a time; the log is only asked for its end. ``before`` and ``after`` are JSON texts."""
+    end = log.agg(F.max_by(F.struct("entry_id", "hash"), "entry_id").alias("e")).first()["e"]
+    entry, prev = (end["entry_id"], end["hash"]) if end else (0, GENESIS)
+    given = ["user_id", "action", "entity_type", "entity_id", "before", "after"]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = entry, prev
+        for b in batches:
+            rows = []
+            for user, action, kind, key, before, after in b[given].itertuples(index=False):
+                at += 1
+                before, after = canonical(before), canonical(after)
+                own = hashlib.sha256("|".join((last, user, action, kind, key, before, after)).encode()).hexdigest()
+                rows.append((at, user, action, kind, key, before, after, last, own))
+                last = own
+            yield pd.DataFrame(rows, columns=["entry_id", *given, "prev_hash", "hash"])
+
+    schema = "entry_id long, " + ", ".join(f"{c} string" for c in given) + ", prev_hash string, hash string"
+    return new.select("seq", *given).repartition(1).sortWithinPartitions("seq").mapInPandas(run, schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,3 +203,67 @@ def search(accounts: DataFrame, text: str | None = None, **equal: str | None) ->
         if value is not None:
             out = out.filter(F.col(column) == value)
     return out
+
+
+# ---------------------------------------------------------------- a whole run, and edits of its lists
+
+
+def mapping_run(accounts: DataFrame, mapping: DataFrame, rules: DataFrame, identifiers: DataFrame, aliases: DataFrame, rejected: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """account_id, oem, region, pct, source, confidence, status, valid_from: what rules, and for accounts that they leave open names, add to ``mapping`` (account_id, oem, region, status).
+
+    Accounts whose mapping holds, before or by rule, vote on names."""
+    todo = checkpointed(unmapped_accounts(accounts, mapping))
+    by_rule = checkpointed(decide(rule_hits(todo, rules, identifiers, aliases)).drop("conflict"))
+    sure = mapping.filter("status = 'ACTIVE'").select("account_id", "oem", "region").unionByName(by_rule.filter("status = 'ACTIVE'").select("account_id", "oem", "region"))
+    voters = sure.dropDuplicates(["account_id"]).join(accounts.select("account_id", "name"), "account_id").select("account_id", "name", "region", "oem")
+    rest = todo.join(by_rule.select("account_id"), "account_id", "left_anti").select("account_id", "name", "region")
+    named = map_by_name(rest, aliases.select("alias", "oem"), voters, rejected, config)
+    by_name = named.select("account_id", "oem", "region", F.lit(1.0).alias("pct"), F.lit("NAME").alias("source"), "confidence", "status", F.lit(OPEN_START).alias("valid_from"))
+    return by_rule.unionByName(by_name)
+
+
+def run_summary(new: DataFrame) -> DataFrame:
+    """source, status, n of a mapping run: what its entry in the audit log tells."""
+    return new.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sound(pattern: str | None) -> bool:
+    try:
+        return re.compile(pattern or "") is not None
+    except re.error:
+        return False
+
+
+def rule_errors(rules: DataFrame, oems: DataFrame) -> DataFrame:
+    """rule_id, error of rules that may not be kept: a target that is no oem; a pattern that cannot be read or has no target; a kind that is unknown."""
+    known = oems.select(F.col("oem").alias("target_oem"), F.lit(True).alias("_known")).distinct()
+    kinds = [*IDENTIFIER_RULES, "ALIAS_EXACT", "NAME_REGEX"]
+
+    @F.pandas_udf("boolean")
+    def compiles(patterns: pd.Series) -> pd.Series:
+        return patterns.map(_sound)
+
+    by_pattern = F.col("rule_type") == "NAME_REGEX"
+    error = (
+        F.when(~F.coalesce(F.col("rule_type").isin(*kinds), F.lit(False)), "unknown kind of rule")
+        .when(F.col("target_oem").isNotNull() & F.col("_known").isNull(), "unknown oem")
+        .when(by_pattern & F.col("target_oem").isNull(), "a pattern needs a target")
+        .when(by_pattern & ~compiles("pattern"), "the pattern cannot be read")
+    )
+    return rules.join(known, "target_oem", "left").select("rule_id", error.alias("error")).filter("error is not null")
+
+
+def identifier_errors(new: DataFrame, known: DataFrame, oems: DataFrame) -> DataFrame:
+    """id_type, id_value, oem, error of new identifiers that may not be kept: of no oem, or already some oem's (also if two of the new ones are equal)."""
+    taken = known.select("id_type", "id_value", F.lit(True).alias("_taken")).distinct()
+    names = oems.select("oem", F.lit(True).alias("_known")).distinct()
+    rows = new.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id_type", "id_value"))).join(taken, ["id_type", "id_value"], "left").join(names, "oem", "left")
+    error = F.when(F.col("_known").isNull(), "unknown oem").when(F.col("_taken") | (F.col("_n") > 1), "the identifier is taken")
+    return rows.select("id_type", "id_value", "oem", error.alias("error")).filter("error is not null")
+
+
+def add_aliases(aliases: DataFrame, new: DataFrame, oems: DataFrame) -> DataFrame:
+    """``aliases`` (alias, oem) with new ones of known oems; names that are equal when cleaned are one."""
+    rows = aliases.select("alias", "oem").unionByName(new.select("alias", "oem").join(oems.select("oem").distinct(), "oem", "left_semi"))
+    rows = rows.withColumn("normalized_alias", normalize_name(F.col("alias"))).filter("normalized_alias <> ''")
+    return rows.groupBy("oem", "normalized_alias").agg(F.min("alias").alias("alias"))

@@ -108,3 +108,19 @@ def pipeline_risks(uplift: DataFrame, points: DataFrame, thresholds: DataFrame)
 def alert_summary(alerts: DataFrame) -> DataFrame:
     """alert_type, n, impact of alerts that aren't resolved."""
     return alerts.filter("status <> 'RESOLVED'").groupBy("alert_type").agg(F.count(F.lit(1)).alias("n"), steady_sum(F.col("impact")).alias("impact"))
+
+
+def set_thresholds(thresholds: DataFrame, changes: DataFrame) -> DataFrame:
+    """``thresholds`` after ``changes`` (threshold_id, product, region and the settings): the last change, by threshold_id, of a product and region (null: any) takes the place of what was set for them, and keeps its id."""
+    key = F.struct(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c) for c in ("product", "region")))
+    both = thresholds.withColumn("_new", F.lit(0)).unionByName(changes.select(thresholds.columns).withColumn("_new", F.lit(1)))
+    last = F.max_by(F.struct("product", "region", *DEFAULTS), F.struct("_new", "threshold_id")).alias("_s")
+    by = both.groupBy(key.alias("_key")).agg(F.min_by("threshold_id", F.struct("_new", "threshold_id")).alias("threshold_id"), last)
+    return by.select("threshold_id", "_s.*").select(thresholds.columns)
+
+
+def patch_alerts(alerts: DataFrame, patches: DataFrame, fields: tuple[str, ...] = ("status", "owner", "note")) -> DataFrame:
+    """``alerts`` after ``patches`` (alert_id, seq and fields; null leaves a field as it is): of each field the last one given counts."""
+    last = patches.groupBy("alert_id").agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in fields))
+    out = alerts.join(last, "alert_id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in fields})
+    return out.select(alerts.columns)

@@ -65,13 +65,24 @@ def consensus_single_depth(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("oem", "region", "product", "month", "ai_units", "consensus_units", "overridden", "user_id")
 
 
-@query()
+@query(
+    estate.with_views(
+        "plan",
+        _OVERRIDES
+        + """, o AS (SELECT * FROM revised WHERE status = 'ACTIVE'), fine AS (SELECT *, CASE WHEN horizon = 1 AND product = 'SMALL' THEN 10.0::DOUBLE END AS pinned FROM plan),
+n AS (SELECT f.*, o.override_id, o.user_id AS their_user, o.override_units - coalesce(sum(pinned) OVER n, 0.0::DOUBLE) AS rest, sum(ai_units) FILTER (pinned IS NULL) OVER n AS open, count(*) FILTER (pinned IS NULL) OVER n AS free
+  FROM fine f LEFT JOIN o ON o.oem = f.oem AND o.region = f.region AND o.month = f.month WINDOW n AS (PARTITION BY o.override_id)),
+b AS (SELECT *, pinned IS NULL AND override_id IS NOT NULL AND rest >= -1e-9 AS takes FROM n)
+SELECT oem, region, product, month, ai_units, CASE WHEN pinned IS NOT NULL THEN pinned WHEN NOT takes THEN ai_units WHEN open > 1e-12 THEN rest * (ai_units / open) ELSE rest * (1.0::DOUBLE / free) END AS consensus_units,
+  pinned IS NOT NULL OR takes AS overridden, CASE WHEN pinned IS NOT NULL THEN 'u9' WHEN takes THEN their_user END AS user_id FROM b""",
+    )
+)
 def consensus_mixed_depth(spark: SparkSession, sf: str) -> DataFrame:
     plan = estate.plan(spark, sf)
     o = _current(spark, sf)
     leaf = plan.filter("horizon = 1 and product = 'SMALL'").select((F.xxhash64("oem", "region") % 1000 + 1_000_000).alias("override_id"), "oem", "region", "product", "month", F.lit(10.0).alias("override_units"), F.lit("LOST_DEAL").alias("reason_code"), F.lit("u9").alias("user_id"))
     out, _ = governance.consensus(plan, o.select(leaf.columns).unionByName(leaf))
-    return out
+    return out.select("oem", "region", "product", "month", "ai_units", "consensus_units", "overridden", "user_id")
 
 
 @query(

@@ -171,3 +171,49 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
 )
 def filter_lists(spark: SparkSession, sf: str) -> DataFrame:
     return views.filter_lists(estate.series(spark, sf))
+
+
+# ---------------------------------------------------------------- edits
+
+
+@query(
+    f"""WITH t AS (SELECT p_type, r_name, {_FLOOR.format(p='p_type', r='r_name')} AS floor_ FROM (SELECT DISTINCT p_type FROM part), region)
+SELECT p_type AS product, r_name AS region, CASE WHEN p_type = 'SMALL' AND r_name = 'ASIA' THEN 0.3::DOUBLE WHEN p_type = 'LARGE' THEN 0.1::DOUBLE ELSE floor_ END AS min_coverage FROM t"""
+)
+def threshold_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Floors after three changes, of which one takes the place of what was set and two are for one product."""
+    old = _thresholds(spark)
+    rows = [(11, "SMALL", "ASIA", 0.3, True, 0.7, 3, 0.05), (12, "LARGE", None, 0.5, True, 0.7, 3, 0.05), (13, "LARGE", None, 0.1, True, 0.7, 3, 0.05)]
+    pairs = estate.table(spark, sf, "part").select(F.col("p_type").alias("product")).distinct().crossJoin(estate.table(spark, sf, "region").select(F.col("r_name").alias("region")))  # 30 rows
+    return risk.with_thresholds(pairs, risk.set_thresholds(old, spark.createDataFrame(rows, old.schema))).select("product", "region", "min_coverage")
+
+
+@query(
+    """SELECT o_orderkey AS alert_id, CASE WHEN o_orderkey % 3 = 0 THEN 'RESOLVED' WHEN o_orderkey % 3 = 1 THEN 'ACKNOWLEDGED' ELSE 'OPEN' END AS status, CASE WHEN o_orderkey % 3 < 2 THEN 'u1' ELSE 'u0' END AS owner, CASE WHEN o_orderkey % 3 = 0 THEN 'done' END AS note FROM orders"""
+)
+def alert_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts after two patches each for a third and one for another third."""
+    k = F.col("o_orderkey")
+    alerts = estate.table(spark, sf, "orders").select(k.alias("alert_id"), F.lit("OPEN").alias("status"), F.lit("u0").alias("owner"), F.lit(None).cast("string").alias("note"))
+    first = alerts.select("alert_id", F.lit(1).alias("seq"), F.when(F.col("alert_id") % 3 < 2, "ACKNOWLEDGED").alias("status"), F.when(F.col("alert_id") % 3 < 2, "u1").alias("owner"), "note")
+    second = alerts.select("alert_id", F.lit(2).alias("seq"), F.when(F.col("alert_id") % 3 == 0, "RESOLVED").alias("status"), F.lit(None).cast("string").alias("owner"), F.when(F.col("alert_id") % 3 == 0, "done").alias("note"))
+    return risk.patch_alerts(alerts, first.unionByName(second))
+
+
+@query(estate.with_views("series", f"SELECT k.*, CAST({estate.CYCLE_SQL} + to_months(CAST(h AS INTEGER)) AS DATE) AS month, 0.0::DOUBLE AS units FROM (SELECT DISTINCT oem, region, product FROM series) k, range(1, 13) r(h)"))
+def uplift_without_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    from tidecast.operators.commercial import no_uplift
+
+    return no_uplift(estate.series(spark, sf), F.lit(estate.CYCLE))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS mapping_id, o_custkey AS account_id, o_orderpriority AS oem, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)
+SELECT mapping_id, account_id, oem, EXISTS (SELECT 1 FROM orders t WHERE t.o_orderstatus = 'F' AND t.o_custkey = p.account_id AND t.o_orderpriority = p.oem) AS approve FROM p WHERE n % 9 <> 0"""
+)
+def steward_replay(spark: SparkSession, sf: str) -> DataFrame:
+    from tidecast.sources import synthetic
+
+    o = estate.table(spark, sf, "orders")
+    pending = o.select(F.col("o_orderkey").alias("mapping_id"), F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("oem"))
+    return synthetic.steward_replay(pending, o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("oem")))

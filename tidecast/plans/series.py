@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.operators import hierarchy, panel, segments, windows
 from tidecast.plans import estate
 from tidecast.plans.registry import query
+from tidecast.sources.tables import checkpointed
 
 KEYS = ("oem", "region", "product")
 
@@ -152,3 +153,54 @@ def segment_series(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def panel_hash(spark: SparkSession, sf: str) -> DataFrame:
     return panel.data_hash(estate.panel(spark, sf))
+
+
+@query(
+    estate.with_views(
+        "panel",
+        """l AS (SELECT oem, region, product, month, units, lag(units, 12) OVER w AS lag12, lag(units, 24) OVER w AS lag24, CAST(datediff('month', min(month) OVER (PARTITION BY oem, region, product), month) AS INTEGER) AS h FROM panel WINDOW w AS (PARTITION BY oem, region, product ORDER BY month))
+SELECT * FROM l""",
+    )
+)
+def seasonal_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of one and two years before, and how many months each row is after its series' first."""
+    w = Window.partitionBy(*KEYS)
+    p = estate.panel(spark, sf).withColumn("_first", F.min("month").over(w))
+    lags = {f"lag{n}": F.lag("units", n).over(w.orderBy("month")) for n in (12, 24)}
+    return p.withColumns(lags).select(*KEYS, "month", "units", *lags, windows.horizon_of(F.col("month"), F.col("_first")).cast("int").alias("h"))
+
+
+@query(
+    estate.with_views(
+        "panel",
+        "SELECT oem, region, product, month, greatest(units - 50, 0.0::DOUBLE) AS q10, greatest(units - 50, 80 - units, 0.0::DOUBLE) AS q50, greatest(units - 50, 80 - units, units - 20, 0.0::DOUBLE) AS q90 FROM panel",
+    )
+)
+def monotone_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Crossing quantiles made to rise."""
+    u = F.col("units")
+    p = estate.panel(spark, sf).select(*KEYS, "month", (u - 50).alias("q10"), (80 - u).alias("q50"), (u - 20).alias("q90"))
+    return windows.monotone(p, ("q10", "q50", "q90"))
+
+
+@query(estate.with_views("panel", "SELECT CASE WHEN count(*) > 0 THEN 7.0::DOUBLE END AS error FROM panel"))
+def coherence(spark: SparkSession, sf: str) -> DataFrame:
+    """The greatest incoherence of nodes of which one kind was made greater by 7."""
+    nodes = checkpointed(hierarchy.rollup(estate.panel(spark, sf), {"units": F.sum("units")}))
+    return hierarchy.coherence_error(nodes.withColumn("units", F.col("units") + F.when(F.col("level") == "REGION", 7.0).otherwise(0.0)), "units")
+
+
+@query(
+    estate.with_views(
+        "panel",
+        """s AS (SELECT oem, region, product, count(*) AS n_obs, count(*)::DOUBLE / nullif(count(*) FILTER (units > 0), 0) AS adi, count(*) FILTER (units > 0) AS k, sum(units) FILTER (units > 0) AS s, sum(units * units) FILTER (units > 0) AS q FROM panel GROUP BY ALL),
+v AS (SELECT *, CASE WHEN k > 1 THEN (k * q - s * s) / (s * s) WHEN k = 1 THEN 0.0::DOUBLE END AS cv2, (length(oem) % 3 = 0)::INT * 0.8::DOUBLE AS strength, (length(region) % 4 = 0)::INT * 0.6::DOUBLE AS exog FROM s),
+w AS (SELECT *, adi IS NULL OR adi >= 1.32::DOUBLE AS rare, cv2 IS NULL OR cv2 >= 0.49::DOUBLE AS wild FROM v)
+SELECT oem, region, product, CASE WHEN rare AND wild THEN 'lumpy' WHEN rare THEN 'intermittent' WHEN exog >= 0.55 THEN 'complex' WHEN n_obs >= 30 AND strength >= 0.7 THEN 'seasonal' WHEN wild THEN 'erratic' ELSE 'smooth' END AS segment FROM w""",
+    )
+)
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments by measured intervals and spreads and given strengths of season and drivers."""
+    stats = segments.adi_cv2(estate.panel(spark, sf), KEYS)
+    strength, exog = F.when(F.length("oem") % 3 == 0, 0.8).otherwise(0.0), F.when(F.length("region") % 4 == 0, 0.6).otherwise(0.0)
+    return stats.select(*KEYS, segments.classify(F.col("adi"), F.col("cv2"), strength, F.lit(None).cast("double"), exog, F.col("n_obs")).alias("segment"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OEMS, REGIONS, PRODUCTS = ("ALPHA", "BETA", "GAMMA", "DELTA", "EPSILON", "ZETA"), ("AMER", "EMEA", "APAC", "CHINA"), ("P10", "P20", "P30", "P40", "P50")
@@ -62,14 +62,22 @@ def account_mapping(rows: DataFrame) -> DataFrame:
     return parts.select("account_id", F.col("x.o").alias("oem"), "region", F.col("x.p").alias("pct"), F.to_date(F.lit("1900-01-01")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
 
 
+def numbered(df: DataFrame, by: str, name: str, ranges: int = 200) -> DataFrame:
+    """``df`` with a row's number, from 1, in the order of the distinct values ``by``."""
+    cuts = df.agg(F.percentile_approx(by, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    rows = df.withColumn("_range", F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(by))) if cuts else F.lit(0))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    begins = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    return rows.join(F.broadcast(begins), "_range").withColumn(name, F.col("_begin") + within).drop("_range", "_begin")
+
+
 def steward_replay(pending: DataFrame, truth: DataFrame, every: int = 9) -> DataFrame:
     """``pending`` (mapping_id, account_id, oem) with approve: whether it meets the truth (account_id, oem). Every ninth in order of ids is left for the steward.
 
-    The numbering is over hash ranges of ids, so it needs one order of what waits for review, which is short by its nature."""
-    from pyspark.sql import Window
-
+    Rows are numbered within ranges of ids, whose sizes give where each range begins."""
     right = truth.select("account_id", "oem").distinct().withColumn("_right", F.lit(True))
-    rows = pending.join(right, ["account_id", "oem"], "left").withColumn("_n", F.row_number().over(Window.orderBy("mapping_id")))
+    rows = numbered(pending, "mapping_id", "_n").join(right, ["account_id", "oem"], "left")
     return rows.filter(F.col("_n") % every != 0).select("mapping_id", "account_id", "oem", F.coalesce("_right", F.lit(False)).alias("approve"))
 
 
