@@ -11,7 +11,7 @@ link if 100 * |A and B| >= 80 * |A or B|. A document's component is the smallest
    probability of a similarity of 0.8 or more, under a uniform prior, falls below ``MISS``. What survives is verified on the full sets. Linked vertices merge.
 3. Buckets whose members are not all in one component are gathered to units (buckets that share a component; where such a unit would be
    too large, the bucket alone). A unit's members outside its largest component are compared with all others, in blocks of bounded size:
-   batch by batch as before, then by counting the common shingles of survivors. A block gives at most one link for each two components that it joins.
+   batch by batch as before, which leaves of each block the members that may link, and these by counting common shingles. A block gives at most one link for each two components that it joins.
    So no link between components is lost, and pairs are never listed.
 
 Results: one row per input row. Null and blank texts have n_shingles 0 and their own component; rows with one doc_id
@@ -37,8 +37,8 @@ BATCH = 32
 #: Posterior probability below which a candidate pair is given up.
 MISS = 1e-9
 THRESHOLD = 80
-#: Shingles of one side of a block, about: the least and the most; sides up to which the least is kept to; sides of a unit at most.
-SMALL, BLOCK, FEW, SIDES = 50_000, 200_000, 6, 48
+#: Shingles of one side of a block, about, and sides of a unit at most.
+BLOCK, SIDES = 50_000, 200
 #: Bits of the sieve of wanted ids for each of them, and bits at least and at most.
 SIEVE_EACH, SIEVE_LEAST, SIEVE_MOST = 8, 1 << 16, 1 << 26
 
@@ -211,7 +211,7 @@ def units(s: Scratch, members: DataFrame, labels: DataFrame, sizes: DataFrame) -
     most = each.groupBy("unit", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "c")).alias("m")).select("unit", F.col("m.c").alias("main"))
     each = each.join(most, "unit").withColumn("inner", F.col("c") == F.col("main"))
     size = lambda on: F.sum(F.when(on, F.col("n")))
-    parts = lambda on: F.greatest(F.least(F.ceil(size(on) / SMALL), F.lit(FEW)), F.ceil(size(on) / BLOCK), F.lit(1)).cast("int")
+    parts = lambda on: F.greatest(F.ceil(size(on) / BLOCK), F.lit(1)).cast("int")
     counts = each.groupBy("unit").agg(F.coalesce(parts(~F.col("inner")), F.lit(1)).alias("outs"), F.coalesce(parts(F.col("inner")), F.lit(1)).alias("ins"))
     each = each.join(counts, "unit").withColumn("i", F.pmod(F.xxhash64("v"), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
     block = lambda i, j, kind, side: F.struct((i.cast("long") * 4_000_000 + j * 2 + kind).alias("block"), F.lit(side).alias("side"))
@@ -224,9 +224,35 @@ def units(s: Scratch, members: DataFrame, labels: DataFrame, sizes: DataFrame) -
     return each.withColumn("b", F.explode(F.when(F.col("inner"), inner).otherwise(outer))).select("unit", "b.block", "v", "c", "b.side")
 
 
-def compare_blocks(blocks: DataFrame, threshold: int, miss: float | None) -> DataFrame:
-    """Links (a, b) between components within blocks (unit, block, v, c, side, set, and sig if ``miss`` is given)."""
-    stops = [(k, least_matches(k, threshold / 100, miss)) for k in range(BATCH, BANDS * ROWS + 1, BATCH)] if miss else []
+def prune_blocks(blocks: DataFrame, threshold: int, miss: float) -> DataFrame:
+    """The rows of blocks (unit, block, v, c, side, n, sig) that another component's may link with in that block, judged batch by batch: without n and sig."""
+    stops = [(k, least_matches(k, threshold / 100, miss)) for k in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        c, side, n = (table[x].to_numpy() for x in ("c", "side", "n"))
+        itself = int(table["block"][0].as_py()) % 2 == 0 and (side == 0).all()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(c), -1)
+        hit = np.zeros(len(c), bool)
+        other = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0).tolist():
+            if itself:
+                other = np.arange(i + 1, len(c))
+            alive = other[(c[other] != c[i]) & (100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]))]
+            matches = np.zeros(len(alive), np.int64)
+            for stop, least in stops:
+                part = slice(stop - BATCH, stop)
+                matches = matches + (sig[alive, part] == sig[i, part]).sum(axis=1)
+                alive, matches = alive[matches >= least], matches[matches >= least]
+            hit[alive] = True
+            hit[i] |= len(alive) > 0
+        return table.select(["unit", "block", "v", "c", "side"]).filter(pa.array(hit))
+
+    return blocks.groupBy("unit", "block").applyInArrow(run, "unit long, block long, v long, c long, side int")
+
+
+def compare_blocks(blocks: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components within blocks (unit, block, v, c, side, set)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -239,7 +265,6 @@ def compare_blocks(blocks: DataFrame, threshold: int, miss: float | None) -> Dat
         order = np.argsort(code, kind="stable")
         posted, at = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2 if len(code) else 1))
         cut = np.concatenate([[0], np.cumsum(n)])
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(v), -1) if miss else None
         parent = {x: x for x in c.tolist()}
 
         def root(x: int) -> int:
@@ -255,11 +280,6 @@ def compare_blocks(blocks: DataFrame, threshold: int, miss: float | None) -> Dat
             alive = other[100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i])]
             own = root(int(c[i]))
             alive = alive[[root(x) != own for x in c[alive].tolist()]] if len(alive) else alive
-            matches = np.zeros(len(alive), np.int64)
-            for stop, least in stops:
-                part = slice(stop - BATCH, stop)
-                matches = matches + (sig[alive, part] == sig[i, part]).sum(axis=1)
-                alive, matches = alive[matches >= least], matches[matches >= least]
             if not len(alive):
                 continue
             mine = code[cut[i] : cut[i + 1]]
@@ -303,12 +323,12 @@ def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids:
     common = near.join(sa, "a").join(sb, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
     links = s.save(common.filter(f"100L * common >= {threshold}L * (n_a + n_b - common)").select("a", "b"), "links")
     labels = connected(s, links)
-    blocks = s.save(units(s, members, labels, sizes.select("v", "n")), "blocks")
-    sets = sets_of_ids(blocks.select("v").distinct(), "rest")
-    rows = blocks.join(sets, "v")
-    if miss:
-        rows = rows.join(sizes.select("v", "sig"), "v")
-    return connected(s, s.save(links.union(compare_blocks(rows, threshold, miss)), "links"))
+    blocks = units(s, members, labels, sizes.select("v", "n"))
+    if miss:  # signatures are a fraction of the sets; only what they leave is compared whole
+        blocks = prune_blocks(blocks.select("unit", "block", "v", "c", "side").join(sizes.select("v", "n", "sig"), "v"), threshold, miss)
+    blocks = s.save(blocks, "blocks")
+    rows = blocks.join(sets_of_ids(blocks.select("v").distinct(), "rest"), "v")
+    return connected(s, s.save(links.union(compare_blocks(rows, threshold)), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, miss: float = MISS, scratch: Scratch | None = None) -> DataFrame:
