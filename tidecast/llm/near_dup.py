@@ -300,8 +300,8 @@ def with_leaders(s: Scratch, keys: DataFrame) -> DataFrame:
     """(key, v, w) of ``keys`` (key, v) that two rows or more have, saved; w is the member that leads the key.
 
     Sizes and leaders are counted before the shuffle and saved, so the join is one of plain exchanges, which adaptive execution can split at hot keys."""
-    sums = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("leader"))
-    leaders = s.save(sums.filter("size > 1").select("key", F.col("leader.v").alias("w")), "leaders")
+    sums = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("w"))
+    leaders = s.save(sums.filter("size > 1").select("key", "w"), "leaders")
     return s.save(keys.join(leaders, "key"), "members")
 
 
