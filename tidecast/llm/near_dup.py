@@ -27,7 +27,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm._shared import Scratch, as_signed, byte_codes, byte_pieces, mix, ngram_hashes, span_hashes, word_spans
@@ -40,7 +41,7 @@ THRESHOLD = 80
 #: Shingles of one side of a block, about, and sides of a unit at most.
 BLOCK, SIDES = 200_000, 48
 #: Bits of the sieve of wanted ids for each of them, and bits at least and at most.
-SIEVE_EACH, SIEVE_LEAST, SIEVE_MOST = 8, 1 << 16, 1 << 26
+SIEVE_EACH, SIEVE_LEAST, SIEVE_MOST = 64, 1 << 16, 1 << 26
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -117,23 +118,48 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n long, k1 long, k2 long, sig binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, k1, k2, set (sorted shingle hashes) of the documents whose doc_id is in ``ids``, and of few others.
+class Sieve:
+    """Bits of the hashes of the column ``on`` of ``ids``: what is not among them is mostly told without a shuffle, and all that is among them passes.
+
+    With ``SIEVE_EACH`` bits for each id it lets one of that many others through, or fewer, up to about a million ids; ``SIEVE_MOST`` bits (8 MB) are all it ever takes, so beyond that it spares fewer."""
+
+    def __init__(self, ids: DataFrame, on: str):
+        self.bits = bits = min(max(SIEVE_LEAST, 1 << (SIEVE_EACH * ids.count() - 1).bit_length()), SIEVE_MOST)
+        # 32 slots a word, so that at most bits / 32 words come to the driver
+        slots = ids.select(self.slot(on))
+        words = slots.groupBy((F.col("_slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, _slot % 32)")).alias("set")).toArrow()
+        sieve = np.zeros(bits // 32, "<u4")
+        sieve[words["word"].to_numpy()] = words["set"].to_numpy().astype("<u4")
+        self.shared = ids.sparkSession.sparkContext.broadcast(sieve)
+
+    def slot(self, on: str) -> Column:
+        return F.pmod(F.xxhash64(on), F.lit(self.bits)).cast("int").alias("_slot")
+
+    def sifted(self, rows: DataFrame, on: str) -> DataFrame:
+        """The rows whose ``on`` may be among the ids."""
+        return rows.select("*", self.slot(on)).mapInArrow(_sifting(self.shared), rows.schema)
+
 
-    A sieve of ``SIEVE_EACH`` bits for each id (``SIEVE_MOST``, 8 MB, at most), set for the hashes of the ids, spares seven of eight other texts or more the work and the shuffle, up to some eight million ids; beyond that it spares fewer."""
-    bits = min(max(SIEVE_LEAST, 1 << (SIEVE_EACH * ids.count() - 1).bit_length()), SIEVE_MOST)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int").alias("slot")
-    # 32 slots a word, so that at most bits / 32 words come to the driver
-    words = ids.select(slot).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("set")).toArrow()
-    sieve = np.zeros(bits // 32, "<u4")
-    sieve[words["word"].to_numpy()] = words["set"].to_numpy().astype("<u4")
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+def _sifting(shared: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps rows whose last column is a slot that is set, without that column."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
         for b in batches:
-            at = b.column(2).to_numpy()
-            b = b.filter(pa.array((sieve[at >> 5] >> (at & 31).astype("<u4")) & 1 == 1))
+            at = b.column(b.num_columns - 1).to_numpy()
+            hit = pa.array((sieve[at >> 5] >> (at & 31).astype("<u4")) & 1 == 1)
+            yield b.select(list(range(b.num_columns - 1))).filter(hit)
+
+    return run
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, k1, k2, set (sorted shingle hashes) of the documents whose doc_id is in ``ids``, and of few others (see ``Sieve``)."""
+    sieve = Sieve(ids, "doc_id")
+    sift = _sifting(sieve.shared)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sift(batches):
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = list(sets_of(part.column(1), width))
@@ -143,7 +169,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "set"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", slot).mapInArrow(run, f"doc_id {key}, k1 long, k2 long, `set` array<long>")
+    return docs.select("doc_id", "text", sieve.slot("doc_id")).mapInArrow(run, f"doc_id {key}, k1 long, k2 long, `set` array<long>")
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -299,10 +325,10 @@ def compare_blocks(blocks: DataFrame, threshold: int) -> DataFrame:
 def with_leaders(s: Scratch, keys: DataFrame) -> DataFrame:
     """(key, v, w) of ``keys`` (key, v) that two rows or more have, saved; w is the member that leads the key.
 
-    Sizes and leaders are counted before the shuffle and saved, so the join is one of plain exchanges, which adaptive execution can split at hot keys."""
+    Sizes and leaders are counted before the shuffle and saved, so the join is one of plain exchanges, which adaptive execution can split at hot keys; of the keys of one row only, few are shuffled a second time."""
     sums = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("w"))
     leaders = s.save(sums.filter("size > 1").select("key", "w"), "leaders")
-    return s.save(keys.join(leaders, "key"), "members")
+    return s.save(Sieve(leaders, "key").sifted(keys, "key").join(leaders, "key"), "members")
 
 
 def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids: Callable[[DataFrame, str], DataFrame], threshold: int, miss: float | None) -> DataFrame | None:
@@ -313,9 +339,11 @@ def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids:
     if members.limit(1).count() == 0:
         return None
     more = ["sig"] if miss else []
-    pairs = members.filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    a = sizes.select(F.col("v").alias("a"), F.col("n").alias("n_a"), *(F.col(x).alias("sig_a") for x in more))
-    b = sizes.select(F.col("v").alias("b"), F.col("n").alias("n_b"), *(F.col(x).alias("sig_b") for x in more))
+    pairs = s.save(members.filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), "pairs")
+    sieve = Sieve(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v")
+    paired = sieve.sifted(sizes, "v")  # signatures of those in a pair only are shuffled
+    a = paired.select(F.col("v").alias("a"), F.col("n").alias("n_a"), *(F.col(x).alias("sig_a") for x in more))
+    b = paired.select(F.col("v").alias("b"), F.col("n").alias("n_b"), *(F.col(x).alias("sig_b") for x in more))
     near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
     near = s.save(bayes_prune(near, threshold, miss) if miss else near.select("a", "b"), "candidates")
     sets = sets_of_ids(near.select(F.col("a").alias("v")).union(near.select("b")).distinct(), "led")
@@ -325,7 +353,9 @@ def linked_groups(s: Scratch, members: DataFrame, sizes: DataFrame, sets_of_ids:
     labels = connected(s, links)
     blocks = units(s, members, labels, sizes.select("v", "n"))
     if miss:  # signatures are a fraction of the sets; only what they leave is compared whole
-        blocks = prune_blocks(blocks.select("unit", "block", "v", "c", "side").join(sizes.select("v", "n", "sig"), "v"), threshold, miss)
+        blocks = s.save(blocks.select("unit", "block", "v", "c", "side"), "repeated")
+        signed = Sieve(blocks.select("v").distinct(), "v").sifted(sizes.select("v", "n", "sig"), "v")
+        blocks = prune_blocks(blocks.join(signed, "v"), threshold, miss)
     blocks = s.save(blocks, "blocks")
     rows = blocks.join(sets_of_ids(blocks.select("v").distinct(), "rest"), "v")
     return connected(s, s.save(links.union(compare_blocks(rows, threshold)), "links"))
