@@ -87,3 +87,12 @@ def test_keep_first(edge_docs):
     assert kept.columns == edge_docs.columns
     ids = sorted(r.doc_id for r in kept.collect())
     assert 6 not in ids and 5 not in ids and {0, 1, 2, 3, 4} <= set(ids)
+
+
+def test_sieve(spark):
+    """All ids pass, null ones too, and of others few; without ids nothing passes."""
+    rows = spark.range(20_000).selectExpr("nullif(id, 7) AS v", "id AS n")
+    ids = rows.filter("n < 500").select("v")
+    passed = {r.n for r in near_dup.Sieve(ids, "v").sifted(rows, "v").collect()}
+    assert set(range(500)) <= passed and len(passed) < 500 + 19_500 / 32
+    assert near_dup.Sieve(ids.limit(0), "v").sifted(rows, "v").count() == 0
