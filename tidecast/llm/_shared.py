@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 PIECE = 500_000
+#: Rows of an Arrow batch, unless the session says otherwise: Spark's own 10,000 texts or signatures at a time take the executors more memory outside the heap than their workers use.
+BATCH_ROWS = 1_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -38,12 +40,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches of ``BATCH_ROWS`` rows where the session sets none. It stays set, since results are computed after an operator returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage: a lost executor costs no more than its running tasks."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n, self.saved = 0, {}
+        small_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
