@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.llm import bpe, decontaminate, lang_id, near_dup, secrets
-from tidecast.llm._shared import Scratch
+from tidecast.llm._shared import Scratch, small_batches
 
 #: Documents whose language is predicted with a smaller probability go, as do those without a letter.
 MIN_SCORE = 0.5
@@ -21,6 +21,7 @@ MIN_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that is told with a probability of ``MIN_SCORE`` or more."""
+    small_batches(spark)
     return lang_id.keep(docs, lang_id.fit(docs), MIN_SCORE)
 
 
