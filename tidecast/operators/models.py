@@ -1,19 +1,22 @@
-"""Forecast models of single series, in numpy, fitted in groups by series; and a model over all series by boosted trees.
+"""Forecast models of single series, in numpy, fitted in batches of series; and a model over all series by boosted trees.
 
 A model is a function (values, horizon, season) -> (mean, spread or None, fitted one-step values): spreads are those of a normal band, without one the series' own quantiles
-are its band. Groups hold the months of one series, a few hundred numbers at most; all series, models and origins are fitted in one stage."""
+are its band. A row holds the months of one series, a few hundred numbers at most; all series, models and origins are fitted in one stage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.operators import arima as seasonal_arima
+from tidecast.operators import boosting, smoothing
 from tidecast.operators.backtest import FIRST, HORIZON, STEP, Z90
 from tidecast.operators.windows import horizon_features, rolling_features
+from tidecast.sources.tables import checkpointed
 
 Fit = tuple[np.ndarray, np.ndarray | None, np.ndarray]
 FORECAST = "model string, unique_id string, origin date, h int, ds date, mean double, q10 double, q50 double, q90 double"
@@ -33,129 +36,16 @@ def seasonal_naive(y: np.ndarray, horizon: int, season: int = 12) -> Fit:
     return y[len(y) - season + k % season], np.sqrt((r * r).mean()) * np.sqrt(k // season + 1), np.r_[np.full(season, np.nan), y[:-season]]
 
 
-# ---------------------------------------------------------------- exponential smoothing
-
-
-def _grid(trend: bool, season: bool) -> np.ndarray:
-    """Candidate parameters (level, slope, damping, season), a row each."""
-    level = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.55, 0.75, 0.95)
-    rows = [(a, b * a, phi, g * (1 - a)) for a in level for b in ((0.01, 0.1, 0.3) if trend else (0.0,)) for phi in ((0.85, 0.95) if trend else (0.0,)) for g in ((0.01, 0.1, 0.3) if season else (0.0,))]
-    return np.array(rows)
-
-
-def ets_origins(y: np.ndarray, origins: list[int], horizon: int, season: int = 12) -> list[Fit]:
-    """Additive exponential smoothing without or with a damped trend and a season, by the corrected information criterion, after each training size in ``origins``.
-
-    Starting states rest on the first months alone, so one walk over a series serves all its origins: all candidate parameters go along as a vector, and each origin
-    takes those with the least errors so far."""
-    best: dict[int, tuple] = {}
-    marks = set(origins)
-    for m in (0, season) if season > 1 and len(y) >= 2 * season + 2 else (0,):
-        cycle0 = np.mean([y[k * m : (k + 1) * m] - y[k * m : (k + 1) * m].mean() for k in range(2)], axis=0) if m else np.zeros(1)
-        head = y[: max(m, 6)] - (cycle0[np.arange(len(y[: max(m, 6)])) % m] if m else 0.0)
-        for trend in (False, True):
-            alpha, beta, phi, gamma = _grid(trend, m > 0).T
-            n_par = 2 + 2 * trend + trend + (m + 1 if m else 0)
-            level, slope = np.full(len(alpha), head.mean()), np.full(len(alpha), (y[min(5, len(y) - 1)] - y[0]) / 5 if trend else 0.0)
-            cycle = np.repeat(cycle0[:, None], len(alpha), axis=1)
-            sse, fitted = np.zeros(len(alpha)), np.empty((len(y), len(alpha)))
-            for t, v in enumerate(y.tolist()):
-                s = cycle[t % m] if m else 0.0
-                base = level + phi * slope
-                fitted[t] = base + s
-                e = v - fitted[t]
-                level = base + alpha * e
-                slope = phi * slope + beta * e
-                if m:
-                    cycle[t % m] = s + gamma * e
-                sse = sse + e * e
-                n = t + 1
-                if n not in marks or (m and n < 2 * m + 2) or n - n_par - 1 <= 0:
-                    continue
-                k = int(sse.argmin())
-                score = n * np.log(max(float(sse[k]), 1e-9) / n) + 2 * n_par + 2 * n_par * (n_par + 1) / (n - n_par - 1)
-                if n not in best or score < best[n][0]:
-                    best[n] = (score, (alpha[k], beta[k], phi[k], gamma[k]), trend, m, float(level[k]), float(slope[k]), cycle[:, k].copy(), float(sse[k]), fitted[:n, k].copy())
-    out = []
-    h = np.arange(1, horizon + 1)
-    for n in origins:
-        if n not in best:
-            out.append(naive(y[:n], horizon, season))
-            continue
-        _, (alpha, beta, phi, gamma), trend, m, level, slope, cycle, sse, fitted = best[n]
-        mean = level + slope * np.cumsum(phi**h) if trend else np.full(horizon, level)
-        if m:
-            mean = mean + cycle[(n + h - 1) % m]
-        w = alpha + (beta * np.cumsum(phi**h) if trend else 0.0) + (gamma * (h % m == 0) if m else 0.0)
-        w = np.broadcast_to(w, (horizon,))
-        out.append((mean, np.sqrt(sse / max(n - 1, 1)) * np.sqrt(1 + np.r_[0.0, np.cumsum(w**2)[:-1]]), fitted))
-    return out
+def _first(found: list, y: np.ndarray, horizon: int, season: int) -> Fit:
+    return found[0][2] if found[0] is not None else naive(y, horizon, season)
 
 
 def ets(y: np.ndarray, horizon: int, season: int = 12) -> Fit:
-    return ets_origins(y, [len(y)], horizon, season)[0]
-
-
-# ---------------------------------------------------------------- autoregression
-
-
-def _lagged(x: np.ndarray, lags: list[int], first: int) -> np.ndarray:
-    return np.column_stack([np.ones(len(x) - first), *(x[first - k : len(x) - k] for k in lags)])
+    return _first(smoothing.chosen([y], horizon, season), y, horizon, season)
 
 
 def arima(y: np.ndarray, horizon: int, season: int = 12) -> Fit:
-    """Autoregression of at most two months and one season with at most two moving terms, after differencing where it lowers the spread; least squares in the manner of Hannan and Rissanen, by the information criterion."""
-    n = len(y)
-    x, undo = y, []
-    if n > 2 * season + 6 and np.var(x[season:] - x[:-season]) < 0.7 * np.var(x):
-        undo.append(season)
-        x = x[season:] - x[:-season]
-    if len(x) > 8 and np.var(np.diff(x)) < 0.9 * np.var(x):
-        undo.append(1)
-        x = np.diff(x)
-    longest = min(6, max(1, len(x) // 4))
-    design = _lagged(x, list(range(1, longest + 1)), longest)
-    noise = np.r_[np.zeros(longest), x[longest:] - design @ np.linalg.lstsq(design, x[longest:], rcond=None)[0]]
-    first = min(max(longest, 2, season if len(x) > 3 * season else 0), len(x) - 4)
-    best = None
-    for p in range(3):
-        for q in range(3):
-            for s in (0, 1) if first >= season else (0,):
-                lags = [*range(1, p + 1), *([season] if s else [])]
-                d = np.column_stack([_lagged(x, lags, first), *(noise[first - k : len(x) - k] for k in range(1, q + 1))])
-                if len(d) <= d.shape[1] + 2:
-                    continue
-                w = np.linalg.lstsq(d, x[first:], rcond=None)[0]
-                e = x[first:] - d @ w
-                score = len(e) * np.log(max((e * e).mean(), 1e-9)) + 2 * (d.shape[1] + 1)
-                if best is None or score < best[0]:
-                    best = (score, lags, q, w, e)
-    if best is None:
-        return naive(y, horizon, season)
-    _, lags, q, w, e = best
-    path, errors = list(x), list(np.r_[np.zeros(len(x) - len(e)), e])
-    for _ in range(horizon):
-        row = [1.0, *(path[-k] for k in lags), *(errors[-k] for k in range(1, q + 1))]
-        path.append(float(np.dot(row, w)))
-        errors.append(0.0)
-    ahead = np.array(path[len(x) :])
-    ahead = np.clip(ahead, x.min() - 3 * x.std(), x.max() + 3 * x.std())  # a path that explodes stays near what was seen
-    fitted_x = np.r_[np.full(len(x) - len(e), np.nan), x[len(x) - len(e) :] - e]
-    psi = np.zeros(horizon)
-    psi[0] = 1.0
-    for h in range(1, horizon):
-        psi[h] = sum(w[1 + i] * psi[h - k] for i, k in enumerate(lags) if h >= k) + (w[1 + len(lags) + h - 1] if h <= q else 0.0)
-    for k in reversed(undo):
-        base = y[season:] - y[:-season] if k == 1 and season in undo else y
-        if k == 1:
-            ahead, psi = base[-1] + np.cumsum(ahead), np.cumsum(psi)
-        else:
-            for h in range(horizon):
-                ahead[h] += base[len(base) - k + h] if h < k else ahead[h - k]
-                psi[h] += psi[h - k] if h >= k else 0.0
-    fitted = np.full(n, np.nan)
-    fitted[n - len(fitted_x) :] = y[n - len(fitted_x) :] - (x - fitted_x)
-    return ahead, np.sqrt((e * e).mean()) * np.sqrt(np.cumsum(psi**2)), fitted
+    return _first(seasonal_arima.chosen([y], horizon, season), y, horizon, season)
 
 
 # ---------------------------------------------------------------- intermittent demand
@@ -191,12 +81,16 @@ def tsb(y: np.ndarray, horizon: int, season: int = 12, alpha: float = 0.2, beta:
 
 #: Models of single series; the others of the catalogue run over all series or cannot run here.
 MODELS: dict[str, Callable[..., Fit]] = {"Naive": naive, "SeasonalNaive": seasonal_naive, "AutoETS": ets, "AutoARIMA": arima, "CrostonSBA": croston_sba, "TSB": tsb}
+#: Models that take many series in one call.
+BATCHED = {"AutoETS": smoothing.chosen, "AutoARIMA": seasonal_arima.chosen}
+#: Series of one such call, at most.
+TOGETHER = 50
 CATALOGUE = (*MODELS, "LightGBM", "Chronos-2", "TiRex-2")
 _NEEDS = {"Chronos-2": "chronos", "TiRex-2": "tirex"}
 
 
 def availability() -> dict[str, str]:
-    """Of each model why it cannot run; empty for those that can. LightGBM's place is taken by Spark's own boosted trees."""
+    """Of each model why it cannot run; empty for those that can. LightGBM's place is taken by the trees of ``boosting``."""
     import importlib.util
 
     return {m: f"needs the package {_NEEDS[m]}" if m in _NEEDS and importlib.util.find_spec(_NEEDS[m]) is None else "" for m in CATALOGUE}
@@ -218,43 +112,66 @@ def _months(last, n: int) -> list:
     return [(start + pd.DateOffset(months=k)).date() for k in range(1, n + 1)]
 
 
+def as_series(panel: DataFrame) -> DataFrame:
+    """unique_id, ds, y: a row for each series, with its months in order. Series are dealt to all shuffle partitions, since fitting them takes longer than moving them."""
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = panel.select("unique_id", "ds", F.col("y").cast("double").alias("y")).repartition(n, "unique_id").groupBy("unique_id")
+    return each.agg(F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("s")).select("unique_id", "s.ds", "s.y")
+
+
+def fitted(model: str, series: list[np.ndarray], horizon: int, season: int) -> list[Fit | None]:
+    """A fit of each series; None where the model fails. Models that search for parameters take all series in one call, and give the naive fit where none of their forms fits."""
+    if model in BATCHED:
+        return [x[2] if x is not None else naive(y, horizon, season) for x, y in zip(BATCHED[model](series, horizon, season), series, strict=True)]
+    out: list[Fit | None] = []
+    for y in series:
+        try:
+            out.append(MODELS[model](y, horizon, season))
+        except (ValueError, np.linalg.LinAlgError):
+            out.append(None)
+    return out
+
+
 def forecast(panel: DataFrame, models: tuple[str, ...], horizon: int = HORIZON, first: int | None = None, step: int = STEP, season: int = 12) -> DataFrame:
     """Forecasts of ``panel`` (unique_id, ds, y; dense) by each model: with ``first`` from every origin of a backtest, else from the last month.
 
-    Of each series, all origins and models are fitted in one call, so its months are shuffled once. A model that fails at an origin has no rows there."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ds")
-        y, ds = rows["y"].to_numpy(float), rows["ds"].tolist()
-        out = []
-        origins = [len(y)] if first is None else list(range(first, len(y), step))
-        walked = dict(zip(origins, ets_origins(y, origins, horizon, season), strict=True)) if "AutoETS" in models else {}
-        for o in origins:
-            h = horizon if first is None else min(horizon, len(y) - o)
-            months = _months(ds[o - 1], h)
-            for m in models:
-                try:
-                    mean, spread, _ = walked[o] if m == "AutoETS" else MODELS[m](y[:o], h, season)
-                except (ValueError, np.linalg.LinAlgError):
-                    continue
-                b = band(y[:o], mean[:h], spread[:h] if spread is not None else None)
-                if np.isfinite(b).all():
-                    out += [(m, key[0], ds[o - 1], k + 1, months[k], *map(float, b[k])) for k in range(h)]
-        return pd.DataFrame(out, columns=["model", "unique_id", "origin", "h", "ds", "mean", "q10", "q50", "q90"])
-
-    return panel.select("unique_id", "ds", F.col("y").cast("double").alias("y")).groupBy("unique_id").applyInPandas(run, FORECAST)
+    ``TOGETHER`` series with all their origins are fitted in one call, so a series' months are shuffled once. A model that fails at an origin has no rows there."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                out = []
+                part = list(batch.iloc[at : at + TOGETHER].itertuples(index=False))
+                cuts = [(i, o) for i, r in enumerate(part) for o in ([len(r.y)] if first is None else range(first, len(r.y), step))]
+                heads = [np.asarray(part[i].y[:o], float) for i, o in cuts]
+                for m in models:
+                    for (i, o), y, fit in zip(cuts, heads, fitted(m, heads, horizon, season), strict=True):
+                        if fit is None:
+                            continue
+                        h = horizon if first is None else min(horizon, len(part[i].y) - o)
+                        mean, spread, _ = fit
+                        b = band(y, mean[:h], spread[:h] if spread is not None else None)
+                        if np.isfinite(b).all():
+                            months = _months(part[i].ds[o - 1], h)
+                            out += [(m, part[i].unique_id, part[i].ds[o - 1], k + 1, months[k], *map(float, b[k])) for k in range(h)]
+                yield pd.DataFrame(out, columns=["model", "unique_id", "origin", "h", "ds", "mean", "q10", "q50", "q90"])
+
+    return as_series(panel).mapInPandas(run, FORECAST)
 
 
 def residuals(panel: DataFrame, model: str = "AutoETS", season: int = 12) -> DataFrame:
     """unique_id, ds, y, resid: one-step errors within the series."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ds")
-        y = rows["y"].to_numpy(float)
-        fitted = MODELS[model](y, 1, season)[2]
-        return pd.DataFrame({"unique_id": key[0], "ds": rows["ds"].to_numpy(), "y": y, "resid": y - fitted})
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                part = batch.iloc[at : at + TOGETHER]
+                ys = [np.asarray(y, float) for y in part["y"]]
+                for r, y, fit in zip(part.itertuples(index=False), ys, fitted(model, ys, 1, season), strict=True):
+                    if fit is not None:
+                        yield pd.DataFrame({"unique_id": r.unique_id, "ds": list(r.ds), "y": y, "resid": y - fit[2]})
 
-    return panel.select("unique_id", "ds", F.col("y").cast("double").alias("y")).groupBy("unique_id").applyInPandas(run, "unique_id string, ds date, y double, resid double")
+    return as_series(panel).mapInPandas(run, "unique_id string, ds date, y double, resid double")
 
 
 def model_status(forecasts: DataFrame, models: tuple[str, ...] = CATALOGUE) -> DataFrame:
@@ -266,13 +183,10 @@ def model_status(forecasts: DataFrame, models: tuple[str, ...] = CATALOGUE) -> D
     return rows.join(seen, "model", "left").select("model", status.alias("status"), "note")
 
 
-def boosted(panel: DataFrame, horizon: int = HORIZON, trees: int = 30, least: int = 12) -> DataFrame:
-    """Forecasts of all series by one boosted-trees model under the name LightGBM: direct, with the horizon as a feature, on values scaled by the last year's mean.
-
-    ``panel`` has unique_id, ds, y. Bands are the tenth and ninetieth percentile of the model's own scaled errors by horizon."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def boosted(panel: DataFrame, horizon: int = HORIZON, trees: int = boosting.TREES, least: int = 12) -> DataFrame:
+    """Forecasts of all series by boosted trees under the name LightGBM, one forest each for the mean, the tenth and the ninetieth percentile: direct, with the horizon as a feature, on values scaled by the last year's mean.
 
+    ``panel`` has unique_id, ds, y. No band of the model's own errors is needed: the quantiles are learned."""
     base = rolling_features(panel.withColumnRenamed("ds", "month").withColumnRenamed("y", "units"), ("unique_id",))
     old = panel.select("unique_id", F.col("ds").alias("_ds"), F.col("y").alias("_y"))
     t = F.row_number().over(Window.partitionBy("unique_id").orderBy("month"))
@@ -283,14 +197,12 @@ def boosted(panel: DataFrame, horizon: int = HORIZON, trees: int = 30, least: in
     names = [c for c in base.columns if c not in ("unique_id", "month", "scale")]
     rows = rows.select("unique_id", "month", "ds", "scale", F.col("h").cast("int").alias("ahead"), *names, *horizon_features(F.col("h"), F.col("ds")), "seasonal12", "seasonal24")
     inputs = [*names, "h", "m", "sin_m", "cos_m", "qtr_end", "seasonal12", "seasonal24"]
-    rows = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.fillna(-1.0, [c for c in names if c.startswith("lag")]))
-    train = rows.join(old.select("unique_id", F.col("_ds").alias("ds"), "_y"), ["unique_id", "ds"]).withColumn("label", F.col("_y") / F.col("scale"))
-    model = GBTRegressor(featuresCol="x", maxIter=trees, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=7).fit(train)
-    errors = model.transform(train).groupBy("ahead").agg(*(F.percentile_approx(F.col("label") - F.col("prediction"), q, 10_000).alias(n) for q, n in ((0.1, "lo"), (0.9, "hi"))))
+    rows = checkpointed(rows.select("unique_id", "month", "ds", "scale", "ahead", F.array(*(F.col(c).cast("double") for c in inputs)).alias("x")))
+    train = rows.join(old.select("unique_id", F.col("_ds").alias("ds"), "_y"), ["unique_id", "ds"]).select("x", (F.col("_y") / F.col("scale")).alias("y"))
+    forest = boosting.fit(train, trees=trees)
     last = rows.join(panel.groupBy("unique_id").agg(F.max("ds").alias("month")), ["unique_id", "month"])
-    out = model.transform(last).join(F.broadcast(errors), "ahead")  # a row for each horizon
-    mean = F.greatest(F.col("prediction"), F.lit(0.0)) * F.col("scale")
-    low, high = F.greatest(mean + F.col("lo") * F.col("scale"), F.lit(0.0)), mean + F.col("hi") * F.col("scale")
+    out = boosting.predict(last, forest, ("mean", "low", "high"))
+    mean, low, high = (F.greatest(F.col(c), F.lit(0.0)) * F.col("scale") for c in ("mean", "low", "high"))
     return out.select(
         F.lit("LightGBM").alias("model"), "unique_id", F.col("month").alias("origin"), F.col("ahead").alias("h"), "ds", mean.alias("mean"),
         F.least(low, mean).alias("q10"), mean.alias("q50"), F.greatest(high, mean).alias("q90"),
