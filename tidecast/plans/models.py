@@ -149,6 +149,30 @@ def mint_reconciled(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.reconcile(models.forecast(nodes, ("SeasonalNaive",)), p.select(*KEYS), models.residuals(nodes, "SeasonalNaive"))
 
 
+@query(
+    estate.with_views(
+        "panel",
+        """o AS (SELECT oem, month, sum(units) AS units FROM panel GROUP BY ALL), a AS (SELECT month, sum(units) AS units FROM panel GROUP BY ALL),
+y AS (SELECT oem, CAST(max(units) AS DOUBLE) AS y FROM o WHERE month > (SELECT CAST(max(month) - INTERVAL 12 MONTH AS DATE) FROM panel) GROUP BY oem),
+t AS (SELECT CAST(max(units) AS DOUBLE) AS y FROM a WHERE month > (SELECT CAST(max(month) - INTERVAL 12 MONTH AS DATE) FROM panel)),
+n AS (SELECT count(*) AS n, sum(y) AS s FROM y),
+b AS (SELECT oem, greatest(y.y + (t.y - s) / (2 * n), 0) AS b FROM y, t, n)
+SELECT oem AS unique_id, round(b, 4) AS mean FROM b UNION ALL SELECT 'ALL', round(sum(b), 4) FROM b""",
+    )
+)
+def struct_reconciled(spark: SparkSession, sf: str) -> DataFrame:
+    """The highest month of the last year of each oem and of all, made coherent with variances by the number of leaves: of n oems each takes 1 / 2n of what the total lacks."""
+    p = estate.panel(spark, sf)
+    last = p.agg(F.add_months(F.max("month"), -12)).first()[0]
+    year = p.filter(F.col("month") > last)
+    top = lambda df, node: df.groupBy("month").agg(F.sum("units").alias("units")) if node is None else df.groupBy(node, "month").agg(F.sum("units").alias("units"))
+    own = top(year, "oem").groupBy(F.col("oem").alias("unique_id")).agg(F.max("units").alias("mean"))
+    whole = top(year, None).agg(F.lit("ALL").alias("unique_id"), F.max("units").alias("mean"))
+    forecasts = own.unionByName(whole).withColumn("ds", F.lit(estate.CYCLE))
+    up = p.select("oem").distinct().select(F.explode(F.array(F.lit("ALL"), "oem")).alias("node"), F.col("oem").alias("leaf"))
+    return reconcile.reconcile(forecasts, p, None, "wls_struct", up=up).select("unique_id", F.round("mean", 4).alias("mean"))
+
+
 @query()
 def sample_paths(spark: SparkSession, sf: str) -> DataFrame:
     p = estate.panel(spark, sf)
@@ -159,8 +183,8 @@ def sample_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def forecast_points(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole run with the fast models."""
-    return forecast_run.run(estate.panel(spark, sf), ("SeasonalNaive", "AutoETS", "CrostonSBA")).points
+    """A whole run with all fast models."""
+    return forecast_run.run(estate.panel(spark, sf), ("SeasonalNaive", "AutoETS", "AutoARIMA", "CrostonSBA", "TSB")).points
 
 
 @query()
