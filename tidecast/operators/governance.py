@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,6 +24,8 @@ LEAST_COMMENT = 15
 GENESIS = "0" * 64
 STATES = ("OPEN", "FORECASTED", "CONSENSUS", "LOCKED")
 DRAWS, LEAST_DRAWN = 400, 12
+#: Rows that are drawn in one task, about, and children of a node of the tree that deals draws to them.
+DRAWN_TOGETHER, FAN = 1000, 256
 
 
 # ---------------------------------------------------------------- overrides
@@ -199,23 +201,63 @@ def value_added(rows: DataFrame) -> DataFrame:
     return out.withColumns({"fva_sales": F.col("wmape_ai") - F.col("wmape_consensus"), "fva_ai": F.col("wmape_naive") - F.col("wmape_ai")})
 
 
+def _splitting(seed: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Deals a node's draws to its children, one binomial a child."""
+
+    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("child")
+        rng = np.random.default_rng([seed, level, int(key[1]), *hashlib.sha256(str(key[0]).encode()).digest()[:8]])
+        left, of, out = np.array(rows["times"].iloc[0], np.int64), int(rows["n"].sum()), []
+        for n in rows["n"].tolist():
+            got = rng.binomial(left, n / of) if n < of else left
+            out.append(got)
+            left, of = left - got, of - n
+        return pd.DataFrame({"key": key[0], "node": rows["child"].to_numpy(), "times": out})
+
+    return split
+
+
+def dealt_draws(counts: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(key, bucket, times: for each draw how many of the key's draws fall in the bucket) of buckets (key, bucket, n).
+
+    A draw takes as many rows as there are, so buckets have a multinomial number. It is dealt down a tree whose nodes have ``FAN`` children: each node splits its number by one binomial a child, given what is left, by a
+    seed of its own. Each draw thus sums to the number of rows, and no task sees more than the children of one node."""
+    high = counts.agg(F.max("bucket")).first()[0]
+    levels = 1
+    while high is not None and FAN**levels <= high:
+        levels += 1
+    dealt = counts.groupBy("key").agg(F.sum("n").alias("n")).select("key", F.lit(0).cast("long").alias("node"), F.array_repeat(F.col("n"), draws).alias("times"))
+    for level in range(levels - 1, -1, -1):
+        under = counts.groupBy("key", F.floor(F.col("bucket") / FAN**level).cast("long").alias("child")).agg(F.sum("n").alias("n")).withColumn("node", F.floor(F.col("child") / FAN).cast("long"))
+
+        dealt = under.join(dealt, ["key", "node"]).groupBy("key", "node").applyInPandas(_splitting(seed, level), "key string, node long, times array<long>")
+    return dealt.withColumnRenamed("node", "bucket")
+
+
 def bootstrap(rows: DataFrame, keys: tuple[str, ...], draws: int = DRAWS, level: float = DEFAULT.fva_level, seed: int = 11) -> DataFrame:
     """keys, ci_low, ci_high, significant of fva_sales, for keys of 12 rows or more.
 
-    Each row counts in a draw as often as a Poisson number of mean 1, hashed from row and draw: sums over draws add up across partitions, so no key's rows come together."""
-    row_id = F.xxhash64(*rows.columns)
-    u = (F.pmod(F.xxhash64(row_id, F.col("draw"), F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    cuts, p, total = [], float(np.exp(-1.0)), 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    times = sum((F.when(u > c, 1.0).otherwise(0.0) for c in cuts), F.lit(0.0))
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_t", times)
-    err = lambda f: F.sum(F.col("_t") * F.abs(F.col("y") - F.col(f))) / F.sum(F.col("_t") * F.abs("y"))
-    by = each.groupBy(*keys, "draw").agg((err("ai_units") - err("consensus_units")).alias("d"), F.count(F.lit(1)).alias("n"))
-    ends = by.groupBy(*keys).agg(F.percentile("d", F.lit(level / 2)).alias("ci_low"), F.percentile("d", F.lit(1 - level / 2)).alias("ci_high"), F.max("n").alias("n"))  # one value a draw
-    return ends.filter(F.col("n") >= LEAST_DRAWN).select(*keys, "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("significant"))
+    Each draw takes as many rows of a key as it has, with repetition. Rows are dealt by hash to buckets of about ``DRAWN_TOGETHER``, the draws to buckets by ``dealt_draws``, and each bucket draws its own number of its rows; a bucket passes on three sums a draw."""
+    named = rows.select(*keys, F.to_json(F.struct(*keys)).alias("key"), F.xxhash64(*rows.columns).alias("id"), *(F.col(c).cast("double").alias(c) for c in ("y", "ai_units", "consensus_units")))
+    named = checkpointed(named.withColumn("salt", F.xxhash64("id", F.monotonically_increasing_id())))  # rows that are equal are dealt apart
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.filter(F.col("rows") >= LEAST_DRAWN).select("key", F.ceil(F.col("rows") / DRAWN_TOGETHER).alias("buckets"))
+    placed = named.join(sizes, "key").withColumn("bucket", F.pmod("salt", "buckets").cast("long"))
+    times = dealt_draws(checkpointed(placed.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))), draws, seed)
+
+    def drawn(key: tuple, own: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["id", "y", "ai_units", "consensus_units"])
+        rng = np.random.default_rng([seed, int(key[1]), *hashlib.sha256(str(key[0]).encode()).digest()[8:16]])
+        t = rng.multinomial(np.array(dealt["times"].iloc[0], np.int64), np.full(len(own), 1 / len(own)))
+        y = own["y"].to_numpy()
+        sums = [t @ np.abs(x) for x in (y - own["ai_units"].to_numpy(), y - own["consensus_units"].to_numpy(), y)]
+        return pd.DataFrame({"key": key[0], "draw": range(len(t)), "ai": sums[0], "consensus": sums[1], "y": sums[2]})
+
+    parts = placed.select("key", "bucket", "id", "y", "ai_units", "consensus_units").groupBy("key", "bucket").cogroup(times.groupBy("key", "bucket")).applyInPandas(drawn, "key string, draw int, ai double, consensus double, y double")
+    by = parts.groupBy("key", "draw").agg((F.sum("ai") / F.sum("y") - F.sum("consensus") / F.sum("y")).alias("d"))
+    ends = by.groupBy("key").agg(F.percentile("d", F.lit(level / 2)).alias("ci_low"), F.percentile("d", F.lit(1 - level / 2)).alias("ci_high"))  # one value a draw
+    names = named.select("key", *keys).distinct()
+    return names.join(ends, "key").select(*keys, "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("significant"))
 
 
 # ---------------------------------------------------------------- audit

@@ -87,6 +87,10 @@ def account_status(accounts: DataFrame, mapping: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- nearest vectors
 
 
+#: Aliases and mapped accounts, the nearest, that a name is held against.
+ALIASES, VOTERS = 8, 5
+
+
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     m = np.array(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(lists), -1)
@@ -144,21 +148,28 @@ def knn_vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return votes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def score_accounts(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, config: EngineConfig = DEFAULT, generic: tuple[str, ...] = GENERIC) -> DataFrame:
-    """account_id, oem, score, name_sim, cosine, knn, region for each candidate oem.
-
-    ``accounts`` and ``mapped`` have account_id, name, region (``mapped`` also oem, for accounts whose mapping holds); ``aliases`` has alias, oem.
-    Candidates are the oems of the 8 aliases and 5 mapped accounts that are nearest by hashed character runs; the region is the account's own or its neighbours'."""
+def alias_cosines(accounts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """account_id, oem, cosine: the best of the ``ALIASES`` aliases that are nearest by hashed character runs."""
     own = accounts.select("account_id", hash_embedding(F.col("name")).alias("v"))
     named = aliases.select(F.xxhash64("oem", "alias").alias("id"), hash_embedding(F.col("alias")).alias("v"), "oem").dropDuplicates(["id"])
-    hits = nearest(own, named, 8, query_id="account_id").join(named.select("id", "oem"), "id")
-    cosine = hits.groupBy(F.col("query").alias("account_id"), "oem").agg(F.max("sim").alias("cosine"))
+    hits = nearest(own, named, ALIASES, query_id="account_id").join(named.select("id", "oem"), "id")
+    return hits.groupBy(F.col("query").alias("account_id"), "oem").agg(F.max("sim").alias("cosine"))
+
+
+def mapped_neighbours(accounts: DataFrame, mapped: DataFrame) -> DataFrame:
+    """account_id, id, sim, oem, r: the ``VOTERS`` mapped accounts that are nearest."""
+    own = accounts.select("account_id", hash_embedding(F.col("name")).alias("v"))
     others = mapped.select("account_id", hash_embedding(F.col("name")).alias("v"))
-    near = nearest(own, others, 5, query_id="account_id", vector_id="account_id", exclude_self=True)
-    near = near.join(mapped.select(F.col("account_id").alias("id"), "oem", F.col("region").alias("r")), "id").withColumn("w", F.greatest("sim", F.lit(0.0)))
-    total = F.sum("w").over(Window.partitionBy("query"))
+    near = nearest(own, others, VOTERS, query_id="account_id", vector_id="account_id", exclude_self=True)
+    return near.join(mapped.select(F.col("account_id").alias("id"), "oem", F.col("region").alias("r")), "id").select(F.col("query").alias("account_id"), "id", "sim", "oem", "r")
+
+
+def scores(accounts: DataFrame, aliases: DataFrame, cosine: DataFrame, near: DataFrame, config: EngineConfig, generic: tuple[str, ...] = GENERIC) -> DataFrame:
+    """The scores of ``accounts`` from their aliases' cosines and their neighbours."""
+    near = near.withColumn("w", F.greatest("sim", F.lit(0.0)))
+    total = F.sum("w").over(Window.partitionBy("account_id"))
     near = near.withColumn("w", F.when(total > 0, F.col("w") / total).otherwise(0.0))
-    votes = near.groupBy(F.col("query").alias("account_id"), "oem", "r").agg(F.sum("w").alias("w"))
+    votes = near.groupBy("account_id", "oem", "r").agg(F.sum("w").alias("w"))
     votes = votes.groupBy("account_id", "oem").agg(F.sum("w").alias("knn"), F.max_by("r", F.struct("w", "r")).alias("voted"))
     candidates = cosine.join(votes, ["account_id", "oem"], "full").join(accounts.select("account_id", "name", "region"), "account_id")
     names = candidates.select("account_id", "oem", normalize_name(F.col("name")).alias("name")).join(aliases.select("oem", normalize_name(F.col("alias")).alias("alias")), "oem")
@@ -168,26 +179,45 @@ def score_accounts(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, c
     return out.select("account_id", "oem", F.least(score, F.lit(1.0)).alias("score"), "name_sim", "cosine", "knn", F.coalesce("region", "voted").alias("region"))
 
 
-def map_by_name(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, rejected: DataFrame, config: EngineConfig = DEFAULT, rounds: int = 3) -> DataFrame:
+def score_accounts(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, config: EngineConfig = DEFAULT, generic: tuple[str, ...] = GENERIC) -> DataFrame:
+    """account_id, oem, score, name_sim, cosine, knn, region for each candidate oem.
+
+    ``accounts`` and ``mapped`` have account_id, name, region (``mapped`` also oem, for accounts whose mapping holds); ``aliases`` has alias, oem.
+    Candidates are the oems of the 8 aliases and 5 mapped accounts that are nearest by hashed character runs; the region is the account's own or its neighbours'."""
+    return scores(accounts, aliases, alias_cosines(accounts, aliases), mapped_neighbours(accounts, mapped), config, generic)
+
+
+def map_by_name(accounts: DataFrame, aliases: DataFrame, mapped: DataFrame, rejected: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """account_id, oem, region, confidence, status of accounts whose best candidate (that was not rejected before) reaches the review score.
 
-    Accounts that are mapped for sure in one round vote in the next, ``rounds`` times at most; within a round order does not matter."""
-    out, left = None, accounts
-    for _ in range(rounds):
-        scored = score_accounts(left, aliases, mapped, config).join(rejected.select("account_id", "oem"), ["account_id", "oem"], "left_anti")
-        best = Window.partitionBy("account_id").orderBy(F.col("score").desc(), "oem")
+    Accounts that are mapped for sure vote on the others, in rounds, until none is added; within a round order does not matter. Aliases are compared once. After a round only the accounts among whose
+    nearest neighbours a new voter has come are scored again, against the new voters alone, so the work of a round follows what it changes. ``mapped`` has account_id, name, region, oem."""
+    accounts = accounts.select("account_id", "name", "region")
+    cosine = checkpointed(alias_cosines(accounts, aliases))
+    near = checkpointed(mapped_neighbours(accounts, mapped))
+    todo = left = accounts
+    done = waits = None
+    best = Window.partitionBy("account_id").orderBy(F.col("score").desc(), "oem")
+    nearest_first = Window.partitionBy("account_id").orderBy(F.col("sim").desc(), "id")
+    while True:
+        own = lambda df: df.join(todo.select("account_id"), "account_id", "left_semi")
+        scored = scores(todo, aliases, own(cosine), own(near), config).join(rejected.select("account_id", "oem"), ["account_id", "oem"], "left_anti")
         top = scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1 and region is not null").filter(F.col("score") >= config.fuzzy_review)
         status = F.when(F.col("score") >= config.fuzzy_auto, "ACTIVE").otherwise("PENDING_REVIEW")
-        top = top.select("account_id", "oem", "region", F.col("score").alias("confidence"), status.alias("status"))
-        top = checkpointed(top)
+        top = checkpointed(top.select("account_id", "oem", "region", F.col("score").alias("confidence"), status.alias("status")))
         sure = top.filter("status = 'ACTIVE'")
+        waits = top if waits is None else checkpointed(waits.join(todo.select("account_id"), "account_id", "left_anti").unionByName(top))
         if sure.limit(1).count() == 0:
-            return top if out is None else out.unionByName(top)
-        out = sure if out is None else out.unionByName(sure)
-        mapped = mapped.unionByName(sure.join(accounts.select("account_id", "name"), "account_id").select(mapped.columns))
-        left = left.join(sure.select("account_id"), "account_id", "left_anti")
-        last = top.filter("status <> 'ACTIVE'")
-    return out.unionByName(last.join(out.select("account_id"), "account_id", "left_anti"))
+            waits = waits.filter("status <> 'ACTIVE'")
+            return waits if done is None else done.unionByName(waits.join(done.select("account_id"), "account_id", "left_anti"))
+        done = sure if done is None else checkpointed(done.unionByName(sure))
+        left = checkpointed(left.join(sure.select("account_id"), "account_id", "left_anti"))
+        voters = sure.select("account_id", "oem", "region").join(accounts.select("account_id", "name"), "account_id")
+        come = mapped_neighbours(left, voters).withColumn("_new", F.lit(True))
+        kept = near.join(left.select("account_id"), "account_id", "left_semi").withColumn("_new", F.lit(False))
+        both = checkpointed(kept.unionByName(come).withColumn("_n", F.row_number().over(nearest_first)).filter(F.col("_n") <= VOTERS).drop("_n"))
+        near = both.drop("_new")
+        todo = left.join(both.filter("_new").select("account_id").distinct(), "account_id", "left_semi")
 
 
 def review_queue(mapping: DataFrame, accounts: DataFrame, oems: DataFrame) -> DataFrame:

@@ -242,6 +242,19 @@ def fuzzy_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.score_accounts(accounts, aliases, mapped)
 
 
+@query()
+def name_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts under names with a slip or a word more, mapped by name until no further one is: a seventh of the parts' own names hold from the start, and one oem has been rejected for some."""
+    p = estate.table(spark, sf, "part").select("p_partkey", "p_name")
+    oem, k = F.element_at(F.split("p_name", " "), -1), F.col("p_partkey")
+    aliases = p.filter(k % 7 == 0).select(F.col("p_name").alias("alias"), oem.alias("oem")).distinct()
+    names = F.when(k % 3 == 0, F.concat("p_name", F.lit(" GmbH"))).when(k % 3 == 1, F.overlay("p_name", F.lit("x"), 2)).otherwise(F.concat(F.lit("Nord "), "p_name"))
+    accounts = p.filter(k % 7 != 0).select(k.alias("account_id"), names.alias("name"), F.when(k % 2 == 0, "EU").alias("region"))
+    mapped = p.filter(k % 7 == 0).select(k.alias("account_id"), F.col("p_name").alias("name"), F.lit("US").alias("region"), oem.alias("oem"))
+    rejected = p.filter(k % 11 == 0).select(k.alias("account_id"), oem.alias("oem"))
+    return resolution.map_by_name(accounts, aliases, mapped, rejected)
+
+
 @query("SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS oem, 'The ' || c_mktsegment AS oem_name, r_name AS region, 0.7::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 10 = 4")
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     c = estate.table(spark, sf, "customer")
