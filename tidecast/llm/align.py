@@ -45,11 +45,11 @@ def byte_values() -> dict[str, int]:
 
 
 class Chunk:
-    """What a chunk of text becomes; ``groups`` is None where the tokens do not spell it."""
+    """What a chunk of text becomes; ``groups`` is None where the tokens do not spell it. A pair is one number: B's id above A's."""
 
     __slots__ = ("a", "b", "groups", "n_groups", "pairs")
 
-    def __init__(self, a: int, b: int, groups: str | None, n_groups: int, pairs: np.ndarray):
+    def __init__(self, a: int, b: int, groups: str | None, n_groups: int, pairs: list[int]):
         self.a, self.b, self.groups, self.n_groups, self.pairs = a, b, groups, n_groups, pairs
 
 
@@ -70,6 +70,8 @@ class Aligner:
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces reach across spaces, so texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if not all(self.a_bytes.values()) or not all(self.b_bytes):
+            raise ValueError("a token without bytes ends nowhere of its own")
         self.known: dict[str, Chunk] = {}
 
     def learn(self, chunks: list[str]) -> list[Chunk]:
@@ -80,20 +82,25 @@ class Aligner:
 
     def laid(self, chunk: str, a: list[int], b: list[int]) -> Chunk:
         spelled = (" " + chunk).encode()
-        bytes_a, bytes_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        of_a, of_b = self.a_bytes, self.b_bytes
+        bytes_a, bytes_b = [of_a[i] for i in a], [of_b[i] for i in b]
         if b"".join(bytes_a) != spelled or b"".join(bytes_b) != spelled:
-            return Chunk(0, 0, None, 0, np.zeros((0, 2), np.int64))
-        end_a, end_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
-        # where tokens of no bytes end together with another, all of them are linked
-        ends = np.intersect1d(end_a, end_b)
-        pairs, groups, i, j = [], [], 0, 0
-        to_a, to_b = np.searchsorted(end_a, ends, side="right").tolist(), np.searchsorted(end_b, ends, side="right").tolist()
-        from_a, from_b = np.searchsorted(end_a, ends).tolist(), np.searchsorted(end_b, ends).tolist()
-        for k, (x, y) in enumerate(zip(to_a, to_b, strict=True)):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            pairs += [(p, q) for p in a[from_a[k] : x] for q in b[from_b[k] : y]]
-            i, j = x, y
-        return Chunk(len(a), len(b), ";".join(groups), len(groups), np.array(pairs, np.int64).reshape(-1, 2))
+            return Chunk(0, 0, None, 0, [])
+        pairs, groups, first_a, first_b, j, at_b = [], [], 0, 0, 0, len(bytes_b[0])  # at_b: where B's token j ends
+        at_a, last = 0, len(b) - 1
+        for i, x in enumerate(bytes_a):  # no token has no bytes
+            at_a += len(x)
+            while at_b < at_a:
+                j += 1
+                at_b += len(bytes_b[j])
+            if at_a == at_b:
+                pairs.append(b[j] << 32 | a[i])
+                groups.append(f"{a[i] if i == first_a else ','.join(map(str, a[first_a : i + 1]))}|{b[j] if j == first_b else ','.join(map(str, b[first_b : j + 1]))}")
+                first_a, first_b = i + 1, j + 1
+                if j < last:
+                    j += 1
+                    at_b += len(bytes_b[j])
+        return Chunk(len(a), len(b), ";".join(groups), len(groups), pairs)
 
     def chunks(self, texts: list[str]) -> list[list[Chunk]]:
         known = self.known
@@ -124,8 +131,8 @@ def aligned(docs: DataFrame, a: str, b: bytes) -> DataFrame:
         if not chunks or any(c.groups is None for c in chunks):
             return 0, 0, 0, 0, "", [], [], []
         digest = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest()
-        pairs = np.concatenate([c.pairs for c in chunks])
-        linked, times = np.unique(pairs[:, 1] << 32 | pairs[:, 0], return_counts=True)
+        pairs = np.array([p for c in chunks for p in c.pairs], np.int64)
+        linked, times = np.unique(pairs, return_counts=True)
         return sum(c.a for c in chunks), sum(c.b for c in chunks), sum(c.n_groups for c in chunks), len(pairs), digest, (linked & 0xFFFFFFFF).astype(np.int32), (linked >> 32).astype(np.int32), times.astype(np.int32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
