@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -89,6 +90,16 @@ def test_texts_cut_into_chunks_give_the_tokens_of_whole_texts(tools):
             assert [int(j) for g in joined.split(";") for j in g.split("|")[1].split(",")] == [j for j, _ in each[1]], text
 
 
+def test_encoding_by_ranks_is_taken_only_where_ids_follow_merges(tools):
+    a, b = A.vocabularies(*FILES)
+    aligner = A.Aligner(a, b)
+    spec = json.loads(a)
+    fast = aligner.ranked(spec)
+    assert all(fast(t) == tools[0].encode(t, add_special_tokens=False).ids for t in odd_texts())
+    assert aligner.ranked({**spec, "normalizer": {"type": "NFC"}}) is None
+    assert aligner.ranked({**spec, "model": {**spec["model"], "merges": spec["model"]["merges"][::-1]}}) is None
+
+
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
 
