@@ -157,15 +157,3 @@ UNION ALL SELECT oem || '|' || region || '|ALL', count(*) FROM leaves GROUP BY o
 )
 def hierarchy_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.edges(estate.series(spark, sf)).groupBy("node").agg(F.count("leaf").alias("leaves"))
-
-
-@query()
-def synthetic_sales(spark: SparkSession, sf: str) -> DataFrame:
-    """The made-up estate, mapped and summed; it reads none of the tables."""
-    from datetime import date
-
-    from tidecast.operators import mapping
-    from tidecast.sources import synthetic
-
-    rows = synthetic.sales(spark, date(2024, 12, 1))
-    return mapping.map_facts(rows, synthetic.account_mapping(rows), ("units", "revenue")).groupBy("month", "oem", "region", "product").agg(F.sum("units").alias("units"))
