@@ -1,7 +1,7 @@
 """Operator 9: secret scans by a character convolutional network over candidates and their context.
 
-Candidates are (a) the findings of three fixed patterns, which always stay, and (b) all other runs of 16 or more of ``A-Za-z0-9+/_.=-``
-that overlap no such finding. Each candidate with the characters around it goes through a
+Candidates are (a) the findings of three fixed patterns, which always stay, and (b) what those leave of all runs of ``A-Za-z0-9+/_.=-``, where it has
+16 characters or more, so a key that only touches a finding is read; a hexadecimal or access finding that goes on in further letters or digits is read together with these. Each candidate with the characters around it goes through a
 convolutional network in numpy: embedded characters, one layer of filters of width 5, the greatest value of each filter over
 the candidate and over its context, and a logistic output. A candidate of more than ``BODY`` characters is read in windows of so many, which
 overlap by half, each with the candidate's context; its score is the greatest of them. Size and distinct characters are those of the whole candidate. It is trained on labelled findings: a table of (text, start, end, is_secret),
@@ -36,6 +36,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
 _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+LEAST = 16  # characters of what the patterns leave of a run, for it to be a candidate
 
 BODY, AROUND = 48, 16  # characters of a candidate (of a window, if it is longer) and of the context on either side
 WIDTH, FILTERS, EMBED = 5, 24, 8
@@ -58,15 +60,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    out, k, reach = [], 0, 0  # base spans are in order of their starts; ``reach``: how far those before this run go
+    """What the patterns leave of the runs of 16 or more, where that is 16 or more itself; and letters and digits that go on from a hexadecimal or access finding, with it."""
+    out, k, live = [], 0, []  # base spans are in order of their starts; ``live``: those that may reach into this run
     for m in _RUN.finditer(text):
         start, end = m.span()
         while k < len(base) and base[k][0] < end:
-            reach = max(reach, base[k][1])
+            live.append(base[k])
             k += 1
-        if reach <= start:
-            out.append((start, end))
-    return out
+        live = [x for x in live if x[1] > start]
+        taken, assigned, access, low, high = [], 0, (0, 0), 0, 0
+        for s, e, kind in live:
+            if kind == "assign":
+                assigned = max(assigned, e)
+            else:
+                if kind == "access":
+                    access = (s, e)
+                if not low <= s < high:  # else the letters and digits around it are those of the finding before
+                    low, high = max(s, start), min(e, end)
+                    while low > start and text[low - 1] in _LETTERS:
+                        low -= 1
+                    while high < end and text[high] in _LETTERS:
+                        high += 1
+                if (low, high) != (s, e) and assigned < high and not (access[0] <= low and high <= access[1]):
+                    out.append((low, high))
+                s, e = low, high
+            taken.append((s, e))
+        at = start
+        for s, e in sorted(taken):
+            if s - at >= LEAST:
+                out.append((at, s))
+            at = max(at, e)
+        if end - at >= LEAST:
+            out.append((at, end))
+    return sorted(set(out))
 
 
 # ---------------------------------------------------------------- network
