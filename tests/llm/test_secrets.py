@@ -136,9 +136,8 @@ def test_candidates_against_marks():
 
 
 def test_many_findings_in_one_run():
-    hexes = "0123456789abcdef"
-    assert se.candidates(t := (hexes + "/") * 50_000, se.base_spans(t)) == []
-    assert se.candidates(t := (hexes + "Z") * 50_000, se.base_spans(t)) == [(0, len(t))]
+    for text, want in (("0123456789abcdef/" * 50_000, []), ("0123456789abcdefZ" * 50_000, [(0, 850_000)])):
+        assert se.candidates(text, se.base_spans(text)) == want
 
 
 def keys(n, seed, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
