@@ -44,6 +44,42 @@ def test_small_pages(page, text):
     assert _text(page) == text
 
 
+REAL = "<h1>Title</h1><p>The first paragraph of the article.</p><p>And its second one, a little longer.</p>"
+MENU = "<nav><a href=1>One</a></nav><div class='sidebar'><p>Side</p></div>"
+WANT = "Title\n\nThe first paragraph of the article.\n\nAnd its second one, a little longer."
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<article class="post hentry has-comments">{REAL}</article>',
+        f'<main class="with-sidebar">{REAL}</main>',
+        f'<div class="layout no-sidebar"><article>{REAL}</article></div>',
+        f'<div class="share-enabled"><article>{REAL}</article></div>',
+        f'<div class="ad-supported"><article>{REAL}</article></div>',
+        f'<article class="post category-notices tag-ads">{REAL}</article>',
+        f'<div id="sidebar-wrapper"><article>{REAL}</article></div>',
+        f'<div class="menuBarOpen"><div class="content">{REAL}</div></div>',
+        f'<div class="promo">{REAL}</div>',
+        f'<div class="overlay"><main>{REAL}</main><div class="comments"><p>I say.</p></div></div>',
+        f'<form id="aspnetForm"><article>{REAL}</article><input></form>',
+        f'<div class="layout-sidebar-right"><article>{REAL}</article><section id="comments"><article><p>{"A long comment. " * 40}</p></article></section></div>',
+        f'<main><article>{REAL}</article><section class="comment-list"><p>{"A long comment. " * 40}</p></section></main>',
+        f'<main><div class="post-content">{REAL}</div><div class="related"><p>{"Read this. " * 40}</p></div></main>',
+        f'<div class="post-content">{REAL}</div><div id="comments"><p>{"A long comment. " * 40}</p></div>',
+    ],
+)
+def test_names_count_less_than_content(body):
+    assert _text(f"<body>{MENU}{body}<footer>End</footer></body>") == WANT
+
+
+@pytest.mark.parametrize("name", "sidebar related-posts comments-area cookie-banner newsletter-signup share-buttons ad-slot site-footer page-footer sidebar-left main-menu breadcrumbs".split())
+def test_names_of_furniture_still_tell(name):
+    assert _text(f'<body><article>{REAL}</article><div class="{name}"><p>Gone.</p></div></body>') == WANT
+    assert _text(f'<body><article>{REAL}<div class="{name}"><p>Gone.</p></div></article></body>') == WANT
+    assert _text(f'<body><div class="{name}"><p>Gone.</p></div>{REAL}</body>') == WANT
+
+
 PLAIN = "<body><div><a href=1>Home</a> <a href=2>News</a></div><div>Site name %s</div><p>Real text %s here.</p><p>Other %s text.</p><p>A third one, %s.</p><div>Write to us</div></body>"
 
 

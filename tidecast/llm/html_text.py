@@ -3,7 +3,8 @@
 1. A page is cut into lines, one for each block: character references decoded, white space turned into one space, trimmed. Scripts, styles, forms, comments in the
    markup and hidden parts give no lines. A line knows whether it stands in a container of the article (``article``, ``main`` or an element
    that is named so) and whether it stands in a part that is furniture by its element, role, class or id (menus, headers, footers, sidebars, notices,
-   adverts, reader comments), and which share of it is link text.
+   adverts, reader comments), and which share of it is link text. Names count less than content: a name that tells a state, a facet or a layout (``has-comments``, ``no-sidebar``, ``category-notices``)
+   tells nothing, and an element that holds the page's article, or most of its paragraphs where none stands elsewhere, is no furniture whatever it is named.
 2. Pages of a host are ordered by folder and path of the URL (without www., scheme, query, fragment, closing slash and extension); every page is paired with the
    pages before and after it. All lines of a pair are aligned by longest common subsequence, and lines that both share are deleted: they are the site's,
    not the page's. Pages whose lines outside furniture are all equal are copies of each other and tell nothing, and so is a page alone on its host.
@@ -56,6 +57,14 @@ CONTAINERS = frozenset("article post entry content main story maincontent postbo
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt tr table caption figcaption".split())
 # Names of the article's own head or foot: furniture only outside it.
 EDGES = frozenset("header footer".split())
+# Names of what readers wrote: never the text only because it is most of a page.
+READERS = frozenset("comment comments commentlist respond reply replies responses discussion disqus".split())
+# Words that make a name tell how an element is or looks, not what it is: anywhere in the name, as its first word, as its last.
+STATES = frozenset("has have no not with without is can show hide hides".split())
+FACETS = frozenset("category categories cat tag tags topic type format status".split())
+ENDINGS = frozenset("enabled disabled supported open opened closed off none layout template".split())
+# What an element that its name alone calls furniture may hold, to be none: 2 an article or a main element, 1 an element named as a container.
+STRONG, LOOSE = 2, 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -63,17 +72,27 @@ _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-def _flags(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
-    """Whether an element is furniture, and what it is a container of: 2 an article, 1 perhaps more than that, 0 nothing; ``inside``: what it stands in."""
-    drop = tag in FURNITURE or (tag == "header" and not inside)
+def _tells(words: list[str], names: frozenset[str]) -> bool:
+    """Whether a name of these words says that its element is one of ``names``: it has such a word, and none that makes it a state, a facet or a layout."""
+    if not any(w in names for w in words) or (len(words) > 1 and (words[0] in FACETS or words[-1] in ENDINGS)):
+        return False
+    return not any(w in STATES for w in words)
+
+
+def _flags(tag: str, attributes: str, inside: int) -> tuple[bool, int, int, int]:
+    """Whether an element is furniture for certain; by its name (1, 2 readers' comments, 3 a form, else 0); what it is a container of, 2 an article, 1 perhaps more
+    than that, 0 nothing; and how sure its content is the text (``STRONG``, ``LOOSE``, 0). ``inside``: what it stands in."""
+    drop = (tag in FURNITURE and tag != "form") or (tag == "header" and not inside)
+    soft = 3 if tag == "form" else 0
     hold = 2 if tag == "article" else int(tag == "main")
+    core = STRONG if hold else 0
     if "=" not in attributes and "hidden" not in attributes:
-        return drop, hold
+        return drop, soft, hold, core
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", "")):
-        return True, 0
+        return True, 0, 0, 0
     if tag in ("html", "body"):
-        return drop, hold
+        return drop, soft, hold, core
     if got.get("role", "").lower() in ROLES:
         drop = True
     for value in (got.get("class", ""), got.get("id", "")):
@@ -81,15 +100,69 @@ def _flags(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
             words = _NAME.findall(_CAMEL.sub(r"\1-\2", name).lower())
             if not words:
                 continue
-            if any(w in NAMES for w in words) or (not inside and not hold and any(w in EDGES for w in words)):
-                drop = drop or not (hold and words[-1] in CONTAINERS)
+            if _tells(words, NAMES) or (not inside and not hold and _tells(words, EDGES)):
+                if not (hold and words[-1] in CONTAINERS):
+                    soft = max(soft, 2 if any(w in READERS for w in words) else 1)
             elif words[-1] in CONTAINERS or "".join(words) in CONTAINERS:
                 hold = max(hold, int(tag in ("div", "section", "td")))
     if got.get("itemprop") == "articleBody" or got.get("role") == "article":
-        hold = 2
+        hold, core = 2, STRONG
     elif got.get("role") == "main":
-        hold = max(hold, 1)
-    return drop, 0 if drop else hold
+        hold, core = max(hold, 1), STRONG
+    return drop, soft, hold, 0 if drop or soft else max(core, min(hold, LOOSE))
+
+
+class Elements:
+    """The elements of a page that make lines or take them away, in page order: each after the one that it stands in."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, bool, int, int, int]] = [(0, False, 0, 0, 0)]  # element around it, certain, by name, container, core
+        self.prose: list[int] = [0]  # characters of its own paragraphs that aren't mostly links
+
+    def add(self, around: int, flags: tuple[bool, int, int, int]) -> int:
+        self.rows.append((around, *flags))
+        self.prose.append(0)
+        return len(self.rows) - 1
+
+    def spared(self) -> set[int]:
+        """Elements that their names alone call furniture, but that hold the text. If an element sure to be the text stands outside all furniture, there are none. Else, of
+        those in no certain furniture, the surest with the longest prose is the text, if it is an article or main element or has most of the page's prose, and so is what has most of
+        the page's prose itself, if it is no form and not what readers wrote; elements around the text are spared."""
+        if not any(soft for _, _, soft, _, _ in self.rows):
+            return set()
+        n = len(self.rows)
+        sure, named, prose = [False] * n, [False] * n, list(self.prose)
+        for k, (around, drop, soft, _, _) in enumerate(self.rows):
+            sure[k], named[k] = drop or (k > 0 and sure[around]), bool(soft) or (k > 0 and named[around])
+            if sure[k]:
+                prose[k] = 0
+        for k in range(n - 1, 0, -1):
+            prose[self.rows[k][0]] += prose[k]
+        cores = [(core, prose[k], -k) for k, (*_, core) in enumerate(self.rows) if core and not sure[k] and prose[k]]
+        clean = max((c[0] for c in cores if not named[-c[2]]), default=0)
+        if clean and any(self.rows[-c[2]][3] == 2 or 2 * c[1] > prose[0] for c in cores if not named[-c[2]]):
+            inner = [(0, 0, 0)]
+        else:
+            inner = [max((c for c in cores if c[0] > clean and (c[0] == STRONG or 2 * c[1] > prose[0])), default=(0, 0, 0))]
+            inner += [(0, prose[k], -k) for k, (_, _, soft, _, _) in enumerate(self.rows) if soft == 1 and not sure[k] and 2 * prose[k] > prose[0]]
+        out = set()
+        for *_, k in inner:
+            k = -k
+            while k:
+                if self.rows[k][2]:
+                    out.add(k)
+                k = self.rows[k][0]
+        return out
+
+    def resolved(self) -> tuple[list[bool], list[int]]:
+        """Of each element whether it stands in furniture, and the container that it stands in."""
+        spared, drops, holds = self.spared(), [False], [0]
+        for k in range(1, len(self.rows)):
+            around, drop, soft, hold, _ = self.rows[k]
+            drop = drop or (soft > 0 and k not in spared)
+            drops.append(drop or drops[around])
+            holds.append(max(holds[around], 0 if drop else hold))
+        return drops, holds
 
 
 Line = tuple[str, int, bool, float, bool]
@@ -97,8 +170,9 @@ Line = tuple[str, int, bool, float, bool]
 
 def lines_of(page: str) -> list[Line]:
     """(text, container, furniture, share of link text, whether it stands in an element of ``PROSE``) of each block with text, in page order."""
-    out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, furniture and container so far
+    found: list[tuple[str, int, float, bool]] = []
+    elements = Elements()
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # element, its place among ``elements``, container so far
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -107,8 +181,11 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            tag, drop, hold = stack[-1]
-            out.append((text, hold, drop, min(1.0, linked / (len(text) - text.count(" "))), tag in PROSE))
+            tag, at_element, _ = stack[-1]
+            link = min(1.0, linked / (len(text) - text.count(" ")))
+            found.append((text, at_element, link, tag in PROSE))
+            if tag in PROSE and link < 0.5:
+                elements.prose[at_element] += len(text)
         linked = 0
 
     at = 0
@@ -162,12 +239,13 @@ def lines_of(page: str) -> list[Line]:
         if tag == "a":
             links += 1
             continue
-        _, drop, hold = stack[-1]
-        more_drop, more_hold = _flags(tag, attributes, hold)
-        if tag in BLOCKS or more_drop:
-            stack.append((tag, drop or more_drop, max(hold, more_hold)))
+        _, around, hold = stack[-1]
+        flags = _flags(tag, attributes, hold)
+        if tag in BLOCKS or flags[0] or flags[1]:
+            stack.append((tag, elements.add(around, flags), max(hold, 0 if flags[0] else flags[2])))
     flush()
-    return out
+    drops, holds = elements.resolved()
+    return [(text, holds[k], drops[k], link, prose) for text, k, link, prose in found]
 
 
 def common(a: list[str], b: list[str]) -> np.ndarray:
