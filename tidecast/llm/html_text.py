@@ -126,29 +126,28 @@ class Elements:
 
     def spared(self) -> set[int]:
         """Elements that their names alone call furniture, but that hold the text. If an element sure to be the text stands outside all furniture, there are none. Else, of
-        those in no certain furniture, the surest with the longest prose is the text, if it is an article or main element or has most of the page's prose, and so is what has most of
+        those in no certain furniture, the surest with the longest prose (readers' comments last) is the text, if it is an article or main element or has most of the page's prose, and so is what has most of
         the page's prose itself, if it is no form and not what readers wrote; elements around the text are spared."""
         if not any(soft for _, _, soft, _, _ in self.rows):
             return set()
         n = len(self.rows)
-        sure, named, prose = [False] * n, [False] * n, list(self.prose)
+        sure, named, readers, prose = [False] * n, [False] * n, [False] * n, list(self.prose)
         for k, (around, drop, soft, _, _) in enumerate(self.rows):
-            sure[k], named[k] = drop or (k > 0 and sure[around]), bool(soft) or (k > 0 and named[around])
+            sure[k], named[k], readers[k] = drop or (k > 0 and sure[around]), bool(soft) or (k > 0 and named[around]), soft == 2 or (k > 0 and readers[around])
             if sure[k]:
                 prose[k] = 0
         for k in range(n - 1, 0, -1):
             prose[self.rows[k][0]] += prose[k]
-        cores = [(core, prose[k], -k) for k, (*_, core) in enumerate(self.rows) if core and not sure[k] and prose[k]]
-        clean = max((c[0] for c in cores if not named[-c[2]]), default=0)
-        if clean and any(self.rows[-c[2]][3] == 2 or 2 * c[1] > prose[0] for c in cores if not named[-c[2]]):
-            inner = [(0, 0, 0)]
-        else:
-            inner = [max((c for c in cores if c[0] > clean and (c[0] == STRONG or 2 * c[1] > prose[0])), default=(0, 0, 0))]
-            inner += [(0, prose[k], -k) for k, (_, _, soft, _, _) in enumerate(self.rows) if soft == 1 and not sure[k] and 2 * prose[k] > prose[0]]
+        cores = [(core, not readers[k], prose[k], -k) for k, (*_, core) in enumerate(self.rows) if core and not sure[k] and prose[k]]
+        clean = [c for c in cores if not named[-c[-1]]]
+        if any(self.rows[-c[-1]][3] == 2 or 2 * c[2] > prose[0] for c in clean):
+            return set()
+        least = max((c[0] for c in clean), default=0)
+        inner = [-max((c for c in cores if c[0] > least and (c[0] == STRONG or 2 * c[2] > prose[0])), default=(0,))[-1]]
+        inner += [k for k, (_, _, soft, _, _) in enumerate(self.rows) if soft == 1 and not sure[k] and 2 * prose[k] > prose[0]]
         out = set()
-        for *_, k in inner:
-            k = -k
-            while k:
+        for k in inner:
+            while k and k not in out:
                 if self.rows[k][2]:
                     out.add(k)
                 k = self.rows[k][0]
