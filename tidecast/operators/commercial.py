@@ -137,7 +137,7 @@ def uplift(pipeline: DataFrame, nodes: DataFrame, slip: DataFrame, delay: DataFr
     rows = pipeline.select("opportunity_id", "product", "stage", "win_prob", "rep_probability", "qty_adj", F.greatest("ramp_months", F.lit(1)).alias("ramp"), months_between(F.col("expected_close_month"), asof).alias("due"))
     s = slip.select("stage", F.col("at").alias("slip"), F.col("p").alias("ps"))
     d = delay.select("product", F.col("at").alias("wait"), F.col("p").alias("pd"))
-    first = rows.join(F.broadcast(s), "stage").join(F.broadcast(d), "product")  # a dozen steps for each stage, seven for each product
+    first = rows.join(F.broadcast(s), "stage").join(d, "product")  # a dozen steps for each stage; products may be many
     first = first.withColumn("k", F.greatest(F.col("due") + F.col("slip"), F.lit(1)) + F.col("wait"))
     own = ["opportunity_id", "product", "stage", "win_prob", "rep_probability", "qty_adj", "ramp"]
     chance = first.groupBy(*own, "k").agg(steady_sum(F.col("ps") * F.col("pd")).alias("p")).filter(F.col("k") <= horizon)
@@ -164,7 +164,7 @@ def uplift_samples(pipeline: DataFrame, nodes: DataFrame, slip: DataFrame, delay
         return steps.select(key, F.expr("transform(sequence(1, size(s)), i -> struct(s[i - 1].at as at, aggregate(slice(s, 1, i), 0D, (t, x) -> t + x.p) as c))").alias(name))
 
     rows = pipeline.select("opportunity_id", "product", "stage", "win_prob", "qty_adj", F.greatest("ramp_months", F.lit(1)).alias("ramp"), months_between(F.col("expected_close_month"), asof).alias("due"))
-    rows = rows.join(F.broadcast(cumulative(slip, "stage", "_slip")), "stage").join(F.broadcast(cumulative(delay, "product", "_delay")), "product")
+    rows = rows.join(F.broadcast(cumulative(slip, "stage", "_slip")), "stage").join(cumulative(delay, "product", "_delay"), "product")
     rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     draw = lambda k: _even(F.col("opportunity_id"), F.col("sample"), F.lit(seed), F.lit(k))
     pick = lambda steps, u: F.coalesce(F.filter(steps, lambda x: x["c"] >= u)[0]["at"], F.element_at(steps, -1)["at"])
