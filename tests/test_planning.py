@@ -218,7 +218,8 @@ def _one_by_one(plan, overrides):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_overlapping_overrides_bind_by_depth_and_id(spark, seed):
+@pytest.mark.parametrize("classes", [governance.CLASSES, 0])  # by classes of leaves, by turns
+def test_overlapping_overrides_bind_by_depth_and_id(spark, seed, classes):
     import random
 
     r = random.Random(seed)
@@ -226,7 +227,7 @@ def test_overlapping_overrides_bind_by_depth_and_id(spark, seed):
     some = lambda values: r.choice([*values, "ALL", "ALL"])
     overrides = [(k, some("AB"), some("XYZ"), some("PQR"), M[r.choice((1, 2))], float(r.choice([50, 200, 600, 2000])), "OTHER", f"u{k}") for k in r.sample(range(100), 25)]
     df = spark.createDataFrame([(*k, v) for k, v in plan.items()], "oem string, region string, product string, month date, ai_units double")
-    out, conflicts = governance.consensus(df, spark.createDataFrame(overrides, OVERRIDE))
+    out, conflicts = governance.consensus(df, spark.createDataFrame(overrides, OVERRIDE), classes)
     value, pin, bad = _one_by_one(plan, overrides)
     rows = {(x.oem, x.region, x.product, x.month): x for x in out.collect()}
     assert rows.keys() == plan.keys()
@@ -235,6 +236,25 @@ def test_overlapping_overrides_bind_by_depth_and_id(spark, seed):
     assert {x.override_id: x.residual if x.residual is None else round(x.residual, 5) for x in conflicts.collect()} == {k: v if v is None else round(v, 5) for k, v in bad.items()}
 
 
+def test_many_alternating_overrides_take_a_fixed_number_of_jobs(spark):
+    plan = {(f"o{o}", f"r{g}", f"p{p}", M[1]): float((o * 7 + g * 5 + p * 3) % 11) for o in range(40) for g in range(10) for p in range(40)}
+    df = spark.createDataFrame([(*k, v) for k, v in plan.items()], "oem string, region string, product string, month date, ai_units double")
+
+    def jobs(n, group):
+        overrides = [(k, f"o{k // 2 % 40}" if k % 2 else "ALL", "ALL", "ALL" if k % 2 else f"p{k // 2 % 40}", M[1], 900.0 + k, "OTHER", f"u{k}") for k in range(n)]
+        spark.sparkContext.setJobGroup(group, group)
+        out, conflicts = governance.consensus(df, spark.createDataFrame(overrides, OVERRIDE))
+        got = {(x.oem, x.region, x.product, x.month): x.consensus_units for x in out.collect()}
+        bad = {x.override_id for x in conflicts.collect()}
+        value, _, expected = _one_by_one(plan, overrides)
+        assert {k: round(v, 4) for k, v in got.items()} == {k: round(v, 4) for k, v in value.items()} and bad == expected.keys()
+        ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return ran
+
+    assert jobs(80, "many") <= jobs(4, "few") + 3
+
+
 def test_value_added(spark):
     rows = [("R1", "A", "X", "P", M[k], 1, 100.0, 115.0, 60.0, k == 0, "u", "OTHER") for k in range(12)]
     frozen = spark.createDataFrame(rows, "run_id string, oem string, region string, product string, month date, horizon int, ai_units double, consensus_units double, naive_units double, overridden boolean, user_id string, reason_code string")

@@ -26,6 +26,9 @@ STATES = ("OPEN", "FORECASTED", "CONSENSUS", "LOCKED")
 DRAWS, LEAST_DRAWN = 400, 12
 #: Rows that are drawn in one task, about, and children of a node of the tree that deals draws to them.
 DRAWN_TOGETHER, FAN = 1000, 256
+#: Classes of leaves of one month that one group may hold; months of more bind by turns.
+CLASSES = 1_000_000
+NO_LEAVES, NONE_FREE, BELOW = "no leaves under the node", "no leaf is free and totals differ", "below the sum of finer overrides"
 
 
 # ---------------------------------------------------------------- overrides
@@ -90,7 +93,7 @@ def rounds(overrides: DataFrame) -> DataFrame:
     """``overrides`` with ``turn``: what binds together, since within a month the nodes of a turn do not overlap.
 
     Finer nodes come first. Nodes of the two finest levels overlap only if they are equal, so there a turn is a level and how often its node came before. Coarser nodes (regions, oems, products, the
-    total) may overlap, so there a new turn also begins where, by id, other dimensions are named. Only these, a few for each month, are ordered by month."""
+    total) may overlap, so there a new turn also begins where, by id, other dimensions are named. Only these are ordered by month."""
     dims = F.concat_ws(",", *(F.when(F.col(d) != ALL, d) for d in DIMS))
     again = F.row_number().over(Window.partitionBy(*DIMS, "month").orderBy("override_id")) - 1
     rows = overrides.withColumns({"_dims": dims, "_depth": depth_of(level_of(*(F.col(d) for d in DIMS))), "_again": again})
@@ -102,20 +105,10 @@ def rounds(overrides: DataFrame) -> DataFrame:
     return out.withColumn("turn", F.struct((-F.col("_depth")).alias("depth"), F.col("_run").alias("run"), F.col("_dims").alias("dims"))).drop("_dims", "_depth", "_again", "_run")
 
 
-def consensus(plan: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plan, conflicts): ``plan`` (oem, region, product, month, ai_units and more) with consensus_units, overridden, reason_code, user_id; conflicts (override_id, reason, residual).
-
-    Overrides (override_id, oem, region, product, month, override_units, reason_code, user_id) bind the finest first, of equal depth by id. One shares what its node's total leaves
-    after finer overrides among the leaves that are still free, in proportion to their forecast (evenly if that is zero). One whose node has no leaves, no free leaves (with another total), or
-    less than its leaves already hold, is a conflict and binds nothing.
-    Each turn of overrides that do not overlap is a join with the leaves and a sum by override, for all months at once; states of turns are checkpointed."""
-    leaf = [*DIMS, "month"]
-    turns = checkpointed(rounds(overrides))
-    months = turns.select("month").distinct()
-    state = plan.select(*leaf, F.col("ai_units").cast("double").alias("ai")).join(months, "month", "left_semi")
-    state = state.withColumns({"value": F.col("ai"), "pin": F.lit(None).cast(overrides.schema["override_id"].dataType)})
-    conflicts = []
-    for turn in sorted(r[0] for r in turns.select("turn").distinct().collect()):  # a few kinds
+def _by_turns(state: DataFrame, turns: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The state after ``turns``, and conflicts: each turn is a join with the leaves and a sum by override, for all months at once; states are checkpointed."""
+    leaf, conflicts = [*DIMS, "month"], []
+    for turn in sorted(r[0] for r in turns.select("turn").distinct().collect()):
         keys = [*(d for d in turn["dims"].split(",") if d), "month"]
         now = turns.filter(reduce(lambda x, y: x & y, (F.col(f"turn.{k}") == turn[k] for k in ("depth", "run", "dims")))).select("override_id", *keys, "override_units")
         free = F.col("pin").isNull()
@@ -125,18 +118,95 @@ def consensus(plan: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFra
         )
         sums = checkpointed(sums.withColumn("left", F.col("override_units") - F.col("held")))
         broken = (
-            F.when(F.col("leaves") == 0, "no leaves under the node")
-            .when((F.col("free") == 0) & (F.abs("left") > 1e-6), "no leaf is free and totals differ")
-            .when((F.col("free") > 0) & (F.col("left") < -1e-9), "below the sum of finer overrides")
+            F.when(F.col("leaves") == 0, NO_LEAVES)
+            .when((F.col("free") == 0) & (F.abs("left") > 1e-6), NONE_FREE)
+            .when((F.col("free") > 0) & (F.col("left") < -1e-9), BELOW)
         )
         conflicts.append(sums.select("override_id", broken.alias("reason"), F.when(F.col("leaves") > 0, F.col("left")).alias("residual")).filter("reason is not null"))
         binding = sums.filter("free > 0 and left >= -1e-9").select(F.col("override_id").alias("_id"), *keys, "left", "open", "free")
-        share = F.when(F.col("open") > 1e-12, F.col("ai") / F.col("open")).otherwise(1 / F.col("free"))
-        takes = F.col("pin").isNull() & F.col("_id").isNotNull()
-        state = state.join(binding, keys, "left").select(
-            *leaf, "ai", F.when(takes, F.col("left") * share).otherwise(F.col("value")).alias("value"), F.when(takes, F.col("_id")).otherwise(F.col("pin")).alias("pin")
-        )
-        state = checkpointed(state)
+        state = checkpointed(_bound(state.join(binding, keys, "left"), leaf))
+    return state, conflicts
+
+
+def _bound(rows: DataFrame, leaf: list[str]) -> DataFrame:
+    """Leaves with the override (_id, left, open, free) that takes them if they are free."""
+    share = F.when(F.col("open") > 1e-12, F.col("ai") / F.col("open")).otherwise(1 / F.col("free"))
+    takes = F.col("pin").isNull() & F.col("_id").isNotNull()
+    return rows.select(*leaf, "ai", F.when(takes, F.col("left") * share).otherwise(F.col("value")).alias("value"), F.when(takes, F.col("_id")).otherwise(F.col("pin")).alias("pin"))
+
+
+def _bind_classes(key: tuple, classes: pd.DataFrame, overrides: pd.DataFrame) -> pd.DataFrame:
+    """A month's coarse overrides in their order over its classes of leaves: a row for each class and override that takes it, and for each conflict. Sums are of whole billionths."""
+    classes = classes.sort_values([f"_{d}" for d in DIMS], ignore_index=True)
+    leaves, free = classes["leaves"].to_numpy(np.int64), classes["free"].to_numpy(np.int64)
+    held, open_ = (np.array([int(x) for x in classes[c]], object) for c in ("held", "open"))
+    members = [classes.groupby(f"_{d}").indices for d in DIMS]
+    none, out = np.zeros(0, np.int64), []
+    for o in overrides.sort_values("_order").itertuples(index=False):
+        own = [members[i].get(getattr(o, d), none) for i, d in enumerate(DIMS) if getattr(o, d) != ALL]
+        rows = reduce(np.intersect1d, own) if own else np.arange(len(classes))
+        taken = rows[free[rows] > 0]
+        left, n = o.override_units - int(held[rows].sum()) / 1e9, int(free[taken].sum())
+        reason = NO_LEAVES if not len(rows) else (NONE_FREE if abs(left) > 1e-6 else None) if not n else BELOW if left < -1e-9 else None
+        if reason:
+            out.append((None, None, None, o.override_id, left if len(rows) else None, None, None, reason))
+        if reason or not n:
+            continue
+        total = int(open_[taken].sum()) / 1e9
+        for c in taken.tolist():
+            out.append((*(classes.at[c, f"_{d}"] for d in DIMS), o.override_id, left, total, float(n), None))
+            share = int(open_[c]) / 1e9 / total if total > 1e-12 else int(free[c]) / n
+            held[c], free[c], open_[c] = held[c] + int(np.floor(left * share * 1e9)), 0, 0
+    found = pd.DataFrame(out, columns=[*(f"_{d}" for d in DIMS), "_id", "left", "open", "free", "reason"])
+    found.insert(0, "month", key[0])
+    return found
+
+
+def _by_classes(state: DataFrame, coarse: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The state after coarse overrides, and conflicts, in a number of jobs that does not depend on theirs.
+
+    Leaves of a month that the same overrides cover are one class, which is summed once. The order of overrides is run over the classes, a month in a group, and what takes a class is joined back
+    to its leaves. Months of more than ``most`` classes go by turns, with the same result."""
+    leaf, names = [*DIMS, "month"], [f"_{d}" for d in DIMS]
+    for d in DIMS:
+        named = coarse.filter(F.col(d) != ALL).select("month", d, F.col(d).alias(f"_{d}")).distinct()
+        state = state.join(named, ["month", d], "left").withColumn(f"_{d}", F.coalesce(f"_{d}", F.lit(ALL)))
+    free, billionths = F.col("pin").isNull(), lambda c: F.sum(F.floor(c * 1e9).cast("decimal(38,0)"))
+    classes = state.join(coarse.select("month").distinct(), "month", "left_semi").groupBy("month", *names).agg(
+        F.count(F.lit(1)).alias("leaves"), F.count_if(free).alias("free"),
+        billionths(F.when(~free, F.col("value")).otherwise(0.0)).alias("held"), billionths(F.when(free, F.col("ai")).otherwise(0.0)).alias("open"),
+    )
+    classes = checkpointed(classes)
+    large = classes.groupBy("month").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("month")
+    by_order = Window.partitionBy("month").orderBy(F.col("turn.depth"), "override_id")
+    listed = coarse.join(large, "month", "left_anti").select("month", *DIMS, "override_id", F.col("override_units").cast("double").alias("override_units"), F.row_number().over(by_order).alias("_order"))
+    id_type, month = coarse.schema["override_id"].dataType.simpleString(), coarse.schema["month"].dataType.simpleString()
+    schema = f"month {month}, " + ", ".join(f"{n} string" for n in names) + f", _id {id_type}, left double, open double, free double, reason string"
+    small = classes.join(large, "month", "left_anti")
+    found = checkpointed(small.groupBy("month").cogroup(listed.groupBy("month")).applyInPandas(_bind_classes, schema))
+    conflicts = [found.filter("reason is not null").select(F.col("_id").alias("override_id"), "reason", F.col("left").alias("residual"))]
+    state = checkpointed(_bound(state.join(found.filter("reason is null").drop("reason"), ["month", *names], "left"), leaf))
+    state, late = _by_turns(state, coarse.join(large, "month", "left_semi"))
+    return state, conflicts + late
+
+
+def consensus(plan: DataFrame, overrides: DataFrame, classes: int = CLASSES) -> tuple[DataFrame, DataFrame]:
+    """(plan, conflicts): ``plan`` (oem, region, product, month, ai_units and more) with consensus_units, overridden, reason_code, user_id; conflicts (override_id, reason, residual).
+
+    Overrides (override_id, oem, region, product, month, override_units, reason_code, user_id) bind the finest first, of equal depth by id. One shares what its node's total leaves
+    after finer overrides among the leaves that are still free, in proportion to their forecast (evenly if that is zero). One whose node has no leaves, no free leaves (with another total), or
+    less than its leaves already hold, is a conflict and binds nothing.
+    Overrides of the two finest levels overlap only where nodes are equal, so a turn of joins binds nearly all of a level; coarser ones, which overlap at will, are ordered over classes of leaves (at most ``classes`` a month in one group)."""
+    leaf = [*DIMS, "month"]
+    turns = checkpointed(rounds(overrides))
+    months = turns.select("month").distinct()
+    state = plan.select(*leaf, F.col("ai_units").cast("double").alias("ai")).join(months, "month", "left_semi")
+    state = state.withColumns({"value": F.col("ai"), "pin": F.lit(None).cast(overrides.schema["override_id"].dataType)})
+    state, conflicts = _by_turns(state, turns.filter("turn.depth <= -2"))
+    coarse = turns.filter("turn.depth > -2")
+    if not coarse.isEmpty():
+        state, more = _by_classes(state, coarse, classes)
+        conflicts += more
     given = overrides.select(F.col("override_id").alias("pin"), "reason_code", "user_id")
     new = state.filter("pin is not null").join(given, "pin").select(*leaf, F.col("value").alias("consensus_units"), F.lit(True).alias("overridden"), "reason_code", "user_id")
     out = plan.drop("consensus_units", "overridden", "reason_code", "user_id").join(new, leaf, "left")
