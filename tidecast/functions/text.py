@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,15 +20,41 @@ GENERIC = (
     "group", "holding", "holdings", "trading", "manufacturing", "mfg", "plant", "assembly", "division", "services", "svc", "solutions", "automotive",
     "industry", "computer", "technologies", "technology", "electronics", "usa", "us", "china", "japan", "germany", "ireland",
 )
-# Letters with marks of Latin-1 and Latin Extended-A whose plain letter is known; others are dropped.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _decompositions() -> dict[str, str]:
+    """Characters beyond ASCII whose compatibility decomposition (NFKD) has ASCII in it, and that ASCII."""
+    marked = (chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    plain = ((c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in marked)
+    return {c: p for c, p in plain if p}
+
+
+@functools.cache
+def _tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters that become one each, what they become, and for each place of longer decompositions the characters that reach it and what stands there."""
+    found = _decompositions()
+    one = [c for c, p in found.items() if len(p) == 1]
+    longer = {c: p for c, p in found.items() if len(p) > 1}
+    places = []
+    for i in range(max(map(len, longer.values()))):
+        reach = [c for c, p in longer.items() if len(p) > i]
+        places.append(("".join(reach), "".join(longer[c][i] for c in reach)))
+    return "".join(one), "".join(found[c] for c in one), places
+
+
+def to_ascii(text: Column) -> Column:
+    """``text`` with each character decomposed for compatibility (NFKD: letters without marks, ligatures, full-width forms, numerals), what is not ASCII then dropped. Only texts with characters of several letters are taken apart."""
+    one, plain, places = _tables()
+    some = places[0][0]
+    spelled = lambda c: F.concat(*(F.when(F.contains(F.lit(chars), c), F.translate(c, chars, to)).otherwise(F.lit("")) for chars, to in places))
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.when((c != "") & F.contains(F.lit(some), c), spelled(c)).otherwise(c)), "")
+    whole = F.when(text.rlike(f"[{some}]"), apart).otherwise(text)
+    return F.regexp_replace(F.translate(whole, one, plain), r"[^\x00-\x7F]", "")
 
 
 def normalize_name(name: Column) -> Column:
-    """Lower case without marks, punctuation and legal forms; words with one space between. Null gives the empty name."""
-    plain = F.translate(F.lower(F.coalesce(name, F.lit(""))), _MARKED, _PLAIN)
-    plain = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    """Lower case without marks (by ``to_ascii``), punctuation and legal forms; words with one space between. Null gives the empty name."""
+    plain = F.lower(to_ascii(F.coalesce(name, F.lit(""))))
     words = F.split(F.trim(F.regexp_replace(F.replace(plain, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")), " ")
     return F.array_join(F.filter(words, lambda w: ~w.isin(*LEGAL) & (w != "")), " ")
 

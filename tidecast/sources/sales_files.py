@@ -8,11 +8,15 @@ import tempfile
 import zipfile
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import to_month
+from tidecast.functions.text import code
+from tidecast.sources.tables import checkpointed
 
+#: What may divide and enclose fields, the likeliest first, and how many lines of a file tell.
+DELIMITERS, QUOTES, SNIFFED = (",", "\t", ";", "|"), ('"', "'"), 1000
 LIMIT_SERIES, LEAST_MONTHS, GOOD_MONTHS, BAD_DATES = 600, 18, 30, 0.05
 
 # The fields of each kind of file, and the headers that they go by.
@@ -40,14 +44,45 @@ HEADERS = {
 }
 
 
-def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """A table by its file's ending: Parquet, or text with a header (tab-separated for .tsv); ``rows`` limits a preview."""
+def dialects(lines: DataFrame, file: str = "file", line: str = "line") -> DataFrame:
+    """file, delimiter, quote, fields, share: how each file's lines are divided, of ``DELIMITERS`` and ``QUOTES``.
+
+    A line's fields are counted outside quoted ones (those that begin and end beside a delimiter or the line's ends). The best pair is that by which most lines have the file's commonest number of
+    fields, two or more; then that with more quoted lines, with more fields, the first named. A file that nothing divides has commas, one field. Empty lines tell nothing."""
+    rows = lines.filter(F.trim(F.coalesce(line, F.lit(""))) != "").select(F.col(file).alias("file"), F.regexp_replace(line, r"\r$", "").alias("line"))
+    tried = []
+    for i, d in enumerate(DELIMITERS):
+        for j, q in enumerate(QUOTES):
+            at = re.escape(d)
+            quoted = rf"(?<=^|{at}){q}(?:[^{q}]|{q}{q})*{q}(?=$|{at})"
+            bare = F.regexp_replace("line", quoted, "")
+            fields = F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1
+            tried.append(F.struct(F.lit(i * len(QUOTES) + j).alias("place"), F.lit(d).alias("delimiter"), F.lit(q).alias("quote"), fields.alias("fields"), F.col("line").rlike(quoted).cast("long").alias("quoted")))
+    each = rows.select("file", F.explode(F.array(*tried)).alias("t")).select("file", "t.*")
+    counts = each.groupBy("file", "place", "delimiter", "quote", "fields").agg(F.count(F.lit(1)).alias("n"), F.sum("quoted").alias("quoted"))
+    pairs = counts.groupBy("file", "place", "delimiter", "quote").agg(
+        F.max(F.struct("n", "fields")).alias("most"), F.sum("n").alias("lines"), F.sum("quoted").alias("quoted")
+    )
+    divides = F.col("most.fields") > 1
+    share = F.when(divides, F.col("most.n") / F.col("lines")).otherwise(0.0)
+    best = F.max_by(F.struct("delimiter", "quote", F.col("most.fields").alias("fields"), (F.col("most.n") / F.col("lines")).alias("share"), divides.alias("divides")), F.struct(share, F.when(divides, F.col("quoted")).otherwise(0), "most.fields", -F.col("place")))
+    found = pairs.groupBy("file").agg(best.alias("b")).select("file", "b.*")
+    none = lambda c, other: F.when(F.col("divides"), F.col(c)).otherwise(other).alias(c)
+    return found.select("file", none("delimiter", DELIMITERS[0]), none("quote", QUOTES[0]), none("fields", 1), none("share", 1.0))
+
+
+def read_table(spark: SparkSession, path: str, rows: int | None = None, delimiter: str | None = None, quote: str | None = None) -> DataFrame:
+    """A table by its file's ending: Parquet, or text with a header; ``rows`` limits a preview. Delimiter and quote, if not given, are told by ``dialects`` from the first ``SNIFFED`` lines."""
     ending = re.search(r"\.([a-z0-9]+)(?:\.gz)?$", path.lower())
     kind = ending[1] if ending else ""
     if kind in ("parquet", "pq"):
         df = spark.read.parquet(path)
     elif kind in ("csv", "txt", "tsv", "gz"):
-        df = spark.read.csv(path, header=True, sep="\t" if kind == "tsv" else ",", mode="PERMISSIVE")
+        if delimiter is None or quote is None:
+            told = dialects(spark.read.text(path).limit(SNIFFED).select(F.lit(path).alias("file"), F.col("value").alias("line"))).first()
+            delimiter = delimiter or (told.delimiter if told else "\t" if kind == "tsv" else DELIMITERS[0])
+            quote = quote or (told.quote if told else QUOTES[0])
+        df = spark.read.csv(path, header=True, sep=delimiter, quote=quote, escape=quote, mode="PERMISSIVE")
     else:
         raise ValueError(f"unsupported file type '{kind}'")
     return df.limit(rows) if rows else df
@@ -216,15 +251,24 @@ def wide_to_long(sales: DataFrame, calendar: DataFrame, prices: DataFrame, ids:
 
 
 def stable_codes(values: DataFrame, column: str, length: int) -> DataFrame:
-    """column, code: a code for each distinct value; values in order, the second and later of one code get ``_2`` and so on."""
-    from pyspark.sql import Window
-
-    from tidecast.functions.text import code
-
-    rows = values.select(column).distinct().withColumn("_base", code(F.col(column), length))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(column)))
-    end = F.concat(F.lit("_"), F.col("_n").cast("string"))
-    return rows.select(column, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.expr(f"substring(_base, 1, {length} - length(concat('_', _n)))"), end)).alias("code"))
+    """column, code: a code of its own for each distinct value; values in order, the second and later of one code get ``_2`` and so on.
+
+    Where a numbered code is another value's own (or cutting makes two equal), the later value takes further numbers of its code, in rounds until all differ."""
+    todo = checkpointed(values.select(column).distinct().select(column, code(F.col(column), length).alias("_base"), F.lit(0).alias("_from")))
+    done = None
+    while done is None or not todo.isEmpty():
+        rows = todo.withColumn("_n", F.col("_from") + F.row_number().over(Window.partitionBy("_base").orderBy(column)))
+        end = F.concat(F.lit("_"), F.col("_n").cast("string"))
+        named = rows.withColumn("code", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.substring("_base", F.lit(1), F.lit(length) - F.length(end)), end)))
+        first = F.row_number().over(Window.partitionBy("code").orderBy("_n", column)) == 1
+        tried = named.withColumn("_own", first)
+        if done is not None:
+            tried = tried.join(done.select("code", F.lit(True).alias("_taken")), "code", "left").withColumn("_own", F.col("_own") & F.col("_taken").isNull())
+        tried = checkpointed(tried.withColumn("_from", F.max("_n").over(Window.partitionBy("_base"))))
+        own = tried.filter("_own").select(column, "code")
+        done = own if done is None else checkpointed(done.unionByName(own))
+        todo = tried.filter("not _own").select(column, "_base", "_from")
+    return done
 
 
 def preview(df: DataFrame, page: int, size: int, *newest_first: Column) -> DataFrame:

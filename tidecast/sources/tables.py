@@ -42,14 +42,19 @@ def _slug(name: str) -> str:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, written to the folder in ``spark.checkpoint.dir``; where it is unset (tests), to a local one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests), a local one is made, once a session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, written to the shared folder."""
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
