@@ -267,3 +267,40 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 def account_search(spark: SparkSession, sf: str) -> DataFrame:
     accounts = estate.table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return resolution.search(accounts, "R#00000001", segment="MACHINERY")
+
+
+@query(
+    """SELECT k AS rule_id, CASE WHEN k % 4 = 3 THEN 'unknown kind of rule' WHEN k % 5 <> 0 AND k % 7 = 0 THEN 'unknown oem' WHEN k % 4 = 0 AND k % 5 = 0 THEN 'a pattern needs a target'
+  ELSE 'the pattern cannot be read' END AS error FROM (SELECT c_custkey AS k FROM customer) WHERE k % 4 = 3 OR (k % 5 <> 0 AND k % 7 = 0) OR (k % 4 = 0 AND (k % 5 = 0 OR k % 3 = 0))"""
+)
+def rule_list_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for each customer, of four kinds, some without a target or with an unknown one, some with patterns that cannot be read."""
+    c, k = estate.table(spark, sf, "customer"), F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("NAME_REGEX", "ALIAS_EXACT", next(iter(resolution.IDENTIFIER_RULES)), "GUESS"))), (k % 4 + 1).cast("int"))
+    target = F.when(k % 5 == 0, None).when(k % 7 == 0, "NOBODY").otherwise(F.col("c_mktsegment"))
+    rules = c.select(k.alias("rule_id"), kind.alias("rule_type"), target.alias("target_oem"), F.concat(F.when(k % 3 == 0, "(").otherwise("^"), "c_name").alias("pattern"))
+    return resolution.rule_errors(rules, c.select(F.col("c_mktsegment").alias("oem")))
+
+
+@query(
+    """WITH n AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN c_custkey - c_custkey % 8 ELSE c_custkey END AS v, CASE WHEN c_custkey % 9 = 0 THEN 'NOBODY' ELSE c_mktsegment END AS oem FROM customer)
+SELECT 'DUNS' AS id_type, CAST(v AS VARCHAR) AS id_value, oem, CASE WHEN oem = 'NOBODY' THEN 'unknown oem' ELSE 'the identifier is taken' END AS error
+FROM (SELECT *, count(*) OVER (PARTITION BY v) AS c FROM n) WHERE oem = 'NOBODY' OR c > 1 OR v % 10 = 1"""
+)
+def identifier_list_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A new identifier for each customer: some equal another new one, some are taken, some are of no oem."""
+    c, k = estate.table(spark, sf, "customer"), F.col("c_custkey")
+    row = lambda v, oem: [F.lit("DUNS").alias("id_type"), v.cast("string").alias("id_value"), oem.alias("oem")]
+    new = c.select(*row(F.when(k % 4 == 0, k - k % 8).otherwise(k), F.when(k % 9 == 0, "NOBODY").otherwise(F.col("c_mktsegment"))))
+    return resolution.identifier_errors(new, c.filter(k % 10 == 1).select(*row(k, F.col("c_mktsegment"))), c.select(F.col("c_mktsegment").alias("oem")))
+
+
+@query(
+    """SELECT oem, name AS normalized_alias, min(alias) AS alias FROM (SELECT p_brand AS oem, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) || ' Inc.' END AS alias FROM part
+WHERE p_partkey % 2 = 0 OR p_partkey % 5 <> 0) GROUP BY ALL"""
+)
+def alias_additions(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of every second part as aliases of its brand, with those of the others added in capitals with a legal form, a fifth of them for no known brand."""
+    p, k = estate.table(spark, sf, "part"), F.col("p_partkey")
+    new = p.filter(k % 2 == 1).select(F.concat(F.upper("p_name"), F.lit(" Inc.")).alias("alias"), F.when(k % 5 == 0, "NOBODY").otherwise(F.col("p_brand")).alias("oem"))
+    return resolution.add_aliases(p.filter(k % 2 == 0).select(F.col("p_name").alias("alias"), F.col("p_brand").alias("oem")), new, p.select(F.col("p_brand").alias("oem")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecast.operators import quality, risk, views
 from tidecast.plans import estate
-from tidecast.plans.registry import query
+from tidecast.plans.registry import SQL, query
 from tidecast.sources.tables import checkpointed
 
 
@@ -217,3 +217,11 @@ def steward_replay(spark: SparkSession, sf: str) -> DataFrame:
     o = estate.table(spark, sf, "orders")
     pending = o.select(F.col("o_orderkey").alias("mapping_id"), F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("oem"))
     return synthetic.steward_replay(pending, o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("oem")))
+
+
+@query(f"SELECT * FROM ({SQL['dq_checks']}) WHERE severity = 'ERROR' AND NOT passed")
+def blocking_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the data checks those that stop a forecast."""
+    from tidecast.operators import quality
+
+    return quality.blocking(dq_checks(spark, sf))
