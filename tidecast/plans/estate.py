@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import to_month
-from tidecast.functions.metrics import exact_sum
 from tidecast.operators import panel as panels
 from tidecast.sources.sales_files import drop_partial_month
 from tidecast.sources.tables import checkpointed
@@ -26,35 +25,55 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf: str) -> DataFrame:
-    """Source rows: ship_date, month, account_id, end_account_id, oem, region, product, units, revenue, currency."""
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines with their part's product and their order's account, oem, region and currency.
+
+    Lines carry only what is planned on, their revenue already worked out, so that the joins by part and by order move few bytes; places join orders, of which there are fewer."""
     t = lambda n: table(spark, sf, n)
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    currency = F.coalesce(*(F.when(F.col("r_name") == r, c) for r, c in CURRENCY.items()))
-    return rows.select(
+    places = places.select("c_custkey", F.col("c_mktsegment").alias("oem"), F.col("r_name").alias("region"))
+    orders = t("orders").select("o_orderkey", F.col("o_custkey").alias("account_id")).join(places, F.col("account_id") == F.col("c_custkey"))
+    parts = t("part").select("p_partkey", F.col("p_type").alias("product"))
+    lines = t("lineitem").select(
+        "l_orderkey",
+        "l_partkey",
         F.col("l_shipdate").cast("date").alias("ship_date"),
-        to_month(F.col("l_shipdate")).alias("month"),
-        F.col("o_custkey").alias("account_id"),
         F.when(F.col("l_returnflag") == "R", -F.col("l_suppkey")).alias("end_account_id"),
-        F.col("c_mktsegment").alias("oem"),
-        F.col("r_name").alias("region"),
-        F.col("p_type").alias("product"),
         F.col("l_quantity").alias("units"),
         (F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(17,4)").alias("revenue"),
-        currency.alias("currency"),
+        (F.col("l_linestatus") == "O").alias("is_open"),
     )
+    currency = F.coalesce(*(F.when(F.col("region") == r, c) for r, c in CURRENCY.items()))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.withColumns({"month": to_month(F.col("ship_date")), "currency": currency})
+
+
+def sales(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows: ship_date, month, account_id, end_account_id, oem, region, product, units, revenue, currency."""
+    return _lines(spark, sf).select("ship_date", "month", "account_id", "end_account_id", "oem", "region", "product", "units", "revenue", "currency")
 
 
-def series(spark: SparkSession, sf: str) -> DataFrame:
-    """month, oem, region, product, units, revenue, without the last month, which is incomplete."""
-    rows = drop_partial_month(sales(spark, sf), "ship_date")
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    """month, oem, region, product, currency, wait (months from snapshot to delivery), is_open, units, revenue (decimal), ship_date (the last), n_negative: sums from which series and backlogs are made.
+
+    One pass over the order tables serves all tables of a query: what reads several passes it on. Its rows are as many as months, oems, regions and products allow."""
+    # the order's age is folded into one to three months, so that there is a backlog at every month
+    wait = (F.col("o_orderkey") % 3 + 1).cast("int").alias("wait")
+    by = _lines(spark, sf).groupBy("month", "oem", "region", "product", "currency", wait, "is_open")
+    negative = (F.col("units") < 0) | (F.col("revenue") < 0)
+    return checkpointed(by.agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"), F.max("ship_date").alias("ship_date"), F.count_if(negative).alias("n_negative")))
+
+
+def series(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    """month, oem, region, product, units, revenue, without the last month, which is incomplete. ``known`` are ``facts`` that are there already, here and below."""
+    # a month's last day is past the first if any is, so the facts' last days tell as much as all days
+    rows = drop_partial_month(facts(spark, sf) if known is None else known, "ship_date")
     # checkpointed: what is planned on it reads it several times
-    return checkpointed(rows.groupBy("month", "oem", "region", "product").agg(F.sum("units").alias("units"), exact_sum(F.col("revenue")).alias("revenue")))
+    return checkpointed(rows.groupBy("month", "oem", "region", "product").agg(F.sum("units").alias("units"), F.sum("revenue").cast("double").alias("revenue")))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return panels.dense(series(spark, sf))
+def panel(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    return panels.dense(series(spark, sf, known))
 
 
 def mapping(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,24 +107,18 @@ def fx(spark: SparkSession, sf: str) -> DataFrame:
 RATES = (("USD", 10000, 0), ("EUR", 11000, 50), ("JPY", 90, 1), ("ZAR", 600, 7), ("AED", 2723, 0))
 
 
-def backlog(spark: SparkSession, sf: str) -> DataFrame:
+def backlog(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
     """snapshot_month, month (of delivery), oem, region, product, units, value: open lines ordered one to three months before they ship."""
-    t = lambda n: table(spark, sf, n)
-    places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = t("lineitem").filter("l_linestatus = 'O'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    # the order's age is folded into one to three months, so that there is a backlog at every month
-    month = to_month(F.col("l_shipdate"))
-    rows = rows.withColumn("month", month).withColumn("snapshot_month", F.add_months("month", -(F.col("o_orderkey") % 3 + 1).cast("int")))
-    revenue = F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    by = rows.groupBy("snapshot_month", "month", F.col("c_mktsegment").alias("oem"), F.col("r_name").alias("region"), F.col("p_type").alias("product"))
-    return checkpointed(by.agg(F.sum("l_quantity").alias("units"), exact_sum(revenue).alias("value")))
+    rows = (facts(spark, sf) if known is None else known).filter("is_open")
+    by = rows.groupBy(F.add_months("month", -F.col("wait")).alias("snapshot_month"), "month", "oem", "region", "product")
+    return checkpointed(by.agg(F.sum("units").alias("units"), F.sum("revenue").cast("double").alias("value")))
 
 
-def plan(spark: SparkSession, sf: str) -> DataFrame:
+def plan(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
     """A frozen plan: oem, region, product, month, horizon (1 to 6 after the cycle month), ai_units, naive_units, consensus_units, asp, y, overridden, user_id, reason_code.
 
     The model's forecast is the value of a year before, the sales plan adds a fixed share for some series, the naive forecast is the cycle month's value."""
-    p = panel(spark, sf)
+    p = panel(spark, sf, known)
     lagged = p.select("oem", "region", "product", F.add_months("month", 12).alias("month"), F.col("units").alias("ai_units"), F.col("revenue").alias("ai_revenue"))
     naive = p.filter(F.col("month") == F.lit(CYCLE)).select("oem", "region", "product", F.col("units").alias("naive_units"))
     now = p.select("oem", "region", "product", "month", F.col("units").alias("y"))
@@ -130,9 +143,9 @@ def plan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def capacity(spark: SparkSession, sf: str) -> DataFrame:
+def capacity(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
     """month, region, product, capacity: the average month's units of a region's product until the cycle, as a whole number, for the six months after it."""
-    p = panel(spark, sf).filter(F.col("month") <= F.lit(CYCLE)).groupBy("region", "product", "month").agg(F.sum("units").alias("u"))
+    p = panel(spark, sf, known).filter(F.col("month") <= F.lit(CYCLE)).groupBy("region", "product", "month").agg(F.sum("units").alias("u"))
     mean = p.groupBy("region", "product").agg(F.floor(F.sum("u") / F.count(F.lit(1))).cast("double").alias("capacity"))
     return mean.select("region", "product", "capacity", F.explode(F.sequence(F.add_months(F.lit(CYCLE), 1), F.add_months(F.lit(CYCLE), 6), F.expr("interval 1 month"))).alias("month"))
 

@@ -12,18 +12,18 @@ from tidecast.plans.registry import query
 from tidecast.sources.tables import checkpointed
 
 
-def _bt(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpointed(backtest.naive_backtest(panel.long(estate.panel(spark, sf))))
+def _bt(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    return checkpointed(backtest.naive_backtest(panel.long(estate.panel(spark, sf, facts))))
 
 
-def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    s = estate.series(spark, sf).select("oem", "region", "product").distinct()
+def _segments(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
+    s = estate.series(spark, sf, facts).select("oem", "region", "product").distinct()
     return s.select(F.concat_ws("|", "oem", "region", "product").alias("unique_id"), F.when(F.length("product") % 2 == 0, "smooth").otherwise("erratic").alias("segment"))
 
 
-def _contest(spark: SparkSession, sf: str) -> DataFrame:
+def _contest(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
     """The backtest with the naive model under a name that may win."""
-    return _bt(spark, sf).withColumn("model", F.when(F.col("model") == "Naive", "AutoETS").otherwise(F.col("model")))
+    return _bt(spark, sf, facts).withColumn("model", F.when(F.col("model") == "Naive", "AutoETS").otherwise(F.col("model")))
 
 
 _SEGMENT = "CASE WHEN length(split_part(unique_id, '|', 3)) % 2 = 0 THEN 'smooth' ELSE 'erratic' END"
@@ -47,7 +47,8 @@ def rolling_origin_naive(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def metric_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.score_horizons(_bt(spark, sf), _segments(spark, sf))
+    facts = estate.facts(spark, sf)
+    return backtest.score_horizons(_bt(spark, sf, facts), _segments(spark, sf, facts))
 
 
 _SCORES = f"""rows AS (SELECT * REPLACE (CASE WHEN model = 'Naive' THEN 'AutoETS' ELSE model END AS model), {_SEGMENT} AS segment, {_BUCKET} AS bucket FROM bt),
@@ -60,22 +61,28 @@ _PRIORS = {"smooth": ["AutoETS"], "erratic": ["SeasonalNaive"]}
 _TOLERANCE = 0.4
 
 
-def _chosen(spark: SparkSession, sf: str, bt: DataFrame) -> DataFrame:
-    return backtest.champions(backtest.score_buckets(bt, _segments(spark, sf)), backtest.priors_table(spark, _PRIORS), _TOLERANCE)
+def _chosen(spark: SparkSession, bt: DataFrame, segments: DataFrame) -> DataFrame:
+    return backtest.champions(backtest.score_buckets(bt, segments), backtest.priors_table(spark, _PRIORS), _TOLERANCE)
 
 
 @query(estate.with_views("bt", f"{_SCORES} SELECT * FROM chosen"))
 def champion_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return _chosen(spark, sf, _contest(spark, sf))
+    facts = estate.facts(spark, sf)
+    return _chosen(spark, _contest(spark, sf, facts), _segments(spark, sf, facts))
 
 
 _SHIPPED = f"""{_SCORES}, shipped AS (SELECT r.* FROM rows r JOIN chosen c ON c.segment = r.segment AND c.bucket = r.bucket AND c.model = r.model)"""
 
 
+def _shipped(spark: SparkSession, sf: str) -> DataFrame:
+    facts = estate.facts(spark, sf)
+    bt, segments = _contest(spark, sf, facts), _segments(spark, sf, facts)
+    return backtest.champion_rows(bt, segments, _chosen(spark, bt, segments))
+
+
 @query(estate.with_views("bt", f"{_SHIPPED} SELECT segment, bucket, model, count(*) AS n, sum(y) AS y FROM shipped GROUP BY ALL"))
 def champion_rows(spark: SparkSession, sf: str) -> DataFrame:
-    bt = _contest(spark, sf)
-    rows = backtest.champion_rows(bt, _segments(spark, sf), _chosen(spark, sf, bt))
+    rows = _shipped(spark, sf)
     return rows.groupBy("segment", "bucket", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
 
 
@@ -88,8 +95,7 @@ calibration AS (SELECT segment, bucket, count(*) AS n, min(s) FILTER (k = floor(
 
 @query(estate.with_views("bt", f"{_SHIPPED}, {_CALIBRATION.format(rows='shipped')} SELECT * FROM calibration"))
 def conformal_quantile(spark: SparkSession, sf: str) -> DataFrame:
-    bt = _contest(spark, sf)
-    return backtest.fit_conformal(backtest.champion_rows(bt, _segments(spark, sf), _chosen(spark, sf, bt)))
+    return backtest.fit_conformal(_shipped(spark, sf))
 
 
 @query(
@@ -101,7 +107,8 @@ FROM rows r JOIN calibration c ON c.segment = r.segment AND c.bucket = r.bucket"
     )
 )
 def conformal_applied(spark: SparkSession, sf: str) -> DataFrame:
-    bt, segments = _bt(spark, sf).filter("model = 'SeasonalNaive'"), _segments(spark, sf)
+    facts = estate.facts(spark, sf)
+    bt, segments = _bt(spark, sf, facts).filter("model = 'SeasonalNaive'"), _segments(spark, sf, facts)
     rows = bt.join(segments, "unique_id").withColumn("bucket", backtest.bucket_of(F.col("h")))
     out = backtest.apply_conformal(bt, segments, backtest.fit_conformal(rows))
     return out.select("unique_id", "origin", "h", "mean", "q10", "q90")
@@ -144,7 +151,8 @@ def error_drift(spark: SparkSession, sf: str) -> DataFrame:
     """The frozen plan's error on months that came since against the backtest's."""
     from tidecast.functions.metrics import wmape
 
-    live = estate.plan(spark, sf).filter("horizon <= 3").agg(wmape(F.col("y"), F.col("naive_units")).alias("live"))
-    back = _bt(spark, sf).filter("model = 'Naive'").agg(wmape(F.col("y"), F.col("mean")).alias("backtest"))
+    facts = estate.facts(spark, sf)
+    live = estate.plan(spark, sf, facts).filter("horizon <= 3").agg(wmape(F.col("y"), F.col("naive_units")).alias("live"))
+    back = _bt(spark, sf, facts).filter("model = 'Naive'").agg(wmape(F.col("y"), F.col("mean")).alias("backtest"))
     both = live.crossJoin(back)  # a row each
     return both.select("live", "backtest", *drift.error_drift(F.col("live"), F.col("backtest")))

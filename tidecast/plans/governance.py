@@ -97,8 +97,9 @@ SELECT *, wmape_ai - wmape_consensus AS fva_sales, wmape_naive - wmape_ai AS fva
     )
 )
 def fva_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    frozen = estate.plan(spark, sf).drop("y").withColumn("run_id", F.lit("R1"))
-    actuals = estate.panel(spark, sf).select("month", "oem", "region", "product", F.col("units").alias("y"))
+    facts = estate.facts(spark, sf)
+    frozen = estate.plan(spark, sf, facts).drop("y").withColumn("run_id", F.lit("R1"))
+    actuals = estate.panel(spark, sf, facts).select("month", "oem", "region", "product", F.col("units").alias("y"))
     return governance.value_added(governance.matured(frozen, actuals))
 
 
@@ -116,8 +117,9 @@ LEFT JOIN last l ON l.oem = p.oem AND l.region = p.region AND l.product = p.prod
     )
 )
 def frozen_version(spark: SparkSession, sf: str) -> DataFrame:
-    plan = estate.plan(spark, sf).select("oem", "region", "product", "month", "ai_units")
-    return governance.freeze(plan, estate.panel(spark, sf).select("oem", "region", "product", "month", "units"), F.lit(estate.CYCLE))
+    facts = estate.facts(spark, sf)
+    plan = estate.plan(spark, sf, facts).select("oem", "region", "product", "month", "ai_units")
+    return governance.freeze(plan, estate.panel(spark, sf, facts).select("oem", "region", "product", "month", "units"), F.lit(estate.CYCLE))
 
 
 @query(

@@ -40,10 +40,11 @@ def gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def model_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all models of single series, with the ensemble."""
-    long = _long(spark, sf)
+    facts = estate.facts(spark, sf)
+    long = panel.long(estate.panel(spark, sf, facts))
     own = backtest.with_actuals(models.forecast(long, ("AutoETS", "AutoARIMA", "CrostonSBA", "TSB"), first=backtest.FIRST), long)
     bt = backtest.add_ensemble(checkpointed(backtest.naive_backtest(long).unionByName(own)))
-    segment = estate.series(spark, sf).select(F.concat_ws("|", *KEYS).alias("unique_id"), F.lit("smooth").alias("segment")).distinct()
+    segment = estate.series(spark, sf, facts).select(F.concat_ws("|", *KEYS).alias("unique_id"), F.lit("smooth").alias("segment")).distinct()
     return backtest.score_horizons(bt, segment)
 
 
@@ -124,8 +125,9 @@ SELECT oem, region, product, month, CASE WHEN price IS NOT NULL THEN weight * pr
 )
 def asp_blend(spark: SparkSession, sf: str) -> DataFrame:
     """Trailing prices of the plan's months under contracts."""
-    plan = estate.plan(spark, sf)
-    stat = prices.trailing_price(prices.asp_history(estate.panel(spark, sf))).select(*KEYS, "asp", F.lit(0.12).alias("sigma"))
+    facts = estate.facts(spark, sf)
+    plan = estate.plan(spark, sf, facts)
+    stat = prices.trailing_price(prices.asp_history(estate.panel(spark, sf, facts))).select(*KEYS, "asp", F.lit(0.12).alias("sigma"))
     rows = plan.select(*KEYS, "month").join(stat, list(KEYS)).select(*KEYS, "month", "asp", "sigma")
     return prices.blend(rows, _contract_prices(spark, sf), plan.select(*KEYS, "month", F.col("ai_units").alias("units")))
 

@@ -11,8 +11,8 @@ from tidecast.plans.registry import SQL, query
 from tidecast.sources.tables import checkpointed
 
 
-def _actuals(spark: SparkSession, sf: str) -> DataFrame:
-    return estate.series(spark, sf).select("month", "oem", "region", "product", F.col("units").alias("y"))
+def _actuals(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
+    return estate.series(spark, sf, facts).select("month", "oem", "region", "product", F.col("units").alias("y"))
 
 
 def _thresholds(spark: SparkSession) -> DataFrame:
@@ -38,24 +38,25 @@ def threshold_best_match(spark: SparkSession, sf: str) -> DataFrame:
     return risk.with_thresholds(pairs, _thresholds(spark)).select("product", "region", "min_coverage")
 
 
-def _history(spark: SparkSession, sf: str, backlog: DataFrame) -> DataFrame:
-    return risk.historical_coverage(backlog, _actuals(spark, sf), F.lit(estate.CYCLE))
+def _history(spark: SparkSession, sf: str, facts: DataFrame, backlog: DataFrame) -> DataFrame:
+    return risk.historical_coverage(backlog, _actuals(spark, sf, facts), F.lit(estate.CYCLE))
 
 
 @query(estate.with_views("series backlog", f"{_HISTORY} SELECT * FROM history"))
 def historical_p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return _history(spark, sf, estate.backlog(spark, sf))
+    facts = estate.facts(spark, sf)
+    return _history(spark, sf, facts, estate.backlog(spark, sf, facts))
 
 
-def _coverage(spark: SparkSession, sf: str) -> DataFrame:
-    backlog = estate.backlog(spark, sf)
+def _coverage(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
+    backlog = estate.backlog(spark, sf, facts)
     now = backlog.filter(F.col("snapshot_month") == F.lit(estate.CYCLE)).drop("snapshot_month")
-    return risk.coverage_table(estate.plan(spark, sf), now, _thresholds(spark), _history(spark, sf, backlog))
+    return risk.coverage_table(estate.plan(spark, sf, facts), now, _thresholds(spark), _history(spark, sf, facts, backlog))
 
 
 @query(estate.with_views("plan backlog series", f"{_COVERAGE} SELECT oem, region, product, month, bl_units, bl_value, coverage, threshold, configured_floor FROM coverage"))
 def coverage_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _coverage(spark, sf).select("oem", "region", "product", "month", "bl_units", "bl_value", "coverage", "threshold", "configured_floor")
+    return _coverage(spark, sf, estate.facts(spark, sf)).select("oem", "region", "product", "month", "bl_units", "bl_value", "coverage", "threshold", "configured_floor")
 
 
 _STEADY = lambda x: f"CAST(sum(CAST(floor(({x}) * 1e9::DOUBLE) AS HUGEINT)) AS DOUBLE) / 1e9::DOUBLE"
@@ -70,7 +71,7 @@ SELECT *, {_SEVERITY} FROM gaps WHERE impact > 0""",
     )
 )
 def revenue_gap(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.revenue_gaps(_coverage(spark, sf))
+    return risk.revenue_gaps(_coverage(spark, sf, estate.facts(spark, sf)))
 
 
 _BOTTLENECK = f"""rp AS (SELECT month, region, product, sum(consensus_units) AS units, {_STEADY('consensus_units * asp')} AS rev FROM plan GROUP BY ALL),
@@ -80,7 +81,8 @@ short AS (SELECT region, product, min(month) AS first_month, max(month) AS last_
 
 @query(estate.with_views("plan capacity", f"{_BOTTLENECK} SELECT *, {_SEVERITY} FROM short"))
 def supply_bottleneck(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.supply_bottlenecks(estate.plan(spark, sf), estate.capacity(spark, sf))
+    facts = estate.facts(spark, sf)
+    return risk.supply_bottlenecks(estate.plan(spark, sf, facts), estate.capacity(spark, sf, facts))
 
 
 @query()
@@ -101,8 +103,9 @@ SELECT 'REVENUE_GAP' AS alert_type, count(*) AS n, {_STEADY('impact')} AS impact
     )
 )
 def alert_summary(spark: SparkSession, sf: str) -> DataFrame:
-    gaps = risk.revenue_gaps(_coverage(spark, sf)).select(F.lit("REVENUE_GAP").alias("alert_type"), "impact", F.lit("OPEN").alias("status"))
-    short = risk.supply_bottlenecks(estate.plan(spark, sf), estate.capacity(spark, sf)).select(F.lit("SUPPLY_BOTTLENECK").alias("alert_type"), "impact", F.lit("OPEN").alias("status"))
+    facts = estate.facts(spark, sf)
+    gaps = risk.revenue_gaps(_coverage(spark, sf, facts)).select(F.lit("REVENUE_GAP").alias("alert_type"), "impact", F.lit("OPEN").alias("status"))
+    short = risk.supply_bottlenecks(estate.plan(spark, sf, facts), estate.capacity(spark, sf, facts)).select(F.lit("SUPPLY_BOTTLENECK").alias("alert_type"), "impact", F.lit("OPEN").alias("status"))
     return risk.alert_summary(gaps.unionByName(short))
 
 
@@ -149,8 +152,9 @@ LEFT JOIN (SELECT month, sum(capacity) AS c FROM capacity WHERE region = 'ASIA'
     )
 )
 def explorer(spark: SparkSession, sf: str) -> DataFrame:
-    now = estate.backlog(spark, sf).filter(F.col("snapshot_month") == F.lit(estate.CYCLE))
-    return views.explorer(estate.panel(spark, sf), estate.plan(spark, sf), now, estate.capacity(spark, sf), F.lit(estate.CYCLE), region="ASIA", product="SMALL")
+    facts = estate.facts(spark, sf)
+    now = estate.backlog(spark, sf, facts).filter(F.col("snapshot_month") == F.lit(estate.CYCLE))
+    return views.explorer(estate.panel(spark, sf, facts), estate.plan(spark, sf, facts), now, estate.capacity(spark, sf, facts), F.lit(estate.CYCLE), region="ASIA", product="SMALL")
 
 
 @query(

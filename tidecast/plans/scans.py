@@ -127,9 +127,9 @@ UNION ALL SELECT 'capacity', 0, NULL, NULL UNION ALL SELECT 'series', count(*),
 )
 def capabilities(spark: SparkSession, sf: str) -> DataFrame:
     """What each table holds; features whose table is empty are off."""
-    empty = estate.series(spark, sf).filter("false")
-    out = None
-    for name, df in (("series", estate.series(spark, sf)), ("backlog", estate.backlog(spark, sf)), ("capacity", empty)):
+    facts = estate.facts(spark, sf)
+    series, out = estate.series(spark, sf, facts), None
+    for name, df in (("series", series), ("backlog", estate.backlog(spark, sf, facts)), ("capacity", series.filter("false"))):
         one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("month").alias("first_month"), F.max("month").alias("last_month")).withColumn("name", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
