@@ -67,19 +67,31 @@ def autocovariances(ar: np.ndarray, ma: np.ndarray, n: int) -> np.ndarray:
     return out[:, :n]
 
 
-def predictions(x: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-step errors of rows ``x`` and their variances (batch x months), by the Durbin-Levinson recursion."""
-    batch, n = gamma.shape
-    errors, variances = np.empty((batch, n)), np.empty((batch, n))
+def predictions(x: np.ndarray, gamma: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One-step errors of rows ``x`` and their variances (batch x months), by the Durbin-Levinson recursion. With ``n`` a row takes no part after its ``n`` months: its errors are 0 there, its variances 1."""
+    batch, months = gamma.shape
+    order = np.argsort(-n, kind="stable") if n is not None else np.arange(batch)
+    going = (n[:, None] > np.arange(months)[None]).sum(axis=0) if n is not None else np.full(months, batch)
+    x, gamma = x[order], gamma[order]
+    errors, variances = np.zeros((batch, months)), np.ones((batch, months))
     errors[:, 0], variances[:, 0] = x[:, 0], gamma[:, 0]
     phi = np.zeros((batch, 0))
-    for t in range(1, n):
-        v = variances[:, t - 1]
-        k = (gamma[:, t] - np.einsum("bi,bi->b", phi, gamma[:, t - 1 : 0 : -1])) / v
-        phi = np.concatenate([phi - k[:, None] * phi[:, ::-1], k[:, None]], axis=1)
-        variances[:, t] = v * (1 - k * k)
-        errors[:, t] = x[:, t] - np.einsum("bi,bi->b", phi, x[:, t - 1 :: -1])
-    return errors, variances
+    for t in range(1, months):
+        c = going[t]  # the longest rows come first
+        if not c:
+            break
+        phi, v = phi[:c], variances[:c, t - 1]
+        k = (gamma[:c, t] - np.einsum("bi,bi->b", phi, gamma[:c, t - 1 : 0 : -1])) / v
+        new = np.empty((c, t))
+        np.multiply(k[:, None], phi[:, ::-1], out=new[:, :-1])
+        np.subtract(phi, new[:, :-1], out=new[:, :-1])
+        new[:, -1] = k
+        phi = new
+        variances[:c, t] = v * (1 - k * k)
+        errors[:c, t] = x[:c, t] - np.einsum("bi,bi->b", phi, x[:c, t - 1 :: -1])
+    back = np.empty(batch, int)
+    back[order] = np.arange(batch)
+    return errors[back], variances[back]
 
 
 def deviance(x: np.ndarray, n: np.ndarray, u: np.ndarray, order: Order, season: int) -> np.ndarray:
@@ -87,7 +99,7 @@ def deviance(x: np.ndarray, n: np.ndarray, u: np.ndarray, order: Order, season:
     rows, k = u.shape[:2]
     ar, ma = coefficients(u.reshape(rows * k, -1), order, season)
     months = x.shape[1]
-    errors, variances = predictions(np.repeat(x, k, axis=0), autocovariances(ar, ma, months))
+    errors, variances = predictions(np.repeat(x, k, axis=0), autocovariances(ar, ma, months), np.repeat(n, k))
     on = np.arange(months)[None] < np.repeat(n, k)[:, None]
     square = np.where(on, errors**2 / variances, 0.0).sum(axis=1) / np.repeat(n, k)
     logs = np.where(on, np.log(variances), 0.0).sum(axis=1)

@@ -59,19 +59,21 @@ def run(panel: DataFrame, names: tuple[str, ...] = FAST, uplift: DataFrame | Non
     nodes = checkpointed(node_panel(panel))
     segment = segments.segment(nodes.withColumnsRenamed({"ds": "month", "y": "units"}), _NODE, (), config).select("unique_id", "segment")
     segment = checkpointed(segment)
-    own = backtest.with_actuals(models.forecast(nodes, tuple(n for n in names if n != "SeasonalNaive"), config.horizon, first=backtest.FIRST), nodes)
+    # fitting costs most: what models give is written before anything reads it twice
+    own = checkpointed(models.forecast(nodes, tuple(n for n in names if n != "SeasonalNaive"), config.horizon, first=backtest.FIRST))
+    own = backtest.with_actuals(own, nodes)
     bt = checkpointed(backtest.add_ensemble(backtest.naive_backtest(nodes, config.horizon).unionByName(own)))
     priors = backtest.priors_table(spark, segments.PRIORS)
     chosen = checkpointed(backtest.champions(backtest.score_buckets(bt, segment), priors, config.champion_tolerance))
     calibration = checkpointed(backtest.fit_conformal(backtest.champion_rows(bt, segment, chosen)))
-    ahead = models.forecast(nodes, (*names, "Naive"), config.horizon)
+    ahead = checkpointed(models.forecast(nodes, (*names, "Naive"), config.horizon))
     base = backtest.apply_conformal(final_baseline(ahead, segment, chosen, ensemble_members(bt)), segment, calibration)
     if uplift is not None:
         more = rollup(uplift, {"_u": F.sum("units")}).select(node_id(*(F.col(d) for d in DIMS)).alias("unique_id"), F.col("month").alias("ds"), "_u")
         base = base.join(more, ["unique_id", "ds"], "left").withColumns({c: F.col(c) + F.coalesce("_u", F.lit(0.0)) for c in ("mean", "q10", "q50", "q90")}).drop("_u")
     base = checkpointed(base)
     leaves = panel.select(*DIMS).distinct()
-    resid = models.residuals(nodes)
+    resid = checkpointed(models.residuals(nodes))
     paths = reconcile.sample_paths(base, leaves, resid, config.reconciliation, config.samples, config.seed)
     bands = reconcile.sample_quantiles(paths)
     point = reconcile.reconcile(base, leaves, resid, config.reconciliation)
