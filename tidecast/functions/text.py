@@ -43,13 +43,13 @@ def _tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def to_ascii(text: Column) -> Column:
-    """``text`` with each character decomposed for compatibility (NFKD: letters without marks, ligatures, full-width forms, numerals), what is not ASCII then dropped. Only texts with characters of several letters are taken apart."""
+    """``text`` with each character decomposed for compatibility (NFKD: letters without marks, ligatures, full-width forms, numerals), what is not ASCII then dropped. Texts that are ASCII are left alone; only texts with characters of several letters are taken apart."""
     one, plain, places = _tables()
     some = places[0][0]
     spelled = lambda c: F.concat(*(F.when(F.contains(F.lit(chars), c), F.translate(c, chars, to)).otherwise(F.lit("")) for chars, to in places))
     apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.when((c != "") & F.contains(F.lit(some), c), spelled(c)).otherwise(c)), "")
     whole = F.when(text.rlike(f"[{some}]"), apart).otherwise(text)
-    return F.regexp_replace(F.translate(whole, one, plain), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(whole, one, plain), r"[^\x00-\x7F]", "")).otherwise(text)
 
 
 def normalize_name(name: Column) -> Column:
