@@ -104,3 +104,17 @@ def test_rounds_give_what_scoring_all_again_gives(spark):
             break
     row = lambda r, status: (r["account_id"], r["oem"], r["region"], round(r["score"], 9), status)
     assert got == sorted([row(r, "ACTIVE") for r in want] + [row(r, "PENDING_REVIEW") for r in waits])
+
+
+def test_accounts_of_one_name_are_searched_for_once(spark, monkeypatch):
+    """Neighbours of accounts that share names are those of all pairs, but only different names are compared."""
+    words = ("red bolt", "red nut", "blue bolt", "old plate")
+    accounts = spark.createDataFrame([(i, words[i % 4] + (" Ltd" if i % 3 else ""), "EU") for i in range(48)], "account_id long, name string, region string")
+    mapped = spark.createDataFrame([(i, words[i % 3], "US", "O" + str(i % 5)) for i in range(0, 48, 2)], "account_id long, name string, region string, oem string")
+    own = lambda df: df.select(F.col("account_id").alias("id"), resolution.hash_embedding(F.col("name")).alias("v"))
+    every = sorted((r["query"], r["id"]) for r in resolution.nearest(own(accounts), own(mapped), resolution.VOTERS, exclude_self=True).collect())
+    compared, nearest = [], resolution.nearest
+    monkeypatch.setattr(resolution, "nearest", lambda q, v, *a, **k: compared.append((q.count(), v.count())) or nearest(q, v, *a, **k))
+    got = resolution.mapped_neighbours(resolution.keyed(accounts), resolution.keyed(mapped))
+    assert sorted((r["account_id"], r["id"]) for r in got.collect()) == every
+    assert compared == [(4, 3 * (resolution.VOTERS + 1))]

@@ -21,9 +21,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def features(name: Column, orders: tuple[int, ...] = (3, 4)) -> Column:
-    """The marked runs of characters and, twice, the words of a cleaned name."""
-    text = F.concat(F.lit(" "), normalize_name(name), F.lit(" "))
+def features(name: Column, orders: tuple[int, ...] = (3, 4), cleaned: bool = False) -> Column:
+    """The marked runs of characters and, twice, the words of a name once cleaned; ``cleaned`` tells that it is."""
+    text = F.concat(F.lit(" "), name if cleaned else normalize_name(name), F.lit(" "))
 
     def runs(n: int) -> Column:
         starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -33,7 +33,7 @@ def features(name: Column, orders: tuple[int, ...] = (3, 4)) -> Column:
     return F.concat(*map(runs, orders), words, words)
 
 
-def hash_embedding(name: Column, dims: int = DIMS) -> Column:
+def hash_embedding(name: Column, dims: int = DIMS, cleaned: bool = False) -> Column:
     """Signed feature hashing by CRC-32, of length one (zero for a name without letters): the sign is the hash's 17th bit.
 
     The hashes are found by built-in functions; adding them up in the places of a vector is one numpy call for each name of an Arrow batch."""
@@ -48,4 +48,4 @@ def hash_embedding(name: Column, dims: int = DIMS) -> Column:
             out.append(v / n if n > 0 else v)
         return pd.Series(out)
 
-    return place(F.transform(features(name), lambda f: F.crc32(f)))
+    return place(F.transform(features(name, cleaned=cleaned), lambda f: F.crc32(f)))
