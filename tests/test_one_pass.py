@@ -28,3 +28,10 @@ def test_bounds_of_facts_are_those_of_days(spark):
         by = rows.groupBy("month").agg(F.max("ship_date").alias("ship_date"))
         kept = lambda df: sorted(r.month for r in drop_partial_month(df, "ship_date").select("month").distinct().collect())
         assert kept(by) == kept(rows)
+
+
+def test_data_checks_read_lines_for_the_mapping_and_for_all_else(spark, monkeypatch):
+    read, table = [], estate.table
+    monkeypatch.setattr(estate, "table", lambda spark, sf, what: read.append(what) or table(spark, sf, what))
+    registry.queries()["dq_checks"](spark, SF)
+    assert read.count("lineitem") == 2

@@ -46,12 +46,17 @@ def map_facts(facts: DataFrame, mapping: DataFrame, values: tuple[str, ...], mon
     )
 
 
-def with_rate(rows: DataFrame, fx: DataFrame, policy: str = "constant", base_month: date | None = None, month: str = "month", currency: str = "currency") -> DataFrame:
+def rate_ends(rows: DataFrame, month: str = "month", currency: str = "currency") -> DataFrame:
+    """One row: whether all rows are in dollars, and their last month."""
+    return rows.agg(F.coalesce(F.bool_and(F.col(currency) == "USD"), F.lit(False)).alias("_usd"), F.max(month).alias("_last"))
+
+
+def with_rate(rows: DataFrame, fx: DataFrame, policy: str = "constant", base_month: date | None = None, month: str = "month", currency: str = "currency", ends: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``rate`` to US dollars. ``fx`` has month, currency, rate.
 
     constant: all months at the rates of the last month with rates at or before ``base_month`` (by default the last month of ``rows``). actual: each month's own.
-    A missing rate is null, but 1 if all rows are in dollars."""
-    only_usd = F.broadcast(rows.agg(F.coalesce(F.bool_and(F.col(currency) == "USD"), F.lit(False)).alias("_usd"), F.max(month).alias("_last")))  # one row
+    A missing rate is null, but 1 if all rows are in dollars. ``ends`` are the ``rate_ends`` of ``rows`` where they are known; without them the rows are read twice."""
+    only_usd = F.broadcast(rate_ends(rows, month, currency) if ends is None else ends)  # one row
     if policy == "constant":
         target = F.lit(base_month) if base_month is not None else F.col("_last")
         base = fx.select(F.col("month").alias("_fxm")).distinct().join(only_usd, F.col("_fxm") <= target).agg(F.max("_fxm").alias("month"))
@@ -71,13 +76,13 @@ def in_usd(value: Column, rate: str = "rate") -> Column:
     return value.cast("decimal(20,8)") * F.col(rate).cast("decimal(9,4)")
 
 
-def mapped_series(sales: DataFrame, mapping: DataFrame, fx: DataFrame, policy: str = "constant", base_month: date | None = None) -> DataFrame:
+def mapped_series(sales: DataFrame, mapping: DataFrame, fx: DataFrame, policy: str = "constant", base_month: date | None = None, ends: DataFrame | None = None) -> DataFrame:
     """month, oem, region, product, units, revenue (US dollars) of source rows with month, account_id, end_account_id, product, units, revenue, currency.
 
     Source rows are summed before they meet the mapping, so the joins read one row for each account, product and month."""
     keys = ["month", "account_id", "end_account_id", "product", "currency"]
     sales = sales.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
-    mapped = with_rate(map_facts(sales, mapping, ("units", "revenue")), fx, policy, base_month)
+    mapped = with_rate(map_facts(sales, mapping, ("units", "revenue")), fx, policy, base_month, ends=ends)
     return mapped.groupBy("month", "oem", "region", "product").agg(exact_sum(F.col("units")).alias("units"), exact_sum(in_usd(F.col("revenue"))).alias("revenue"))
 
 

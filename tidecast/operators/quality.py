@@ -63,8 +63,10 @@ def latest_month_complete(series: DataFrame) -> DataFrame:
 
 
 def negative_values(sales: DataFrame) -> DataFrame:
+    """``sales`` are rows, or sums of rows that tell in ``n_negative`` how many of them are negative."""
     n = F.col("n")
-    return _result(sales.agg(F.count_if((F.col("units") < 0) | (F.col("revenue") < 0)).alias("n")), "negative_values", "WARN", n == 0, n, 0.0)
+    found = F.coalesce(F.sum("n_negative"), F.lit(0)) if "n_negative" in sales.columns else F.count_if((F.col("units") < 0) | (F.col("revenue") < 0))
+    return _result(sales.agg(found.alias("n")), "negative_values", "WARN", n == 0, n, 0.0)
 
 
 def fx_coverage(sales: DataFrame, series: DataFrame, fx: DataFrame) -> DataFrame:

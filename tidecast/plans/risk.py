@@ -133,9 +133,10 @@ def dq_checks(spark: SparkSession, sf: str) -> DataFrame:
 
     sales = estate.sales(spark, sf)
     rows = estate.mapping(spark, sf).withColumn("status", F.lit("ACTIVE"))
-    series = checkpointed(mapping.mapped_series(sales.withColumn("units", F.col("units").cast("decimal(18,2)")), estate.mapping(spark, sf), estate.fx(spark, sf)))
-    backlog = estate.backlog(spark, sf)
-    out = quality.run_checks(series, sales, rows, estate.fx(spark, sf), backlog.filter("false"), backlog, estate.capacity(spark, sf), F.lit(estate.CYCLE))
+    facts = estate.facts(spark, sf)
+    series = checkpointed(mapping.mapped_series(sales.withColumn("units", F.col("units").cast("decimal(18,2)")), estate.mapping(spark, sf), estate.fx(spark, sf), ends=mapping.rate_ends(facts)))
+    backlog = estate.backlog(spark, sf, facts)
+    out = quality.run_checks(series, facts, rows, estate.fx(spark, sf), backlog.filter("false"), backlog, estate.capacity(spark, sf, facts), F.lit(estate.CYCLE))
     return out.withColumn("metric", F.floor(F.col("metric") * 1000000 + 0.5) / 1000000)
 
 
