@@ -90,6 +90,19 @@ def test_texts_cut_into_chunks_give_the_tokens_of_whole_texts(tools):
             assert [int(j) for g in joined.split(";") for j in g.split("|")[1].split(",")] == [j for j, _ in each[1]], text
 
 
+def test_chunks_that_are_met_again_are_not_learned_again(tools, monkeypatch):
+    monkeypatch.setattr(A, "CHUNKS", 40)
+    aligner, learned, learn = A.Aligner(*A.vocabularies(*FILES)), Counter(), A.Aligner.learn
+    monkeypatch.setattr(A.Aligner, "learn", lambda self, chunks: learned.update(chunks) or learn(self, chunks))
+    for k in range(10):
+        words = [f"word{k}x{i}" for i in range(30)]
+        text = " ".join(["the river", *words, "stone", *words])
+        joined = ";".join(c.groups for c in aligner.chunks([text])[0])
+        assert [int(i) for g in joined.split(";") for i in g.split("|")[0].split(",")] == tools[0].encode(" " + text, add_special_tokens=False).ids
+        assert len(aligner.known) + len(aligner.older) <= A.CHUNKS + 2 * 33
+    assert learned["the"] == learned["river"] == learned["stone"] == learned["word0x0"] == 1
+
+
 def test_encoding_by_ranks_is_taken_only_where_ids_follow_merges(tools):
     a, b = A.vocabularies(*FILES)
     aligner = A.Aligner(a, b)

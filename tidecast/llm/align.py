@@ -4,7 +4,7 @@ Space+text is encoded by a byte-level vocabulary (A) and the text by a piece voc
 A and a B token that end together are linked, and such ends cut both into groups.
 
 1. *Encoding.* A text is cut before spaces that stand between two characters other than white space. Neither vocabulary has a token across such a place (checked for the pieces when they are loaded), so equal chunks give equal tokens, links and groups, which
-   are remembered. Chunks whose tokens do not spell their bytes make the whole text one without tokens. A row is written for each text: counts, hash of the groups, and the multiplicity of each linked pair of ids.
+   are remembered as long as they are met. Chunks whose tokens do not spell their bytes make the whole text one without tokens. A row is written for each text: counts, hash of the groups, and the multiplicity of each linked pair of ids.
 2. *Postings.* Pairs are counted by ids (partial sums before the shuffle). Then postings (pair, row, multiplicity) and counts are dealt by the B id into one stream a task, sorted by B id with counts ahead of postings. Spark's sort spills, and a task
    holds the counts of one B id at a time, of which there are at most as many as A has ids: it finds the largest, gives each posting its count, and adds up what it has by row before it passes it on.
    B ids of more than ``SPLIT`` postings are dealt into parts by row, each with the counts of the id, so a frequent id is no task's burden.
@@ -22,6 +22,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from tidecast.llm._shared import Scratch
 from tidecast.llm.token_counts import PATTERN
 
-#: Chunks that are remembered: their length, and their number before all are forgotten.
-REMEMBER, CHUNKS = 40, 200_000
+#: Chunks that are remembered: their length, and their number. When half as many are new or were met again, those not met meanwhile are forgotten.
+REMEMBER, CHUNKS = 40, 400_000
 #: Postings of one B id, about, that one part of it holds.
 SPLIT = 100_000
 #: Rows in a contribution before a task passes it on.
 HELD = 100_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 def byte_values() -> dict[str, int]:
@@ -47,13 +48,12 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Chunk:
-    """What a chunk of text becomes; ``groups`` is None where the tokens do not spell it. A pair is one number: B's id above A's."""
+class Chunk(NamedTuple):
+    """What a chunk of text becomes; ``groups`` is None where the tokens do not spell it. A pair is one number of eight bytes: B's id above A's. ``sizes`` has the number of B's tokens above that of A's."""
 
-    __slots__ = ("a", "b", "groups", "n_groups", "pairs")
-
-    def __init__(self, a: int, b: int, groups: str | None, n_groups: int, pairs: list[int]):
-        self.a, self.b, self.groups, self.n_groups, self.pairs = a, b, groups, n_groups, pairs
+    groups: str | None
+    pairs: bytes
+    sizes: int
 
 
 class Aligner:
@@ -78,10 +78,15 @@ class Aligner:
         self.a_lengths, self.b_lengths = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes])
         for i, x in self.a_bytes.items():
             self.a_lengths[i] = len(x)
-        self.a_long, self.b_long = self.a_lengths.tolist(), self.b_lengths.tolist()
-        self.comma, self.bar, self.semicolon = (np.array([f"{i}{mark}" for i in range(max(len(self.a_lengths), len(self.b_bytes)))], object) for mark in ",|;")
+        # each id's decimal digits, flush right before a place for the mark that follows it
+        decimal = [f"{i} ".encode() for i in range(max(len(self.a_lengths), len(self.b_bytes)))]
+        width = len(decimal[-1])
+        self.wide = np.array([len(x) for x in decimal])
+        self.digits = np.frombuffer(b"".join(x.rjust(width) for x in decimal), np.uint8).reshape(-1, width)
+        self.written = np.arange(width) >= width - self.wide[:, None]
         self.encode_a = self.ranked(json.loads(a)) or (lambda text: self.a.encode(text, add_special_tokens=False).ids)
         self.known: dict[str, Chunk] = {}
+        self.older: dict[str, Chunk] = {}
 
     def ranked(self, spec: dict) -> Callable[[str], list[int]] | None:
         """An encoder by ranks, several times faster for short texts, if the vocabulary's ids follow its merges and it splits texts by the usual pattern; else None."""
@@ -98,61 +103,70 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> list[Chunk]:
         """Chunks without their leading space, which both encoders add."""
-        ids_a = list(map(self.encode_a, [" " + c for c in chunks]))
-        ids_b = self.b.encode(chunks, num_threads=1)
-        spelled = [(" " + c).encode() for c in chunks]
-        good = range(len(chunks))
-        if not self.spell(ids_a, ids_b, spelled):
-            good = [k for k in good if self.spell(ids_a[k : k + 1], ids_b[k : k + 1], spelled[k : k + 1])]
-            ids_a, ids_b, spelled = ([x[k] for k in good] for x in (ids_a, ids_b, spelled))
-        out = [Chunk(0, 0, None, 0, [])] * len(chunks)
-        for k, chunk in zip(good, self.laid(ids_a, ids_b, spelled), strict=True):
-            out[k] = chunk
+        spaced = [" " + c for c in chunks]
+        ids_a, ids_b, spelled = list(map(self.encode_a, spaced)), self.b.encode(chunks, num_threads=1), list(map(str.encode, spaced))
+        out = self.laid(ids_a, ids_b, spelled)
+        if out is None:
+            out = [(self.laid([a], [b], [s]) or [Chunk(None, b"", 0)])[0] for a, b, s in zip(ids_a, ids_b, spelled, strict=True)]
         return out
 
-    def spell(self, ids_a: list[list[int]], ids_b: list[list[int]], spelled: list[bytes]) -> bool:
-        """Whether the tokens of all chunks spell their bytes, the one and the other."""
-        if len(spelled) > 1 and not all(len(s) == sum(map(self.a_long.__getitem__, a)) == sum(map(self.b_long.__getitem__, b)) for s, a, b in zip(spelled, ids_a, ids_b, strict=True)):
-            return False
-        whole = b"".join(spelled)
-        return all(b"".join([of[i] for x in ids for i in x]) == whole for ids, of in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)))
-
-    def laid(self, ids_a: list[list[int]], ids_b: list[list[int]], spelled: list[bytes]) -> list[Chunk]:
-        """Chunks whose tokens spell them, laid over each other in one array: ends are counted from the first chunk's beginning, and each chunk's end is an end of both."""
-        if not spelled:
-            return []
-        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (ids_a, ids_b))
-        end_a, end_b = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
-        ends = np.intersect1d(end_a, end_b, assume_unique=True)  # no token has no bytes
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        pairs = (b[at_b] << 32 | a[at_a]).tolist()
-        # the tokens of both in the order of the groups, each with the mark that follows it
-        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        last_a[at_a] = last_b[at_b] = True
-        words = np.empty(len(a) + len(b), object)
-        words[np.arange(len(a)) + np.r_[0, at_b + 1][np.searchsorted(at_a, np.arange(len(a)))]] = np.where(last_a, self.bar[a], self.comma[a])
-        words[np.arange(len(b)) + (at_a + 1)[np.searchsorted(at_b, np.arange(len(b)))]] = np.where(last_b, self.semicolon[b], self.comma[b])
-        words = words.tolist()
-        n_a, n_b = [len(x) for x in ids_a], [len(x) for x in ids_b]
-        group = np.searchsorted(ends, np.cumsum([len(s) for s in spelled]), side="right").tolist()
-        out, word, first = [], 0, 0
-        for x, y, last in zip(n_a, n_b, group, strict=True):
-            out.append(Chunk(x, y, "".join(words[word : word + x + y])[:-1], last - first, pairs[first:last]))
-            word, first = word + x + y, last
+    def laid(self, ids_a: list[list[int]], ids_b: list[list[int]], spelled: list[bytes]) -> list[Chunk] | None:
+        """Chunks whose tokens are laid over each other in one array: ends are counted from the first chunk's beginning, and each chunk's end is an end of both. None if the tokens of any do not spell it."""
+        whole, until = b"".join(spelled), np.cumsum(list(map(len, spelled)))
+        flat, ends, last = [], [], []
+        for ids, of, lengths in ((ids_a, self.a_bytes, self.a_lengths), (ids_b, self.b_bytes, self.b_lengths)):
+            tokens = list(chain.from_iterable(ids))
+            if b"".join([of[i] for i in tokens]) != whole:
+                return None
+            flat.append(np.array(tokens, np.int64))
+            ends.append(np.cumsum(lengths[flat[-1]]))
+            last.append(np.cumsum(list(map(len, ids))))
+            if not np.array_equal(ends[-1][last[-1] - 1], until):  # a chunk has a byte at least, so without tokens it differs
+                return None
+        (a, b), (end_a, end_b) = flat, ends
+        at = np.zeros(len(whole) + 1, bool)  # no token has no bytes, so an end is that of one token of each
+        at[end_a] = True
+        last_b = at[end_b]
+        at[end_a] = False
+        at[end_b] = True
+        last_a = at[end_a]
+        pairs = b[last_b] << 32 | a[last_a]
+        # the tokens of both in the order of the groups, A's before B's, each with the mark that follows it
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        place_a, place_b = np.arange(len(a)) + np.r_[0, at_b + 1][of_a], np.arange(len(b)) + (at_a + 1)[of_b]
+        words, marks = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        words[place_a], words[place_b] = a, b
+        marks[place_a], marks[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        digits = self.digits[words]
+        digits[:, -1] = marks
+        text, pairs = digits[self.written[words]].tobytes().decode("ascii"), pairs.tobytes()
+        letters = np.cumsum(self.wide[words])[last[0] + last[1] - 1].tolist()
+        groups = (np.cumsum(last_b)[last[1] - 1] * 8).tolist()
+        sizes = (np.diff(last[1], prepend=0) << 32 | np.diff(last[0], prepend=0)).tolist()
+        out, letter, pair = [], 0, 0
+        for to, end, size in zip(letters, groups, sizes, strict=True):
+            out.append(Chunk(text[letter : to - 1], pairs[pair:end], size))
+            letter, pair = to, end
         return out
 
     def chunks(self, texts: list[str]) -> list[list[Chunk]]:
-        known = self.known
-        if len(known) > CHUNKS:
-            known.clear()
+        if len(self.known) > CHUNKS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [_CUT.split(t) for t in texts]
-        new = list({c for each in cut for c in each if c not in known})
+        new = set(chain.from_iterable(cut)).difference(known)
+        again = [c for c in new if c in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(new.difference(again))
         passing: dict[str, Chunk] = {}
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
             for c, x in zip(part, self.learn(part), strict=True):
                 (known if len(c) <= REMEMBER else passing)[c] = x
-        return [[known[c] if c in known else passing[c] for c in each] for each in cut]
+        if passing:
+            return [[known[c] if c in known else passing[c] for c in each] for each in cut]
+        return [list(map(known.__getitem__, each)) for each in cut]
 
 
 @functools.lru_cache(maxsize=2)
@@ -166,13 +180,15 @@ def aligned(docs: DataFrame, a: str, b: bytes) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ids_a", "ids_b", "times"]
 
+    none = np.zeros(0, np.int64)
+
     def row(chunks: list[Chunk]) -> tuple:
-        if not chunks or any(c.groups is None for c in chunks):
-            return 0, 0, 0, 0, "", [], [], []
-        digest = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest()
-        pairs = np.array([p for c in chunks for p in c.pairs], np.int64)
-        linked, times = np.unique(pairs, return_counts=True)
-        return sum(c.a for c in chunks), sum(c.b for c in chunks), sum(c.n_groups for c in chunks), len(pairs), digest, (linked & 0xFFFFFFFF).astype(np.int32), (linked >> 32).astype(np.int32), times.astype(np.int32)
+        groups, pairs, sizes = zip(*chunks, strict=True) if chunks else ((None,), (), ())
+        if None in groups:
+            return 0, 0, 0, "", none, none
+        digest, size = hashlib.sha256(";".join(groups).encode()).hexdigest(), sum(sizes)
+        pairs = np.frombuffer(b"".join(pairs), np.int64)  # each ends a group
+        return size & 0xFFFFFFFF, size >> 32, len(pairs), digest, *np.unique(pairs, return_counts=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(*shared.value)
@@ -181,9 +197,12 @@ def aligned(docs: DataFrame, a: str, b: bytes) -> DataFrame:
                 part = batch.slice(at, 100)
                 texts = part.column(1).to_pylist()
                 found = iter(tool.chunks([t for t in texts if t]))
-                rows = [row(next(found) if t else []) for t in texts]
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int32())] * 3
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                n_a, n_b, n, digest, pairs, times = zip(*(row(next(found) if t else []) for t in texts), strict=True)
+                starts = pa.array(np.r_[0, np.cumsum(list(map(len, pairs)))], pa.int32())
+                pairs, times = np.concatenate(pairs), np.concatenate(times)
+                lists = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (pairs & 0xFFFFFFFF, pairs >> 32, times)]
+                counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, n, n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digest, pa.string()), *lists], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, ids_a array<int>, ids_b array<int>, times array<int>")
 
