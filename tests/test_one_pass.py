@@ -35,3 +35,10 @@ def test_data_checks_read_lines_for_the_mapping_and_for_all_else(spark, monkeypa
     monkeypatch.setattr(estate, "table", lambda spark, sf, what: read.append(what) or table(spark, sf, what))
     registry.queries()["dq_checks"](spark, SF)
     assert read.count("lineitem") == 2
+
+
+def test_backtest_of_models_reads_lines_once(spark, monkeypatch):
+    read, table = [], estate.table
+    monkeypatch.setattr(estate, "table", lambda spark, sf, what: read.append(what) or table(spark, sf, what))
+    registry.queries()["model_backtest"](spark, SF)
+    assert read.count("lineitem") == 1
